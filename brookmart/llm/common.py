@@ -73,7 +73,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit
         .groupBy(key).agg(F.max(label).alias("label"))
         .orderBy(F.xxhash64(key), key).limit(limit)
     )
-    return docs.select(key, utf8().alias("payload")).join(ids, key)
+    return docs.select(key, utf8().alias("payload")).join(F.broadcast(ids), key)  # at most `limit` ids
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import licenses, media, urls, warc
+from . import licenses, media, quality, simhash, suffixes, toxicity, urls, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_url_filters": urls.op4_url_filters,
     "op6_warc_bundles": warc.op6_warc_bundles,
     "op7_media_columns": media.op7_media_columns,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 
 SQL = {**warc.SQL}

@@ -22,7 +22,8 @@ from . import common
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 #: Words of unwanted and of wanted hosts, from which the small labelled table is made.
-UNWANTED = (
+UNWANTED = "casino win bets free pills cheap adult xxx spam farm ads track poker loan viagra porn jackpot clickbait slots hot-deals".split()
+WANTED = (
     "news blog library school science garden history music museum city travel recipes weather forum research health sport books kitchen market "
     "other nation station mention thing there through theatre theory either northern southern water winter summer mountain village river bridge "
     "painter writer teacher student letter number order paper table window street island harbour forest animal planet letter thread methods "
