@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, media, quality, simhash, suffixes, toxicity, urls, warc
+from . import decontamination, licenses, media, pieces, quality, simhash, suffixes, toxicity, urls, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_url_filters": urls.op4_url_filters,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_warc_bundles": warc.op6_warc_bundles,
     "op7_media_columns": media.op7_media_columns,
     "op8_toxicity": toxicity.op8_toxicity,

@@ -382,3 +382,35 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     digest = F.when(F.size("spans") == 0, F.col("digest")).when(F.col("data").isNull(), F.lit(hashlib.sha256().hexdigest())).otherwise(F.sha2(kept("data", "spans"), 256))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), digest.alias("kept_sha256"))
+
+
+def on_characters(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The bytes outside the spans, and the whole of each UTF-8 character that is only partly covered."""
+    out, at = [], 0
+    for s, e in spans:
+        while s < e and data[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(data) and data[e] & 0xC0 == 0x80:
+            e -= 1
+        out.append(data[at:s])
+        at = e
+    return b"".join([*out, data[at:]])
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents without their repeated passages; every document stays, cut between characters."""
+    found = covered(docs.select("doc_id", "text")).where(F.size("spans") > 0)
+
+    @F.pandas_udf(T.StringType())
+    def cut(data: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([
+            "" if d is None else on_characters(bytes(d), [(s["start"], s["end"]) for s in runs]).decode() for d, runs in zip(data, spans, strict=True)
+        ], dtype=object)
+
+    fresh = found.select(F.col("id").alias("cut_id"), F.col("digest").alias("cut_digest"), cut("data", "spans").alias("cut_text"))
+    same = docs["doc_id"].eqNullSafe(fresh["cut_id"]) & (F.sha2(common.utf8(), 256) == fresh["cut_digest"])
+    text = F.when(F.col("cut_text").isNotNull(), F.col("cut_text")).otherwise(F.col("text"))
+    joined = docs.join(fresh, same, "left").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("cut_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return joined.select(docs.columns)
