@@ -37,7 +37,7 @@ LENGTH, GRAM = 100, 32
 #: Contents of one gram up to which they are sorted together, and windows sorted at a time.
 MANY, AT_ONCE = 3000, 200_000
 #: Bytes of text that are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _LOW = (1 << 28) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,7 +52,7 @@ class Hashed:
     def __init__(self, data: np.ndarray):
         n = len(data)
         if len(Hashed._powers) < n + 1:
-            size = 1 << max(20, (n + 1).bit_length())
+            size = 1 << max(19, (n + 1).bit_length())
             run = lambda base: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
             Hashed._powers, Hashed._inverse = run(_BASE), run(pow(_BASE, -1, 1 << 64))
         self.data = data
@@ -229,9 +229,10 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes of each open segment, from the texts."""
     for b in batches:
-        rows = [(int(r["gram"]), doc, int(r["place"]), bytes(data[(r["place"] >> 16) : (r["place"] >> 16) + (r["place"] & 127) - 1 + LENGTH]))
-                for doc, data, todo in zip(b["doc"], b["data"], b["todo"], strict=True) for r in todo]
-        yield pd.DataFrame(rows, columns=["gram", "doc", "place", "bytes"])
+        for doc, data, grams, places in zip(b["doc"], b["data"], b["grams"], b["places"], strict=True):
+            start = np.asarray(places) >> 16
+            end = start + (np.asarray(places) & 127) - 1 + LENGTH
+            yield pd.DataFrame({"gram": grams, "doc": doc, "place": places, "bytes": [bytes(data[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)]})
 
 
 def _sorted_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,7 +335,8 @@ def _covered_texts(own: DataFrame, texts: DataFrame, copies: DataFrame) -> DataF
     by_doc = by_doc.join(shut.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("done")), "doc", "full")
     # one shuffle of texts; those with neither open nor shut segments end here
     with_text = common.written(rest.withColumnRenamed("id", "doc").join(by_doc, "doc"), "texts-met")
-    contexts = with_text.where("todo is not null").select("doc", "data", "todo").mapInPandas(_contexts, "gram long, doc long, place long, bytes binary")
+    todo = with_text.where("todo is not null").select("doc", "data", F.col("todo.gram").alias("grams"), F.col("todo.place").alias("places"))
+    contexts = todo.mapInPandas(_contexts, "gram long, doc long, place long, bytes binary")
     contexts = common.written(contexts, "contexts")
     large = common.written(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("gram"), "large-grams")
     few = contexts.join(large, "gram", "left_anti").repartition(width, "gram").sortWithinPartitions("gram", "doc", "place")
@@ -347,16 +349,13 @@ def _covered_texts(own: DataFrame, texts: DataFrame, copies: DataFrame) -> DataF
     more = few.unionByName(many).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("more"))
 
     @F.pandas_udf("array<struct<start:long,end:long>>")
-    def merged(runs: pd.Series) -> pd.Series:
-        out = []
-        for r in runs:
-            at = np.array([(x["start"], x["start"] + x["windows"] - 1 + LENGTH) for x in r], np.int64).reshape(-1, 2)
-            out.append([{"start": s, "end": e} for s, e in union(at[:, 0], at[:, 1])])
-        return pd.Series(out)
+    def merged(starts: pd.Series, windows: pd.Series) -> pd.Series:
+        runs = [union(s := np.asarray(a, np.int64), s + np.asarray(n, np.int64) - 1 + LENGTH) for a, n in zip(starts, windows, strict=True)]
+        return pd.Series([[{"start": s, "end": e} for s, e in r] for r in runs])
 
     none = F.array().cast("array<struct<start:bigint,windows:bigint>>")
     joined = with_text.select("doc", "data", "done").join(more, "doc", "left").withColumn("runs", F.concat(F.coalesce("done", none), F.coalesce("more", none)))
-    cut_texts = joined.where(F.size("runs") > 0).select(F.col("doc").alias("id"), "data", merged("runs").alias("spans"))
+    cut_texts = joined.where(F.size("runs") > 0).select(F.col("doc").alias("id"), "data", merged("runs.start", "runs.windows").alias("spans"))
     base = own.join(copies.select("id", F.lit(True).alias("copy")), "id", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
