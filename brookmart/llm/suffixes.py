@@ -3,7 +3,7 @@
 Strings of that length are compared on the input, over all documents, whole texts, as UTF-8 bytes; an earlier start has
 a smaller id, or lies earlier in the same document. The result is exact, without looking at every pair of places:
 
-1. Of equal documents only the first goes on; a later one is covered whole.
+1. Of equal documents all but the first are covered whole; their texts take no part in the joins.
 2. Prefix polynomial hashes give the hash of every gram of GRAM bytes. Each window of `length` bytes picks the gram
    with the smallest hash in it (the last of equals), so equal windows pick equal grams at equal offsets. Neighbouring
    windows that pick the same gram form a segment; one row per segment is shuffled by the gram's hash.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,64 +199,85 @@ def segments(ids: list[int], starts: list[int], texts: list[bytes], length: int
     return pd.DataFrame({"gram": gram.view(np.int64), "content": content.view(np.int64), "doc": np.array(ids, np.int64)[owner[first]], "place": place})
 
 
-def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The same rows in tables of at least that many rows, but for the last."""
+    kept, n = [], 0
+    for b in batches:
+        kept.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(kept)
+            kept, n = [], 0
+    if n:
+        yield pa.Table.from_batches(kept)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by gram, content, doc, place. Covered segments (open false), and the first of each content of a gram with
     several (open true). Streams: only one row is held back."""
     last = first = None
     several = False
-    for b in batches:
-        settled = (b["place"].to_numpy() & 128) > 0
-        out = [b[settled].assign(open=False)]
-        b = b[~settled].reset_index(drop=True)
-        if len(b):
-            g, c = b["gram"].to_numpy(), b["content"].to_numpy()
+    for t in _gathered(batches, 1 << 16):
+        rows = np.stack([t[c].to_numpy() for c in ("gram", "content", "doc", "place")])
+        settled = (rows[3] & 128) > 0
+        shut, opened = [rows[:, settled]], []
+        rows = rows[:, ~settled]
+        if rows.shape[1]:
+            g, c = rows[:2]
             new_gram = np.concatenate([[last is None or last[0] != g[0]], g[1:] != g[:-1]])
             new = new_gram | np.concatenate([[last is None or last[1] != c[0]], c[1:] != c[:-1]])
-            out.append(b[~new].assign(open=False))
+            shut.append(rows[:, ~new])
             firsts = np.flatnonzero(new)
-            run = np.cumsum(new_gram)[firsts]  # 0: the gram that the batch before ended with
+            run = np.cumsum(new_gram)[firsts]  # 0: the gram that the table before ended with
             counts = np.bincount(run, minlength=int(new_gram.sum()) + 1)
             if counts[0] and not several:
-                out.append(first.assign(open=True))
+                opened.append(first)
                 several = True
-            out.append(b.iloc[firsts[(counts[run] > 1) | (run == 0)]].assign(open=True))
+            opened.append(rows[:, firsts[(counts[run] > 1) | (run == 0)]])
             if new_gram.any():
                 several = counts[-1] > 1
-                first = b.iloc[firsts[run == run[-1]][:1]] if len(firsts) else first
+                first = rows[:, firsts[run == run[-1]][:1]]
             last = g[-1], c[-1]
-        yield pd.concat(out)
+        for part, flag in ((shut, False), (opened, True)):
+            if part:
+                x = np.concatenate(part, axis=1)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, x), pa.array(np.full(x.shape[1], flag))], ["gram", "content", "doc", "place", "open"])
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes of each open segment, from the texts."""
     for b in batches:
-        for doc, data, grams, places in zip(b["doc"], b["data"], b["grams"], b["places"], strict=True):
-            start = np.asarray(places) >> 16
-            end = start + (np.asarray(places) & 127) - 1 + LENGTH
-            yield pd.DataFrame({"gram": grams, "doc": doc, "place": places, "bytes": [bytes(data[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)]})
+        places, parts = [], []
+        for data, p in zip(b["data"], b["places"], strict=True):
+            places.append(np.asarray(p, np.int64))
+            start = places[-1] >> 16
+            end = start + (places[-1] & 127) - 1 + LENGTH
+            parts += [bytes(data[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        sizes = [len(p) for p in places]
+        yield pd.DataFrame({"gram": np.concatenate(list(b["grams"])), "doc": np.repeat(b["doc"].to_numpy(), sizes), "place": np.concatenate(places), "bytes": parts})
 
 
-def _sorted_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments sorted by gram, doc, place: the covered runs of windows, from suffix sorts of whole grams at a time."""
-    kept: list[pd.DataFrame] = []
-    for b in batches:
-        kept.append(b)
-        if sum(map(len, kept)) * 34 >= AT_ONCE:
-            rows = pd.concat(kept, ignore_index=True)
-            g = rows["gram"].to_numpy()
-            cut = int(np.flatnonzero(g == g[-1])[0])
-            if cut:
-                yield _covered(rows.iloc[:cut])
-            kept = [rows.iloc[cut:]]
-    if kept:
-        yield _covered(pd.concat(kept, ignore_index=True))
-
-
-def _covered(rows: pd.DataFrame) -> pd.DataFrame:
+    kept = None
+    for t in _gathered(batches, AT_ONCE // 34):
+        rows = t if kept is None else pa.concat_tables([kept, t])
+        g = rows["gram"].to_numpy()
+        cut = int(np.flatnonzero(g == g[-1])[0])
+        if cut:
+            yield _covered(rows.slice(0, cut).to_pandas())
+        kept = rows.slice(cut)
+    if kept is not None:
+        yield _covered(kept.to_pandas())
+
+
+def _runs(doc, start, windows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (doc, start, windows)], ["doc", "start", "windows"])
+
+
+def _covered(rows: pd.DataFrame) -> pa.RecordBatch:
     place = rows["place"].to_numpy(np.int64)
     count, offset = place & 127, (place >> 8) & 255
-    if not len(rows):
-        return pd.DataFrame({"doc": [], "start": [], "windows": []}).astype("int64")
     sizes = np.array([len(x) for x in rows["bytes"]], np.int64)
     text = Hashed(np.frombuffer(b"".join(rows["bytes"]), np.uint8))
     seg = np.repeat(np.arange(len(rows)), count)
@@ -268,11 +290,11 @@ def _covered(rows: pd.DataFrame) -> pd.DataFrame:
     again[order] = repeated(text, at[order], group[order], LENGTH)
     hit = np.flatnonzero(again)
     if not len(hit):
-        return pd.DataFrame({"doc": [], "start": [], "windows": []}).astype("int64")
+        return _runs([], [], [])
     new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (seg[hit[1:]] != seg[hit[:-1]])])
     s = hit[new]
     n = np.diff(np.append(np.flatnonzero(new), len(hit)))
-    return pd.DataFrame({"doc": rows["doc"].to_numpy()[seg[s]], "start": (place[seg[s]] >> 16) + t[s], "windows": n})
+    return _runs(rows["doc"].to_numpy()[seg[s]], (place[seg[s]] >> 16) + t[s], n)
 
 
 def union(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -318,7 +340,6 @@ def _renumbered(docs: DataFrame, own: DataFrame, key: str, text: str) -> DataFra
 
 def _covered_texts(own: DataFrame, texts: DataFrame, copies: DataFrame) -> DataFrame:
     spark = own.sparkSession
-    rest = texts.join(copies.select("id"), "id", "left_anti")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -326,21 +347,22 @@ def _covered_texts(own: DataFrame, texts: DataFrame, copies: DataFrame) -> DataF
             for part in pieces(b["id"].tolist(), [bytes(d) for d in b["data"]]):
                 yield segments(*part)
 
-    found = rest.mapInPandas(cut, "gram long, content long, doc long, place long")
+    found = texts.mapInPandas(cut, "gram long, content long, doc long, place long")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = found.repartition(width, "gram").sortWithinPartitions("gram", "content", "doc", "place")
-    met = common.written(met.mapInPandas(_met, "gram long, content long, doc long, place long, open boolean"), "segments")
+    met = common.written(met.mapInArrow(_met, "gram long, content long, doc long, place long, open boolean"), "segments")
     shut = met.where("not open").select("doc", F.shiftright("place", 16).alias("start"), F.col("place").bitwiseAND(F.lit(127)).alias("windows"))
     by_doc = met.where("open").groupBy("doc").agg(F.collect_list(F.struct("gram", "place")).alias("todo"))
     by_doc = by_doc.join(shut.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("done")), "doc", "full")
-    # one shuffle of texts; those with neither open nor shut segments end here
-    with_text = common.written(rest.withColumnRenamed("id", "doc").join(by_doc, "doc"), "texts-met")
+    by_doc = by_doc.join(copies.select(F.col("id").alias("doc")), "doc", "left_anti")
+    # one shuffle of texts; copies, and those with neither open nor shut segments, end here
+    with_text = common.written(texts.withColumnRenamed("id", "doc").join(by_doc, "doc"), "texts-met")
     todo = with_text.where("todo is not null").select("doc", "data", F.col("todo.gram").alias("grams"), F.col("todo.place").alias("places"))
     contexts = todo.mapInPandas(_contexts, "gram long, doc long, place long, bytes binary")
     contexts = common.written(contexts, "contexts")
     large = common.written(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("gram"), "large-grams")
     few = contexts.join(large, "gram", "left_anti").repartition(width, "gram").sortWithinPartitions("gram", "doc", "place")
-    few = few.mapInPandas(_sorted_windows, "doc long, start long, windows long")
+    few = few.mapInArrow(_sorted_windows, "doc long, start long, windows long")
     window = contexts.join(large, "gram").select(
         "doc", F.shiftright("place", 16).alias("at"), "bytes", F.explode(F.sequence(F.lit(0), F.col("place").bitwiseAND(F.lit(127)).cast("int") - 1)).alias("t"))
     window = window.select("doc", (F.col("at") + F.col("t")).alias("start"), F.expr(f"substring(bytes, t + 1, {LENGTH})").alias("bytes"))
@@ -406,10 +428,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             "" if d is None else on_characters(bytes(d), [(s["start"], s["end"]) for s in runs]).decode() for d, runs in zip(data, spans, strict=True)
         ], dtype=object)
 
-    fresh = found.select(F.col("id").alias("cut_id"), F.col("digest").alias("cut_digest"), cut("data", "spans").alias("cut_text"))
-    same = docs["doc_id"].eqNullSafe(fresh["cut_id"]) & (F.sha2(common.utf8(), 256) == fresh["cut_digest"])
-    text = F.when(F.col("cut_text").isNotNull(), F.col("cut_text")).otherwise(F.col("text"))
+    fresh = found.select(F.col("id").alias("_cut_id"), F.col("digest").alias("_cut_digest"), cut("data", "spans").alias("_cut_text"))
+    same = docs["doc_id"].eqNullSafe(fresh["_cut_id"]) & (F.sha2(common.utf8(), 256) == fresh["_cut_digest"])
+    text = F.when(F.col("_cut_text").isNotNull(), F.col("_cut_text")).otherwise(F.col("text"))
     joined = docs.join(fresh, same, "left").withColumn("text", text)
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("cut_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        joined = joined.withColumn("n_chars", F.when(F.col("_cut_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return joined.select(docs.columns)
