@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,5 +76,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit
     return docs.select(key, utf8().alias("payload")).join(F.broadcast(ids), key)  # at most `limit` ids
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def map_rows(df: DataFrame, key: str, columns: dict[str, Column], run: Callable, fields: str) -> DataFrame:
+    """(key, fields) from mapInPandas over (key, columns) in small batches. The key travels as text, so that nulls and
+    large numbers come back as they were; other columns of df aren't read."""
+    small_batches(df.sparkSession)
+    sent = df.select(F.col(key).cast("string").alias(key), *(c.alias(n) for n, c in columns.items()))
+    out = sent.mapInPandas(run, f"`{key}` string, {fields}")
+    return out.withColumn(key, F.col(key).cast(dict(df.dtypes)[key]))

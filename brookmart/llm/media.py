@@ -138,8 +138,6 @@ def padded(data: bytes, width: int = WIDTH) -> bytes:
 
 def store(df: DataFrame, key: str, payload: str = "text", level: int = 1, into: str = "media") -> DataFrame:
     """(key, n_bytes, media): every payload as a PNG in a binary column, written to shared storage and read again."""
-    common.small_batches(df.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({
@@ -147,14 +145,11 @@ def store(df: DataFrame, key: str, payload: str = "text", level: int = 1, into:
                 "media": [encode_png(padded(bytes(x)), level=level) for x in b["payload"]],
             })
 
-    rows = df.select(key, common.utf8(payload).alias("payload"))
-    return common.written(rows.mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, n_bytes long, media binary"), into)
+    return common.written(common.map_rows(df, key, {"payload": common.utf8(payload)}, run, "n_bytes long, media binary"), into)
 
 
 def describe(media: DataFrame, key: str) -> DataFrame:
     """Reads the stored images: sizes, digests, checksum of the last 32 pixels and the cosine hash."""
-    common.small_batches(media.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -166,9 +161,8 @@ def describe(media: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame(out, columns=names)
 
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return media.select(key, "n_bytes", "media").mapInPandas(
-        run, f"{key} {dict(media.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, "
-        "tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return common.map_rows(media, key, {"n_bytes": F.col("n_bytes"), "media": F.col("media")}, run,
+                           "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,13 +147,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = T
     common.small_batches(docs.sparkSession)
     sample = common.labelled(docs, labels, "quality", common.fold(key, folds) != held, rows, key)
     got = sample.select("payload", F.col("label").cast("int")).mapInPandas(_numbers, "x array<double>, label int").toPandas()
-    x = np.array(got["x"].tolist(), np.float64).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(NAMES))
     order = np.lexsort((*x.T, got["label"].to_numpy())) if len(got) else []
     return fit(x[order], got["label"].to_numpy(np.float64)[order])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds column `score` to all columns of docs."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """Adds a column with the score to all columns of docs."""
     common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             return pd.Series([], dtype="float64")
         return pd.Series(sent.value.score(np.array([features(bytes(d)) for d in payload])))
 
-    return docs.withColumn("score", scored(common.utf8(text)))
+    return docs.withColumn(name, scored(common.utf8(text)))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,4 +176,4 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier accepts."""
     model = train(docs, common.table(spark, sf_dir, "labels"))
-    return score(docs, model).where("score >= 0.7").drop("score")
+    return score(docs, model, name="_quality_score").where("_quality_score >= 0.7").select(docs.columns)

@@ -14,7 +14,8 @@ Near-duplicates (near_duplicates): five-word shingles, 256 bits; keys of three b
 first members of a list and its neighbours, and then the exact Jaccard similarity of the shingle sets.
 
 Defined results: null text is empty text; no words give fingerprint zero, linked like any other; exact copies are
-grouped before any pairing; null ids are kept in the fingerprint table and take part like other ids.
+grouped before any pairing. A null id has the smallest known id of its fingerprint's component, or null; the stage
+leaves rows with null ids alone. Rows that repeat an id take part each with its text.
 """
 
 from __future__ import annotations
@@ -74,14 +75,12 @@ def fingerprint(h: np.ndarray, n: int = 1) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """(key, fp long, fingerprint of 16 hexadecimal digits)."""
-    common.small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(shingle_hashes(bytes(d), words))[0] for d in b["payload"]], np.uint64)
             yield pd.DataFrame({key: b[key], "fp": fp.view(np.int64), "fingerprint": [f"{x:016x}" for x in fp.tolist()]})
 
-    return docs.select(key, common.utf8(text).alias("payload")).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, fp long, fingerprint string")
+    return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, "fp long, fingerprint string")
 
 
 def _byte(fp: Column, k: int) -> Column:
@@ -151,7 +150,7 @@ def _wide(docs: DataFrame, key: str, text: str, words: int, n: int) -> DataFrame
             t.insert(0, key, b[key].to_numpy())
             yield t
 
-    return docs.select(key, common.utf8(text).alias("payload")).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, digest binary, size int, fp binary")
+    return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, "digest binary, size int, fp binary")
 
 
 def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -162,10 +161,10 @@ def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return docs.select(key, shingles(common.utf8(text)).alias("shingles"))
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, n: int = 4, keys: int = 128) -> DataFrame:
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, n: int = 4, keys: int = 192) -> DataFrame:
     """(id, component) of documents that have a copy or a neighbour of at least that similarity of shingle sets."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    docs = docs.where(F.col(key).isNotNull())  # a row without an id can't be named as gone
     rows = common.written(_wide(docs, key, text, words, n).withColumnRenamed(key, "id"), "wide-fingerprints")
     classes = common.written(rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("fp").alias("fp")), "text-classes")
     chosen = _key_positions(n, keys)

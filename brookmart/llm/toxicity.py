@@ -228,14 +228,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = T
             yield pd.DataFrame({"x": [numbers(*hits(bytes(d).decode(), lexicon, known)) for d in b["payload"]], "label": b["label"].to_numpy()})
 
     got = sample.mapInPandas(run, "x array<double>, label int").toPandas()
-    x = np.array(got["x"].tolist(), np.float64).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(numbers(0, [0.0] * len(HITS))))
     order = np.lexsort((*x.T, got["label"].to_numpy())) if len(got) else []
     return Model(terms, _logistic(x[order], got["label"].to_numpy(np.float64)[order]))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, hits named in HITS, score)."""
-    common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,13 +242,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         lexicon, known = Lexicon(m.terms), {}
         for b in batches:
             found = [hits(bytes(d).decode(errors="replace"), lexicon, known) for d in b["payload"]]
-            x = np.array([numbers(*f) for f in found]).reshape(len(found), -1)
+            x = np.array([numbers(*f) for f in found])
             out = pd.DataFrame([[n, *c] for n, c in found], columns=["n_words", *HITS]).astype({"n_words": "int64"})
             out.insert(0, key, b[key].to_numpy())
             yield out.assign(score=1 / (1 + np.exp(-(x @ m.weights[:-1] + m.weights[-1]))) if len(found) else [])
 
     fields = ", ".join(f"{h} double" for h in HITS)
-    return docs.select(key, common.utf8(text).alias("payload")).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, n_words long, {fields}, score double")
+    return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, f"n_words long, {fields}, score double")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

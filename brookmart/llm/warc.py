@@ -119,8 +119,9 @@ def write_bundles(pages: DataFrame, key: str = "page_id", payload: str = "html",
     """(bundle_id, n_records, archive), written to shared storage. Only the ids of revisits are joined to the pages."""
     common.small_batches(pages.sparkSession)
     again = revisits(pages, key, payload, least)
-    rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), common.utf8(payload).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).join(again.withColumnRenamed(key, "id"), ["id", "digest"], "left")
+    rows = pages.select(F.col(key).cast("string").alias("id"), F.col(url).alias("url"), common.utf8(payload).alias("payload"))
+    again = again.select(F.col(key).cast("string").alias("id"), "digest", F.col("refers_to").cast("string").alias("refers_to"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).join(again, ["id", "digest"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames, frame, size, full = [], [], 0, 0
@@ -132,9 +133,10 @@ def write_bundles(pages: DataFrame, key: str = "page_id", payload: str = "html",
 
         for b in batches:
             for i, u, p, d, to in zip(b["id"], b["url"], b["payload"], b["digest"], b["refers_to"], strict=True):
-                i = None if pd.isna(i) else int(i)
+                i = None if i is None or pd.isna(i) else int(i)
+                to = None if to is None or pd.isna(to) else int(to)
                 first = f"bundle-{i}" if first is None else first
-                data = record(i, u, bytes(p), d, None if pd.isna(to) else int(to))
+                data = record(i, u, bytes(p), d, to)
                 frame.append((i, data))
                 size, full = size + len(data), full + len(data)
                 if size >= frame_bytes:
@@ -153,17 +155,17 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
     """One row per record: id, type, payload digest and size as stored, reference, and the body with its real digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page = lambda x: None if x is None or x[10:-1] == "None" else int(x[10:-1])  # noqa: E731  <urn:page:N>
+        page = lambda x: None if x is None or x[10:-1] == "None" else x[10:-1]  # noqa: E731  <urn:page:N>
         for b in batches:
             for data in b["archive"]:
                 yield pd.DataFrame(
                     [(page(f["WARC-Record-ID"]), f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha256:"),
                       int(f["X-Payload-Length"]), page(f.get("WARC-Refers-To")), body) for _, f, body in Bundle(bytes(data))],
                     columns=["page_id", "record_type", "stored_digest", "stored_bytes", "refers_to", "body"],
-                ).astype({"page_id": "Int64", "refers_to": "Int64"})
+                )
 
-    return bundles.select("archive").mapInPandas(
-        run, "page_id long, record_type string, stored_digest string, stored_bytes long, refers_to long, body binary")
+    out = bundles.select("archive").mapInPandas(run, "page_id string, record_type string, stored_digest string, stored_bytes long, refers_to string, body binary")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
