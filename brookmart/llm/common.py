@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +84,16 @@ def map_rows(df: DataFrame, key: str, columns: dict[str, Column], run: Callable,
     sent = df.select(F.col(key).cast("string").alias(key), *(c.alias(n) for n, c in columns.items()))
     out = sent.mapInPandas(run, f"`{key}` string, {fields}")
     return out.withColumn(key, F.col(key).cast(dict(df.dtypes)[key]))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The same rows in tables of at least that many rows, but for the last."""
+    kept, n = [], 0
+    for b in batches:
+        kept.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(kept)
+            kept, n = [], 0
+    if n:
+        yield pa.Table.from_batches(kept)

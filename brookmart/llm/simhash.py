@@ -26,6 +26,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,6 +162,30 @@ def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return docs.select(key, shingles(common.utf8(text)).alias("shingles"))
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by key and id: pairs of each member with its list's first and with the four members before it. What the
+    next table needs of the last list is its key, its first member and its last four."""
+    key = first = None
+    tail = np.zeros(0, np.int64)
+    for t in common.gathered(batches, 1 << 16):
+        old = len(tail)
+        k = np.concatenate([np.full(old, key if old else 0), t["key"].to_numpy()])
+        ids = np.concatenate([tail, t["id"].to_numpy()])
+        spot = np.arange(len(k))
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), spot, 0))
+        head = ids[start]
+        if old:
+            head = np.where(start == 0, first, head)
+        a, b = [], []
+        for d in range(1, 5):
+            here = np.flatnonzero((spot >= max(d, old)) & (spot - start >= d))
+            a.append(ids[here - d])
+            b.append(ids[here])
+        far = np.flatnonzero((spot >= old) & (head != ids) & ((spot - start > 4) | (start == 0)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, head[far]])), pa.array(np.concatenate([*b, ids[far]]))], ["a", "b"])
+        key, first, tail = k[-1], head[-1], ids[max(start[-1], len(ids) - 4) :]
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, n: int = 4, keys: int = 192) -> DataFrame:
     """(id, component) of documents that have a copy or a neighbour of at least that similarity of shingle sets."""
     spark = docs.sparkSession
@@ -180,23 +205,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     kind = dict(classes.dtypes)["id"]
     lists = classes.where("size > 0").select("id", "fp").mapInPandas(posted, f"key long, id {kind}")
 
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted by key and id: each member with the list's first and with the four members before it."""
-        last, first, before = None, None, []
-        for b in batches:
-            a, c = [], []
-            for spot, i in zip(b["key"].tolist(), b["id"].tolist(), strict=True):
-                if spot != last:
-                    last, first, before = spot, i, [i]
-                    continue
-                others = before if before[0] == first else [first, *before]
-                a += others
-                c += [i] * len(others)
-                before = [*before[-3:], i]
-            yield pd.DataFrame({"a": a, "b": c}).drop_duplicates().astype({"a": b["id"].dtype, "b": b["id"].dtype})
-
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = lists.repartition(width, "key").sortWithinPartitions("key", "id").mapInPandas(met, f"a {kind}, b {kind}").distinct()
+    pairs = lists.repartition(width, "key").sortWithinPartitions("key", "id").mapInArrow(_neighbours, f"a {kind}, b {kind}").distinct()
     pairs = _close(pairs, classes, similarity, n)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")

@@ -199,25 +199,12 @@ def segments(ids: list[int], starts: list[int], texts: list[bytes], length: int
     return pd.DataFrame({"gram": gram.view(np.int64), "content": content.view(np.int64), "doc": np.array(ids, np.int64)[owner[first]], "place": place})
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """The same rows in tables of at least that many rows, but for the last."""
-    kept, n = [], 0
-    for b in batches:
-        kept.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(kept)
-            kept, n = [], 0
-    if n:
-        yield pa.Table.from_batches(kept)
-
-
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by gram, content, doc, place. Covered segments (open false), and the first of each content of a gram with
     several (open true). Streams: only one row is held back."""
     last = first = None
     several = False
-    for t in _gathered(batches, 1 << 16):
+    for t in common.gathered(batches, 1 << 16):
         rows = np.stack([t[c].to_numpy() for c in ("gram", "content", "doc", "place")])
         settled = (rows[3] & 128) > 0
         shut, opened = [rows[:, settled]], []
@@ -260,7 +247,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments sorted by gram, doc, place: the covered runs of windows, from suffix sorts of whole grams at a time."""
     kept = None
-    for t in _gathered(batches, AT_ONCE // 34):
+    for t in common.gathered(batches, AT_ONCE // 34):
         rows = t if kept is None else pa.concat_tables([kept, t])
         g = rows["gram"].to_numpy()
         cut = int(np.flatnonzero(g == g[-1])[0])
