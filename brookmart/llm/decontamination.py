@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,87 +36,131 @@ UNITS = frozenset(
     "km m cm mm mi mile miles ft foot feet inch inches yd yard yards kg g mg lb lbs oz ton tons l ml litre litres liter liters gallon gallons "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh km/h % percent $ € £ usd eur gbp "
     "dollar dollars euro euros cent cents ° c f k hz khz mhz ghz w kw v a n j kj cal kcal pa bar mol".split())
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?\n]|[%$€£°]")
+TOKEN = re.compile(r"[^\W\d_]\w*|\d+(?:[.,:/]\d+)*|[.!?\n]|[%$€£°]")
 END = frozenset(".!?\n")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def canonical(text: str) -> tuple[list[str], list[str]]:
-    """Canonical tokens, and each one's slot value (empty for plain words)."""
-    tokens: list[str] = []
-    values: list[str] = []
-    start, number = True, False
-    for t in TOKEN.findall(text):
-        if t in END:
-            start, number = True, False
-            continue
-        low = t.lower()
-        if t[0].isdigit():
-            kind, number = "<number>", True
-        elif number and low in UNITS:
-            kind, number = "<unit>", False
-        elif not start and low != t and t[0] != low[0] and (len(t) == 1 or t[1:] == low[1:]):
-            kind, number = "<name>", False
-        else:
-            kind, number = low, False
-        start = False
-        if kind is low:
-            tokens.append(low)
-            values.append("")
-        elif tokens and tokens[-1] == kind:
-            values[-1] += " " + low
-        else:
-            tokens.append(kind)
-            values.append(low)
-    return tokens, values
-
-
-class Hasher:
-    """Hashes of all windows of given lengths; token hashes are remembered."""
+class Numbers(dict):
+    """Raw token -> number; unknown ones get theirs from the owner."""
+
+    def __init__(self, new):
+        self.new = new
+
+    def __missing__(self, t: str) -> int:
+        return self.new(t)
+
+
+class Canon:
+    """Canonical tokens of texts, by arrays; what is known of each distinct raw token is remembered."""
+
+    TYPES = ("", "<number>", "<unit>", "<name>")
 
     def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def tokens(self, tokens: list[str]) -> np.ndarray:
-        known, h = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > 500_000:
-            known.clear()
-        for t in set(tokens):
-            if t not in known:
-                known[t] = h(t)
-        return np.array([known[t] for t in tokens], np.uint64)
-
-    @staticmethod
-    def windows(h: np.ndarray, plain: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of the windows that have enough plain words."""
-        n = len(h) - length + 1
-        if n < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        x = np.full(n, length, np.uint64)
-        for k in range(length):
-            x = (x ^ (x >> np.uint64(29))) * _STEP + h[k : k + n]
-        x ^= x >> np.uint64(32)
-        words = np.concatenate([[0], np.cumsum(plain)])
-        keep = np.flatnonzero(words[length:] - words[:n] >= min(LEAST_WORDS, length))
-        return keep, x.view(np.int64)[keep]
-
-
-def _windows(hasher: Hasher, text: str, lengths: list[int] | None, wanted: np.ndarray | None) -> tuple[int, list[tuple]]:
-    """Tokens, and (start, length, hash, template, slot values) of windows; lengths None: an item's own windows."""
-    tokens, values = canonical(text)
-    if not tokens:
-        return 0, []
-    h = hasher.tokens(tokens)
-    plain = np.array([not v for v in values])
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids = Numbers(self.number)
+        self.low: list[str] = []
+        self.kind = np.zeros(1 << 16, np.int64)  # 0 end of a sentence, 1 number, 2 word, 3 capitalised word; 4 more for units
+        self.hash = np.zeros(1 << 16, np.uint64)
+
+    def number(self, t: str) -> int:
+        low = t.lower()
+        capital = low != t and t[0] != low[0] and (len(t) == 1 or t[1:] == low[1:])
+        kind = 0 if t in END else 1 if t[0].isdigit() else (3 if capital else 2) + 4 * (low in UNITS)
+        n = self.ids[t] = len(self.low)
+        if n == len(self.kind):
+            self.kind, self.hash = np.concatenate([self.kind, self.kind]), np.concatenate([self.hash, self.hash])
+        self.low.append(low)
+        self.kind[n], self.hash[n] = kind, xxhash.xxh3_64_intdigest(low)
+        return n
+
+    def __call__(self, texts: list[str]) -> Tokens:
+        if len(self.ids) > 500_000:
+            self.forget()
+        known = self.ids.__getitem__
+        found = [list(map(known, TOKEN.findall(t))) for t in texts]
+        counts = [len(f) for f in found]
+        ids = np.fromiter(chain.from_iterable(found), np.int64, sum(counts))
+        owner = np.repeat(np.arange(len(texts)), counts)
+        top = np.concatenate([[True], owner[1:] != owner[:-1]])[: len(ids)]
+        before = lambda x: np.concatenate([[False], x[:-1]])[: len(ids)] & ~top
+        kind = self.kind[ids]
+        end, number = kind == 0, kind == 1
+        unit = (kind > 4) & before(number)
+        name = (kind & 3 == 3) & ~top & ~before(end) & ~unit
+        types = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))[~end]
+        ids, owner = ids[~end], owner[~end]
+        first = np.concatenate([[True], (types[1:] == 0) | (types[1:] != types[:-1]) | (owner[1:] != owner[:-1])])[: len(ids)]
+        starts = np.flatnonzero(first)
+        return Tokens(self, ids, types[starts], starts, owner[starts])
+
+
+@dataclass
+class Tokens:
+    """Canonical tokens of several texts: their types, where each one's raw tokens start (a run of one placeholder type
+    is one), and the number of its text."""
+
+    canon: Canon
+    ids: np.ndarray
+    types: np.ndarray
+    starts: np.ndarray
+    owner: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        return np.where(self.types == 0, self.canon.hash[self.ids[self.starts]], self.types.astype(np.uint64))
+
+    def window(self, s: int, e: int) -> tuple[list[str], list[str]]:
+        """Tokens, and the slot values (empty for plain words)."""
+        low, tokens, values = self.canon.low, [], []
+        for k in range(s, e):
+            t = int(self.types[k])
+            raw = self.ids[self.starts[k] : self.starts[k + 1] if k + 1 < len(self.starts) else None].tolist()
+            tokens.append(Canon.TYPES[t] if t else low[raw[0]])
+            values.append(" ".join(low[i] for i in raw) if t else "")
+        return tokens, values
+
+
+def canonical(text: str) -> tuple[list[str], list[str]]:
+    """Canonical tokens of one text, and each one's slot value (empty for plain words)."""
+    t = Canon()([text])
+    return t.window(0, len(t.starts))
+
+
+def hashed_windows(h: np.ndarray, plain: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the windows that have enough plain words."""
+    n = len(h) - length + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = np.full(n, length, np.uint64)
+    for k in range(length):
+        x = (x ^ (x >> np.uint64(29))) * _STEP + h[k : k + n]
+    x ^= x >> np.uint64(32)
+    words = np.concatenate([[0], np.cumsum(plain)])
+    keep = np.flatnonzero(words[length:] - words[:n] >= min(LEAST_WORDS, length))
+    return keep, x.view(np.int64)[keep]
+
+
+def _windows(canon: Canon, texts: list[str], lengths: list[int] | None, wanted: np.ndarray | None) -> list[tuple]:
+    """(number of the text, start, length, hash, template, slot values) of windows inside one text; lengths None: the
+    only text's own windows."""
+    tokens = canon(texts)
+    if not len(tokens.starts):
+        return []
+    h, plain, owner = tokens.hashes(), tokens.types == 0, tokens.owner
+    tops = np.searchsorted(owner, np.arange(len(texts)))
     out = []
-    for length in [min(WINDOW, len(tokens))] if lengths is None else lengths:
-        start, x = hasher.windows(h, plain, length)
+    for length in [min(WINDOW, len(h))] if lengths is None else lengths:
+        start, x = hashed_windows(h, plain, length)
+        keep = owner[start] == owner[start + length - 1]
         if wanted is not None and len(x):
             spot = np.searchsorted(wanted, x)
-            hit = wanted[np.minimum(spot, len(wanted) - 1)] == x
-            start, x = start[hit], x[hit]
-        out += [(int(s), length, int(v), " ".join(tokens[s : s + length]), [w for w in values[s : s + length] if w]) for s, v in zip(start, x, strict=True)]
-    return len(tokens), out
+            keep &= wanted[np.minimum(spot, len(wanted) - 1)] == x
+        for s, v in zip(start[keep].tolist(), x[keep].tolist(), strict=True):
+            words, values = tokens.window(s, s + length)
+            out.append((int(owner[s]), int(s - tops[owner[s]]), length, v, " ".join(words), [w for w in values if w]))
+    return out
 
 
 COLUMNS = "start int, length int, hash long, template string, slots array<string>"
@@ -122,12 +168,12 @@ COLUMNS = "start int, length int, hash long, template string, slots array<string
 
 def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
+        canon = Canon()
         for b in batches:
-            rows = [(k, *w) for k, d in zip(b[key], b["payload"], strict=True) for w in _windows(hasher, bytes(d).decode(errors="replace"), None, None)[1]]
+            rows = [(k, *w) for k, d in zip(b[key], b["payload"], strict=True) for _, *w in _windows(canon, [bytes(d).decode(errors="replace")], None, None)]
             yield pd.DataFrame(rows, columns=[key, "start", "length", "hash", "template", "slots"])
 
-    return benchmark.select(key, common.utf8(text).alias("payload")).mapInPandas(run, f"{key} {dict(benchmark.dtypes)[key]}, {COLUMNS}")
+    return common.map_rows(benchmark, key, {"payload": common.utf8(text)}, run, COLUMNS)
 
 
 def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,18 +181,20 @@ def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | N
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
+        canon = Canon()
         for b in batches:
-            rows = [(k, *w) for k, d in zip(b[key], b["payload"], strict=True) for w in _windows(hasher, bytes(d).decode(errors="replace"), lengths, sent.value)[1]]
+            texts, keys = [bytes(d).decode(errors="replace") for d in b["payload"]], b[key].tolist()
+            rows = []
+            for s in range(0, len(texts), 32):
+                rows += [(keys[s + i], *w) for i, *w in _windows(canon, texts[s : s + 32], lengths, sent.value)]
             yield pd.DataFrame(rows, columns=[key, "start", "length", "hash", "template", "slots"])
 
-    return docs.select(key, common.utf8(text).alias("payload")).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, {COLUMNS}")
+    return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, COLUMNS)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", sent: int = SENT) -> DataFrame:
     """(key, item, matched, windows, share, changed): one row per contaminated document and item; changed tells whether
     slot values differ from the item's."""
-    common.small_batches(docs.sparkSession)
     items = common.written(item_windows(benchmark, item), "benchmark-windows")
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most WINDOW values
     few = items.count() <= sent
