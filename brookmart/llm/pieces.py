@@ -8,8 +8,8 @@ follow each other exactly if merging their joined text gives them back. A path o
 result, so the shortest path equals what merging by rank gives, not just what the weights favour. Unigram models go
 without that part.
 
-No piece holds a character followed by a mark, so a text falls apart before each run of marks and at characters that no
-piece holds; equal segments are encoded once per task.
+A text falls apart where no piece can lie: before each run of marks, at line ends, and, if the model has no piece with
+both, between Latin letters and other characters. Equal segments are encoded once per task.
 
 Defined results: null text is empty text: no ids, decoded to the empty text; bytes that aren't UTF-8 become U+FFFD
 first; a text with the mark itself decodes to a space there, which `round_trip` tells; repeated rows are encoded alike.
@@ -32,6 +32,7 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Segments and pairs that a task remembers.
 REMEMBERED = 600_000
 #: Piece types of the model format.
@@ -92,67 +93,55 @@ class Transducer:
                 self.byte[int(p[3:5], 16)] = i
             elif kind == NORMAL:
                 self.ids[p] = i
-                node = self.trie
-                for c in p:
-                    node = node.setdefault(c, {})
-                node[""] = i
+                self.add(p, i)
         if any(a != MARK and b == MARK for p in self.ids for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("a piece holds a mark after another character")
+        meet = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False) if MARK not in (a, b)}
+        latin = re.compile(f"[{LATIN}]").match
+        mixed = any(bool(latin(a)) != bool(latin(b)) for a, b in meet)
         apart = "\n" if not any("\n" in p for p in self.ids) else ""
-        self.cut = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+" + ("|\n" if apart else ""))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        runs = f"{MARK}*[^{MARK}{apart}]+" if mixed else f"{MARK}*[{LATIN}]+|{MARK}*[^{LATIN}{MARK}{apart}]+"
+        self.cut = re.compile(f"{runs}|{MARK}+" + (f"|{apart}" if apart else ""))
+        self.cost = {p: self.weight[i] for p, i in self.ids.items()}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
+    def add(self, piece: str, i: int) -> None:
+        """A path of the trie; an arc is [id put out or -1, arcs that follow]."""
+        node = self.trie
+        for c in piece:
+            arc = node.setdefault(c, [-1, {}])
+            node = arc[1]
+        arc[0] = i
+
     def merged(self, text: str) -> list[int]:
         """Ids that merging adjacent symbols, best score first and leftmost of equals, ends with."""
-        symbols = list(text)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                i = self.ids.get(symbols[k] + symbols[k + 1])
-                if i is not None and (best is None or self.weight[i] < best):
-                    best, at = self.weight[i], k
-            if at < 0:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        symbols, cost, none = list(text), self.cost.get, float("inf")
+        found = [cost(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while found and (best := min(found)) < none:
+            k = found.index(best)
+            symbols[k] += symbols.pop(k + 1)
+            del found[k]
+            if k:
+                found[k - 1] = cost(symbols[k - 1] + symbols[k], none)
+            if k < len(found):
+                found[k] = cost(symbols[k] + symbols[k + 1], none)
         return [self.ids.get(s, -1) for s in symbols]
 
     def follows(self, a: int, b: int) -> bool:
         """The acceptor of pairs."""
-        if (a, b) not in self.pairs:
-            if len(self.pairs) > REMEMBERED:
-                self.pairs.clear()
-            self.pairs[a, b] = self.merged(self.pieces[a][0] + self.pieces[b][0]) == [a, b]
-        return self.pairs[a, b]
+        if len(self.pairs) > REMEMBERED:
+            self.pairs.clear()
+        ok = self.pairs[a << 32 | b] = self.merged(self.pieces[a][0] + self.pieces[b][0]) == [a, b]
+        return ok
 
     def shortest_path(self, segment: str) -> bytes:
         """Ids of a normalised segment, as little-endian 32-bit numbers."""
         n = len(segment)
-        cost: list[float] = [0.0] + [float("inf")] * n
-        last: list[int] = [-1] * (n + 1)  # the piece that ends here; -1: none, or bytes
+        last = [-2] * (n + 1)  # the piece that ends here; -1: none, or bytes; -2: not reached
         come = [0] * (n + 1)
-        bpe, weight, pairs, follows = self.bpe, self.weight, self.pairs, self.follows
-        for i in range(n):
-            if cost[i] == float("inf"):
-                continue
-            node, before, so_far = self.trie.get(segment[i]), last[i], cost[i]
-            if node is None:  # byte fallback
-                if so_far + BYTE_WEIGHT < cost[i + 1]:
-                    cost[i + 1], last[i + 1], come[i + 1] = so_far + BYTE_WEIGHT, -1, i
-                continue
-            if "" not in node and so_far + BYTE_WEIGHT < cost[i + 1]:
-                cost[i + 1], last[i + 1], come[i + 1] = so_far + BYTE_WEIGHT, -1, i
-            j = i
-            while node is not None:
-                j += 1
-                piece = node.get("")
-                if piece is not None and so_far + weight[piece] < cost[j]:
-                    ok = not bpe or before < 0 or pairs.get((before, piece))
-                    if ok is None:
-                        ok = follows(before, piece)
-                    if ok:
-                        cost[j], last[j], come[j] = so_far + weight[piece], piece, i
-                node = node.get(segment[j]) if j < n else None
+        last[0] = -1
+        (self._accepted if self.bpe else self._lightest)(segment, last, come)
         out: list[int] = []
         j = n
         while j:
@@ -161,20 +150,54 @@ class Transducer:
             j = i
         return struct.pack(f"<{len(out)}i", *reversed(out))
 
+    def _accepted(self, segment: str, last: list[int], come: list[int]) -> None:
+        """With the acceptor of pairs one path at most leads to each place, so the first found is the shortest."""
+        n, trie, known, follows = len(segment), self.trie, self.pairs.get, self.follows
+        for i in range(n):
+            before, node, j = last[i], trie, i
+            while j < n:
+                arc = node.get(segment[j])
+                if arc is None:
+                    break
+                j += 1
+                piece, node = arc
+                if piece >= 0 and last[j] == -2:
+                    ok = True if before < 0 else known(before << 32 | piece)
+                    if ok is None:
+                        ok = follows(before, piece)
+                    if ok:
+                        last[j], come[j] = piece, i
+            if last[i + 1] == -2 and segment[i] not in self.ids:  # byte fallback
+                last[i + 1], come[i + 1] = -1, i
+
+    def _lightest(self, segment: str, last: list[int], come: list[int]) -> None:
+        """Least sum of weights."""
+        n, weight, none = len(segment), self.weight, float("inf")
+        cost = [0.0] + [none] * n
+        for i in range(n):
+            node, j, so_far = self.trie, i, cost[i]
+            if segment[i] not in self.ids and so_far + BYTE_WEIGHT < cost[i + 1]:
+                cost[i + 1], last[i + 1], come[i + 1] = so_far + BYTE_WEIGHT, -1, i
+            while j < n and (arc := node.get(segment[j])) is not None:
+                j += 1
+                piece, node = arc
+                if piece >= 0 and so_far + weight[piece] < cost[j]:
+                    cost[j], last[j], come[j] = so_far + weight[piece], piece, i
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         normal = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        known, out = self.known, []
-        for s in self.cut.findall(normal):
-            ids = known.get(s)
-            if ids is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                ids = self.shortest_path(s)
-                if len(s) < 64:
-                    known[s] = ids
-            out.append(ids)
+        segments = self.cut.findall(normal)
+        out = list(map(self.known.get, segments))
+        if None in out:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            for k, s in enumerate(segments):
+                if out[k] is None:
+                    out[k] = self.known.get(s) or self.shortest_path(s)
+                    if len(s) < 64:
+                        self.known[s] = out[k]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -196,7 +219,6 @@ def load(path: str = MODEL) -> bytes:
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """(key, n_tokens, ids): ids as an array of ints."""
-    common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +227,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
             ids = [np.frombuffer(t.encode(bytes(d).decode(errors="replace")), "<i4") for d in b["payload"]]
             yield pd.DataFrame({key: b[key], "n_tokens": [len(i) for i in ids], "ids": ids})
 
-    return docs.select(key, common.utf8(text).alias("payload")).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, n_tokens long, ids array<int>")
+    return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, "n_tokens long, ids array<int>")
 
 
 def decode(ids: DataFrame, column: str = "ids", model: str = MODEL) -> DataFrame:
@@ -222,7 +244,6 @@ def decode(ids: DataFrame, column: str = "ids", model: str = MODEL) -> DataFrame
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """(key, n_tokens, ids_sha256 of the ids as little-endian 32-bit numbers, decoded_sha256, round_trip), in one pass."""
-    common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,8 +257,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 rows.append((k, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == data))
             yield pd.DataFrame(rows, columns=[key, "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    return docs.select(key, common.utf8(text).alias("payload")).mapInPandas(
-        run, f"{key} {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
