@@ -10,8 +10,11 @@ link. Lists of over LIST distinct fingerprints aren't paired: their fingerprints
 from them, which two fingerprints share exactly if they differ in at most two bits; such a meeting has at most 65
 members and yields a star. So no link is lost and no list gives its square in pairs.
 
-Near-duplicates (near_duplicates): five-word shingles, 256 bits; keys of three bytes chosen at random, pairs with the
-first members of a list and its neighbours, and then the exact Jaccard similarity of the shingle sets.
+Near-duplicates (similar): five-word shingles, 256 bits, and two sources of candidates, whose pairs count by the exact
+Jaccard similarity of the shingle sets. The first (keys of three random bytes, pairs with the first members of a list
+and its neighbours, of each text the one it meets most often) is quick and draws most groups together, but misses pairs.
+The second is exact: each text posts its rarest shingles, so many that two texts of the similarity share one, and all
+pairs of such a list are compared but those that sizes and places rule out or that are in one group already.
 
 Defined results: null text is empty text; no words give fingerprint zero, linked like any other; exact copies are
 grouped before any pairing. A null id has the smallest known id of its fingerprint's component, or null; the stage
@@ -20,6 +23,7 @@ leaves rows with null ids alone. Rows that repeat an id take part each with its
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from itertools import accumulate
@@ -37,6 +41,9 @@ from .components import components
 #: Distinct fingerprints of an index list up to which its pairs are formed at once.
 LIST = 48
 SEED = 42
+#: Texts whose shingles are counted to tell frequent from rare ones, and frequent ones kept. The order of shingles only
+#: decides how short the lists are; every order gives the same pairs.
+COUNTED, FREQUENT = 20_000, 50_000
 
 
 def shingle_hashes(data: bytes, words: int) -> np.ndarray:
@@ -139,19 +146,43 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near-duplicates by similarity
 
 
-def _wide(docs: DataFrame, key: str, text: str, words: int, n: int) -> DataFrame:
-    """(key, digest of the words, number of distinct shingles, fingerprint of n words)."""
+def _frequent(docs: DataFrame, key: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, and their counts."""
+    common.small_batches(docs.sparkSession)
+    some = docs.where(F.pmod(F.xxhash64(key), F.lit(max(1, docs.count() // COUNTED))) == 0)
+    n = _sets(some, key, text, words).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    top = sorted((r["shingle"] & (2**64 - 1), r["n"]) for r in n.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect())
+    return np.array([r[0] for r in top], np.uint64), np.array([r[1] for r in top], np.int64)
+
+
+def rarest(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of a text's distinct shingles the rarest, in the order of all texts: so many that two texts of at least the
+    similarity have one in common."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+    count = np.zeros(len(h), np.int64)
+    if len(frequent):
+        spot = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        count = np.where(frequent[spot] == h, counts[spot], 0)
+    return h[np.lexsort((h, count))[:n]].view(np.int64)
+
+
+def _wide(docs: DataFrame, key: str, text: str, words: int, n: int, similarity: float) -> DataFrame:
+    """(key, digest of the words, number of distinct shingles, fingerprint of n words, rarest shingles)."""
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, key, text, words))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for d in b["payload"]:
                 h = np.unique(shingle_hashes(bytes(d), words))
-                out.append((xxhash.xxh3_128_digest(b" ".join(bytes(d).lower().split())), len(h), fingerprint(h, n).tobytes()))
-            t = pd.DataFrame(out, columns=["digest", "size", "fp"])
+                out.append((xxhash.xxh3_128_digest(b" ".join(bytes(d).lower().split())), len(h), fingerprint(h, n).tobytes(), rarest(h, similarity, *sent.value)))
+            t = pd.DataFrame(out, columns=["digest", "size", "fp", "rarest"])
             t.insert(0, key, b[key].to_numpy())
             yield t
 
-    return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, "digest binary, size int, fp binary")
+    return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, "digest binary, size int, fp binary, rarest array<long>")
 
 
 def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -190,8 +221,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     """(id, component) of documents that have a copy or a neighbour of at least that similarity of shingle sets."""
     spark = docs.sparkSession
     docs = docs.where(F.col(key).isNotNull())  # a row without an id can't be named as gone
-    rows = common.written(_wide(docs, key, text, words, n).withColumnRenamed(key, "id"), "wide-fingerprints")
-    classes = common.written(rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("fp").alias("fp")), "text-classes")
+    rows = common.written(_wide(docs, key, text, words, n, similarity).withColumnRenamed(key, "id"), "wide-fingerprints")
+    classes = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("rarest").alias("rarest"))
+    classes = common.written(classes, "text-classes")
     chosen = _key_positions(n, keys)
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,16 +238,40 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     lists = classes.where("size > 0").select("id", "fp").mapInPandas(posted, f"key long, id {kind}")
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = lists.repartition(width, "key").sortWithinPartitions("key", "id").mapInArrow(_neighbours, f"a {kind}, b {kind}").distinct()
-    pairs = _close(pairs, classes, similarity, n)
+    pairs = lists.repartition(width, "key").sortWithinPartitions("key", "id").mapInArrow(_neighbours, f"a {kind}, b {kind}")
+    pairs = pairs.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+    near = pairs.where("met > 1").groupBy("b").agg(F.max(F.struct("met", "a")).alias("nearest")).select("nearest.a", "b")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    links = _verified(near, texts, words, similarity)
+    links = links.unionByName(_verified(_sharing(classes, components(links), similarity), texts, words, similarity))
+    copies = rows.join(classes.select("digest", F.col("id").alias("first")), "digest").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return components(links.unionByName(copies))
+
+
+def _sharing(classes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts not in one component yet that can have the similarity. Two such texts share one of
+    their rarest shingles; at the first one shared, what is left of either text must make up the overlap they need.
+    Lists whose texts are in one component give nothing and go before the join; pairs of long ones are left to the
+    skew join."""
+    posts = classes.where("size > 0").join(found, "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"), F.posexplode("rarest").alias("pos", "key"))
+    posts = posts.select("key", "id", "component", "size", (F.col("size") - F.col("pos")).alias("left"))
+    mixed = posts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    met = common.written(posts.join(mixed, "key"), "shingle-lists")
+    x, y = (met.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "size", "left"))) for s in "ab")
+    both = x.join(y, "key").where("id_a < id_b and component_a <> component_b")
+    both = both.where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
+    both = both.where(F.least("left_a", "left_b") >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6)
+    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs of (a, b) whose shingle sets have at least the similarity."""
+    pairs = common.written(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    sets = common.written(_sets(texts, "id", "text", words), "shingle-sets")
+    sets = common.written(_sets(texts.join(wanted, "id", "left_semi"), "id", "text", words), "shingle-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    close = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    copies = rows.join(classes.select("digest", F.col("id").alias("first")), "digest").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    return components(close.unionByName(copies))
+    return common.written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
 
 
 def _key_positions(n: int, keys: int, size: int = 3) -> np.ndarray:
@@ -223,22 +279,6 @@ def _key_positions(n: int, keys: int, size: int = 3) -> np.ndarray:
     return np.array([rng.sample(range(8 * n), size) for _ in range(keys)])
 
 
-def _close(pairs: DataFrame, classes: DataFrame, similarity: float, n: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose fingerprints are within four deviations of its distance."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most = 64 * n * angle + 4 * np.sqrt(64 * n * angle * (1 - angle))
-
-    @F.pandas_udf("int")
-    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(map(bytes, s)), np.uint64).reshape(len(s), -1) for s in (a, b))
-        return pd.Series(np.bitwise_count(x ^ y).sum(1).astype(np.int32))
-
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("fp").alias(f"fp_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
-    return common.written(both.where(apart("fp_a", "fp_b") <= float(most)).select("a", "b"), "near-pairs")
-
-
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the document with the smallest id stays."""
     found = similar(docs)
