@@ -44,3 +44,19 @@ def test_crowded_lists_lose_no_pair(spark):
     want = brute(docs)
     assert len(set(want.values())) >= groups // 2
     assert found(spark, docs) == want
+
+
+def test_short_texts_equal_brute_force(spark):
+    """Texts of 5 to 20 words, many exactly at the similarity: 4 of 5 shingles, 12 of 15."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(3000)}"
+    docs = []
+    for _ in range(150):
+        base = [word() for _ in range(rng.randint(5, 20))]
+        forms = [base, base[:-1], [*base, word()], base[1:], [*base[:-1], word()], [word(), *base[1:]]]
+        docs += [" ".join(f) for f in rng.sample(forms, 3)]
+    rng.shuffle(docs)
+    docs = [*enumerate(docs), (9000, ""), (9001, "one"), (9002, "two words"), (9003, "two words")]
+    want = brute(docs)
+    assert len(want) > 100 and 9003 in want
+    assert found(spark, docs) == want
