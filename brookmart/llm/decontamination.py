@@ -7,8 +7,11 @@ alignment, one value of the benchmark may stand for one value of the document on
 do not count. A document is contaminated by an item if the windows that count make up half of the item's windows, or
 RUN of them.
 
-Windows with fewer than LEAST_WORDS plain words say nothing and are left out on both sides; items that have no other
-windows can't be found. Items shorter than a window are one window of their own length. Defined results: null text is
+Windows with fewer than LEAST_WORDS plain words say nothing and are left out on both sides; items shorter than a window
+are one window of their own length, for which SHORT_WORDS plain words of SHORT tokens at least are enough. Beside the
+templates stand literal windows, of lower-cased tokens as they are (numbers, names and units too), under the same rule:
+so an item is found word for word, in any case, whatever its template says. An item of one to three tokens counts only
+as a literal copy and if it has LEAST_LETTERS characters. Defined results: null text is
 empty text without windows; null ids take part like other ids; equal items each give their row; repeated documents are
 judged alike; empty tables give no rows.
 """
@@ -29,6 +32,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, LEAST_WORDS, RUN = 8, 4, 8
+SHORT, SHORT_WORDS = 5, 3
+#: Tokens from which a literal item counts however short they are; below, it has so many characters (single spaces included).
+LEAST_TOKENS, LEAST_LETTERS = 4, 16
 #: Benchmark windows up to which their hashes are sent to every task (16 bytes each); beyond that all windows are shuffled.
 SENT = 1_000_000
 #: Units.
@@ -94,19 +100,20 @@ class Canon:
         ids, owner = ids[~end], owner[~end]
         first = np.concatenate([[True], (types[1:] == 0) | (types[1:] != types[:-1]) | (owner[1:] != owner[:-1])])[: len(ids)]
         starts = np.flatnonzero(first)
-        return Tokens(self, ids, types[starts], starts, owner[starts])
+        return Tokens(self, ids, types[starts], starts, owner[starts], owner)
 
 
 @dataclass
 class Tokens:
     """Canonical tokens of several texts: their types, where each one's raw tokens start (a run of one placeholder type
-    is one), and the number of its text."""
+    is one), and the number of its text; and the number of each raw token's text."""
 
     canon: Canon
     ids: np.ndarray
     types: np.ndarray
     starts: np.ndarray
     owner: np.ndarray
+    raw_owner: np.ndarray
 
     def hashes(self) -> np.ndarray:
         return np.where(self.types == 0, self.canon.hash[self.ids[self.starts]], self.types.astype(np.uint64))
@@ -128,38 +135,47 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
     return t.window(0, len(t.starts))
 
 
-def hashed_windows(h: np.ndarray, plain: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows that have enough plain words."""
+def hashed_windows(h: np.ndarray, plain: np.ndarray | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the windows that have enough plain words; of all windows, hashed otherwise, if plain is None."""
     n = len(h) - length + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = np.full(n, length, np.uint64)
+    x = np.full(n, length + (WINDOW if plain is None else 0), np.uint64)
     for k in range(length):
         x = (x ^ (x >> np.uint64(29))) * _STEP + h[k : k + n]
     x ^= x >> np.uint64(32)
+    if plain is None:
+        return np.arange(n), x.view(np.int64)
     words = np.concatenate([[0], np.cumsum(plain)])
-    keep = np.flatnonzero(words[length:] - words[:n] >= min(LEAST_WORDS, length))
+    keep = np.flatnonzero(words[length:] - words[:n] >= (SHORT_WORDS if SHORT <= length < WINDOW else LEAST_WORDS))
     return keep, x.view(np.int64)[keep]
 
 
 def _windows(canon: Canon, texts: list[str], lengths: list[int] | None, wanted: np.ndarray | None) -> list[tuple]:
-    """(number of the text, start, length, hash, template, slot values) of windows inside one text; lengths None: the
-    only text's own windows."""
+    """(number of the text, start, length, hash, template, slot values) of windows inside one text; literal windows have
+    negative lengths and no slots. Lengths None: the only text's own windows."""
     tokens = canon(texts)
     if not len(tokens.starts):
         return []
-    h, plain, owner = tokens.hashes(), tokens.types == 0, tokens.owner
-    tops = np.searchsorted(owner, np.arange(len(texts)))
+    h, plain, raw = tokens.hashes(), tokens.types == 0, canon.hash[tokens.ids]
+    if lengths is None:
+        low = [canon.low[i] for i in tokens.ids.tolist()]
+        literal = len(low) >= LEAST_TOKENS or len(" ".join(low)) >= LEAST_LETTERS
+        lengths = [min(WINDOW, len(h)), *([-min(WINDOW, len(low))] if literal else [])]
+    tops = [np.searchsorted(owner, np.arange(len(texts))) for owner in (tokens.owner, tokens.raw_owner)]
     out = []
-    for length in [min(WINDOW, len(h))] if lengths is None else lengths:
-        start, x = hashed_windows(h, plain, length)
-        keep = owner[start] == owner[start + length - 1]
+    for length in lengths:
+        long, literal = abs(length), length < 0
+        start, x = hashed_windows(raw, None, long) if literal else hashed_windows(h, plain, long)
+        owner, top = (tokens.raw_owner, tops[1]) if literal else (tokens.owner, tops[0])
         if wanted is not None and len(x):
             spot = np.searchsorted(wanted, x)
-            keep &= wanted[np.minimum(spot, len(wanted) - 1)] == x
+            met = wanted[np.minimum(spot, len(wanted) - 1)] == x
+            start, x = start[met], x[met]
+        keep = owner[start] == owner[start + long - 1]
         for s, v in zip(start[keep].tolist(), x[keep].tolist(), strict=True):
-            words, values = tokens.window(s, s + length)
-            out.append((int(owner[s]), int(s - tops[owner[s]]), length, v, " ".join(words), [w for w in values if w]))
+            words, values = ([canon.low[i] for i in tokens.ids[s : s + long].tolist()], []) if literal else tokens.window(s, s + long)
+            out.append((int(owner[s]), int(s - top[owner[s]]), length, v, " ".join(words), [w for w in values if w]))
     return out
 
 
@@ -193,19 +209,20 @@ def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | N
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", sent: int = SENT) -> DataFrame:
-    """(key, item, matched, windows, share, changed): one row per contaminated document and item; changed tells whether
-    slot values differ from the item's."""
+    """(key, item, matched, windows, share, changed): one row per contaminated document and item, with the counts of
+    literal windows if only these find it; changed tells whether slot values differ from the item's."""
     items = common.written(item_windows(benchmark, item), "benchmark-windows")
-    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most WINDOW values
+    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most twice WINDOW values
     few = items.count() <= sent
     wanted = np.unique(np.array([r["hash"] for r in items.select("hash").distinct().collect()], np.int64)) if few else None
     if few and not len(wanted):
         wanted, lengths = np.zeros(1, np.int64), []
-    total = items.groupBy(item).agg(F.countDistinct("start").alias("windows"))
+    literal = (F.col("length") < 0).alias("literal")
+    total = items.groupBy(item, literal).agg(F.countDistinct("start").alias("windows"))
     of_items = items.select(item, F.col("start").alias("item_start"), "length", "hash", "template", F.col("slots").alias("item_slots"))
     found = document_windows(docs, lengths, wanted, key, text)
     met = found.join(F.broadcast(of_items) if few else of_items, ["hash", "length", "template"])
-    met = met.select(key, item, (F.col("start") - F.col("item_start")).alias("offset"), "item_start", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs"))
+    met = met.select(key, item, literal, (F.col("start") - F.col("item_start")).alias("offset"), "item_start", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs"))
     met = common.written(met, "windows-met")
     # slots of an alignment: at most the item's length
     pairs = met.select(key, item, "offset", F.explode("pairs").alias("p")).groupBy(key, item, "offset", "p.a").agg(F.countDistinct("p.b").alias("values"))
@@ -214,11 +231,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     same = F.col(key).eqNullSafe(F.col("k")) & F.col(item).eqNullSafe(F.col("i")) & (F.col("offset") == F.col("o"))
     sound = met.join(broken, same, "left").where(
         F.col("broken").isNull() | ~F.arrays_overlap(F.transform("pairs", lambda p: p["a"]), F.coalesce("broken", F.array().cast("array<string>"))))
-    sound = sound.select(key, item, "item_start", F.exists("pairs", lambda p: p["a"] != p["b"]).alias("differs"))
-    hits = sound.groupBy(key, item).agg(F.countDistinct("item_start").alias("matched"), F.max("differs").alias("changed"))
-    hits = hits.join(F.broadcast(total) if few else total, item)
-    return hits.where((F.col("matched") * 2 >= F.col("windows")) | (F.col("matched") >= RUN)).select(
-        key, item, "matched", "windows", (F.col("matched") / F.col("windows")).alias("share"), "changed")
+    sound = sound.select(key, item, "literal", "item_start", F.exists("pairs", lambda p: p["a"] != p["b"]).alias("differs"))
+    hits = sound.groupBy(key, item, "literal").agg(F.countDistinct("item_start").alias("matched"), F.max("differs").alias("changed"))
+    hits = hits.join(F.broadcast(total) if few else total, [item, "literal"])
+    hits = hits.where((F.col("matched") * 2 >= F.col("windows")) | (F.col("matched") >= RUN))
+    row = F.struct("matched", "windows", (F.col("matched") / F.col("windows")).alias("share"), "changed")
+    return hits.groupBy(key, item).agg(F.min_by(row, "literal").alias("hit")).select(key, item, "hit.*")  # by template, if it is found so
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

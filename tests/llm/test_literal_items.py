@@ -1,0 +1,20 @@
+"""Benchmark items that have no countable template window, and items of few words."""
+
+from __future__ import annotations
+
+from brookmart.llm import decontamination
+
+
+def test_items_are_found_word_for_word_in_any_case(spark):
+    items = [
+        (1, "What is 12 times 30?"), (2, "Paris 1912 Rome 1955 Oslo"), (3, "Convert 5 km, 6 kg"), (4, "cats"), (5, "of the"),
+        (6, "photosynthesis membrane"), (7, "Anna Maria met Otto Klein while Bob Hill saw Eva Stone near Lake Como with Tom Reed"), (8, "12 30 45 7 81 9 10 11")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [
+        (1, "so what IS 12 times 30? well"), (2, "See: Paris 1912 Rome 1955 Oslo. End"), (3, "first convert 5 KM, 6 kg now"), (4, "cats and dogs of the house"),
+        (5, "A PHOTOSYNTHESIS MEMBRANE is"), (6, items[6][1].lower()), (7, items[6][1].upper()), (8, "a list 12 30 45 7 81 9 10 11 ends"),
+        (9, "see what is 15 times 40?"), (10, "Paris 1913 Rome 1955 Oslo"), (11, "what is it many times over"), (12, "photosynthesis in a membrane"), (13, "12 30 45 7 81 9 10 12")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for sent in (10**6, 0):
+        got = {(r.doc_id, r.item_id): r.changed for r in decontamination.contaminated(df, bench, sent=sent).collect()}
+        assert got == {(1, 1): False, (9, 1): True, (2, 2): False, (3, 3): False, (5, 6): False, (6, 7): False, (7, 7): False, (8, 8): False}
