@@ -1,7 +1,8 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and scores of the hits' context windows.
 
 The lexicon has a few common insults and the words and word beginnings that the training documents mark: those found
-in a far larger share of toxic than of other documents. It is compiled into a trie; the trie is intersected with the
+in a far larger share of toxic than of other documents; a word stands beside its beginning, since beginnings are taken
+as they are and only words with errors. It is compiled into a trie; the trie is intersected with the
 Levenshtein automaton (one error for words of five letters or more) and made deterministic on demand, so that a word
 costs a few table steps. Every hit is weighed by its window: quotation marks and words of reporting, or direct address.
 A logistic regression on the whole text's hit counts gives the score.
@@ -50,16 +51,16 @@ class Lexicon:
 
     def __init__(self, terms: Iterable[Term]):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[float, int, bool] | None] = [None]
+        self.ends: list[list[tuple[float, int, bool]]] = [[]]
         for t in sorted(terms, key=lambda t: (t.stem, t.text)):
             node = 0
             for c in t.text:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
-                    self.ends.append(None)
+                    self.ends.append([])
                 node = self.children[node][c]
-            self.ends[node] = (t.weight, 0 if t.stem or len(t.text) < 5 else 1, t.stem)
+            self.ends[node].append((t.weight, 0 if t.stem or len(t.text) < 5 else 1, t.stem))
         self.states: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
@@ -81,7 +82,7 @@ class Lexicon:
             self.number[state] = len(self.states)
             self.states.append(state)
             self.steps.append({})
-            ends = [(e[0], errors, e[2]) for node, errors in state if (e := self.ends[node]) and errors <= e[1]]
+            ends = [(e[0], errors, e[2]) for node, errors in state for e in self.ends[node] if errors <= e[1]]
             best = lambda found: min(((w, x) for w, x, _ in found), key=lambda f: (f[1], -f[0]), default=None)
             self.accepts.append(best(ends))
             self.sure.append(best([e for e in ends if e[2]]))
@@ -168,7 +169,8 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn_terms(sample: DataFrame, least: int = 6, odds: float = 4.0, limit: int = 300) -> list[Term]:
-    """At most `limit` terms whose share of toxic documents is `odds` times that of others, ranked by likelihood ratio."""
+    """Terms whose share of toxic documents is `odds` times that of others, ranked by likelihood ratio: at most `limit`
+    words, and at most `limit` of the beginnings that are left after merging."""
     rows = sample.mapInPandas(_terms, "term string, stem boolean, label int, n long")
     n = rows.groupBy("term", "stem").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
@@ -179,16 +181,15 @@ def learn_terms(sample: DataFrame, least: int = 6, odds: float = 4.0, limit: int
     share = (F.col("a") + 0.5) / (toxic + 1)
     ratio = share / ((F.col("b") + 0.5) / (other + 1))
     top = n.where((F.col("term") != "") & (F.col("a") >= least)).withColumn("ratio", ratio).where(F.col("ratio") >= odds)
-    top = top.withColumn("rank", F.col("a") * F.log("ratio")).orderBy(F.desc("rank"), "term", "stem").limit(limit).collect()
-    chosen: list[Term] = []
-    counts = {(r["term"], r["stem"]): r["a"] for r in top}
-    for r in top:
-        stem_longer = r["stem"] and any(s and t != r["term"] and t.startswith(r["term"]) and a >= 0.95 * r["a"] for (t, s), a in counts.items())
-        word_of_stem = not r["stem"] and any(s and r["term"].startswith(t) and a >= r["a"] for (t, s), a in counts.items())
-        if not stem_longer and not word_of_stem and (r["a"] >= 3 * least or r["ratio"] >= 3 * odds):
-            chosen.append(Term(r["term"], round(math.log(r["ratio"]), 6), r["stem"]))
-    # a beginning that only one word has is that word: then spelling errors are caught too
-    return [Term(t.text, t.weight) if t.stem and (t.text, False) in counts and counts[t.text, False] >= 0.9 * counts[t.text, True] else t for t in chosen]
+    top = top.where((F.col("a") >= 3 * least) | (F.col("ratio") >= 3 * odds)).withColumn("rank", F.col("a") * F.log("ratio"))
+    top = top.orderBy(F.desc("rank"), "term", "stem").collect()  # words of the bounded sample
+    stems = {r["term"]: r["a"] for r in top if r["stem"]}
+    words = {r["term"]: r["a"] for r in top if not r["stem"]}
+    merged = {t[:k] for t, a in stems.items() for k in range(STEM[0], len(t)) if a >= 0.95 * stems.get(t[:k], math.inf)}
+    # a beginning that only one word has is that word
+    merged |= {t for t, a in stems.items() if words.get(t, 0) >= 0.9 * a}
+    term = lambda r: Term(r["term"], round(math.log(r["ratio"]), 6), r["stem"])
+    return [term(r) for r in top if not r["stem"]][:limit] + [term(r) for r in top if r["stem"] and r["term"] not in merged][:limit]
 
 
 @dataclass
