@@ -221,9 +221,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     """(id, component) of documents that have a copy or a neighbour of at least that similarity of shingle sets."""
     spark = docs.sparkSession
     docs = docs.where(F.col(key).isNotNull())  # a row without an id can't be named as gone
-    rows = common.written(_wide(docs, key, text, words, n, similarity).withColumnRenamed(key, "id"), "wide-fingerprints")
+    rows, rows_path = common.stored(_wide(docs, key, text, words, n, similarity).withColumnRenamed(key, "id"), "wide-fingerprints")
     classes = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("rarest").alias("rarest"))
-    classes = common.written(classes, "text-classes")
+    classes, classes_path = common.stored(classes, "text-classes")
+    copies = rows.select("id", "digest").join(classes.select("digest", F.col("id").alias("first")), "digest").where("id <> first")
+    copies = common.written(copies.select(F.col("first").alias("a"), F.col("id").alias("b")), "copies")
+    common.discard(spark, rows_path)
     chosen = _key_positions(n, keys)
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,21 +245,27 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     pairs = pairs.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
     near = pairs.where("met > 1").groupBy("b").agg(F.max(F.struct("met", "a")).alias("nearest")).select("nearest.a", "b")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    links = _verified(near, texts, words, similarity)
-    links = links.unionByName(_verified(_sharing(classes, components(links), similarity), texts, words, similarity))
-    copies = rows.join(classes.select("digest", F.col("id").alias("first")), "digest").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    return components(links.unionByName(copies))
+    links = _verified(common.stored(near, "pairs"), texts, words, similarity)
+    met, met_path = common.stored(_lists(classes, components(links)), "shingle-lists")
+    common.discard(spark, classes_path)
+    more = common.stored(_sharing(met, similarity), "pairs")
+    common.discard(spark, met_path)
+    return components(links.unionByName(_verified(more, texts, words, similarity)).unionByName(copies))
 
 
-def _sharing(classes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts not in one component yet that can have the similarity. Two such texts share one of
-    their rarest shingles; at the first one shared, what is left of either text must make up the overlap they need.
-    Lists whose texts are in one component give nothing and go before the join; pairs of long ones are left to the
-    skew join."""
+def _lists(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, component, size, what is left of the text from there on): each text under its rarest shingles. Lists
+    whose texts are in one component give no new link and go here."""
     posts = classes.where("size > 0").join(found, "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"), F.posexplode("rarest").alias("pos", "key"))
     posts = posts.select("key", "id", "component", "size", (F.col("size") - F.col("pos")).alias("left"))
     mixed = posts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    met = common.written(posts.join(mixed, "key"), "shingle-lists")
+    return posts.join(mixed, "key")
+
+
+def _sharing(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts not in one component yet that can have the similarity. Two such texts share one of
+    their rarest shingles; at the first one shared, what is left of either text must make up the overlap they need.
+    Pairs of long lists are left to the skew join."""
     x, y = (met.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "size", "left"))) for s in "ab")
     both = x.join(y, "key").where("id_a < id_b and component_a <> component_b")
     both = both.where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
@@ -264,14 +273,18 @@ def _sharing(classes: DataFrame, found: DataFrame, similarity: float) -> DataFra
     return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those pairs of (a, b) whose shingle sets have at least the similarity."""
-    pairs = common.written(pairs, "pairs")
+def _verified(stored: tuple[DataFrame, str], texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs of (a, b) whose shingle sets have at least the similarity; the pairs' table goes."""
+    pairs, pairs_path = stored
+    spark = pairs.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = common.written(_sets(texts.join(wanted, "id", "left_semi"), "id", "text", words), "shingle-sets")
+    sets, sets_path = common.stored(_sets(texts.join(wanted, "id", "left_semi"), "id", "text", words), "shingle-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return common.written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+    links = common.written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+    common.discard(spark, pairs_path)
+    common.discard(spark, sets_path)
+    return links
 
 
 def _key_positions(n: int, keys: int, size: int = 3) -> np.ndarray:
