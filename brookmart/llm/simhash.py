@@ -10,15 +10,16 @@ link. Lists of over LIST distinct fingerprints aren't paired: their fingerprints
 from them, which two fingerprints share exactly if they differ in at most two bits; such a meeting has at most 65
 members and yields a star. So no link is lost and no list gives its square in pairs.
 
-Near-duplicates (similar): five-word shingles, 256 bits, and two sources of candidates, whose pairs count by the exact
-Jaccard similarity of the shingle sets. The first (keys of three random bytes, pairs with the first members of a list
-and its neighbours, of each text the one it meets most often) is quick and draws most groups together, but misses pairs.
-The second is exact: each text posts its rarest shingles, so many that two texts of the similarity share one, and all
-pairs of such a list are compared but those that sizes and places rule out or that are in one group already.
+Near-duplicates (similar): five-word shingles; every pair whose shingle sets have a Jaccard similarity of 0.8 is a link.
+Candidates come from the positional index of 256-bit fingerprints (keys of three random bytes; of each text the one it
+shares most keys with) and from lists of rare shingles: each text posts its rarest ones, so many that two texts of the
+similarity share one. In a list all texts are paired with its hub. What isn't in one component after these links is
+compared in full, but for pairs that sizes and places rule out. So no component is missed, and a group of near copies
+costs about as many pairs as it has members, since they meet at the hub.
 
 Defined results: null text is empty text; no words give fingerprint zero, linked like any other; exact copies are
-grouped before any pairing. A null id has the smallest known id of its fingerprint's component, or null; the stage
-leaves rows with null ids alone. Rows that repeat an id take part each with its text.
+grouped before any pairing. A null id has the smallest known id of its component, or null, and links its neighbours like
+any other; the stage leaves rows with null ids alone. Rows that repeat an id take part each with its text.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .components import components
@@ -42,8 +44,10 @@ from .components import components
 LIST = 48
 SEED = 42
 #: Texts whose shingles are counted to tell frequent from rare ones, and frequent ones kept. The order of shingles only
-#: decides how short the lists are; every order gives the same pairs.
-COUNTED, FREQUENT = 20_000, 50_000
+#: decides how short the lists are; every order gives the same links.
+COUNTED, FREQUENT = 8_000, 50_000
+#: Texts with a shingle beyond which its list is kept in parts, and the bits of a key that number the parts.
+SPLIT, SALT = 50_000, 0xFFFF
 
 
 def shingle_hashes(data: bytes, words: int) -> np.ndarray:
@@ -132,10 +136,11 @@ def linked(fps: DataFrame, k: int = 2, most: int = LIST) -> DataFrame:
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, k: int = 2) -> DataFrame:
     """(key, fingerprint, component_id): the smallest id reachable over links of at most k bits, itself included."""
     rows = common.written(fingerprints(docs, key, text, words), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min(key).alias("id"))
-    classes = common.written(classes, "fingerprint-classes")
-    found = components(linked(classes, k))
-    names = classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    classes = common.written(rows.groupBy("fp").agg(F.min(key).alias("first")), "fingerprint-classes")
+    # fingerprints are linked, not ids: one whose rows have no id still joins its neighbours
+    found = components(linked(classes.select(F.col("fp").alias("id"), "fp"), k))
+    parts = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    names = parts.join(parts.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("fp", "component_id")
     return rows.join(names, "fp").select(key, "fingerprint", "component_id")
 
 
@@ -147,17 +152,19 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frequent(docs: DataFrame, key: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and their counts."""
+    """Frequent shingles, sorted, and in about how many texts each one is."""
     common.small_batches(docs.sparkSession)
-    some = docs.where(F.pmod(F.xxhash64(key), F.lit(max(1, docs.count() // COUNTED))) == 0)
+    step = max(1, docs.count() // COUNTED)
+    some = docs.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0)
     n = _sets(some, key, text, words).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    top = sorted((r["shingle"] & (2**64 - 1), r["n"]) for r in n.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect())
+    top = sorted((r["shingle"] & (2**64 - 1), r["n"] * step) for r in n.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect())
     return np.array([r[0] for r in top], np.uint64), np.array([r[1] for r in top], np.int64)
 
 
-def rarest(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of a text's distinct shingles the rarest, in the order of all texts: so many that two texts of at least the
-    similarity have one in common."""
+def rarest(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray, salt: int = 0, split: int = SPLIT) -> np.ndarray:
+    """Keys of a text's rarest distinct shingles, in the order of all texts: so many that two texts of at least the
+    similarity have one in common. A key is the shingle's hash with its last 16 bits replaced by 0, or, where a shingle
+    is in more than `split` texts, by one of as many numbers from 1 on as keep its lists that short."""
     if not len(h):
         return np.zeros(0, np.int64)
     n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
@@ -165,11 +172,14 @@ def rarest(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.nd
     if len(frequent):
         spot = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
         count = np.where(frequent[spot] == h, counts[spot], 0)
-    return h[np.lexsort((h, count))[:n]].view(np.int64)
+    first = np.lexsort((h, count))[:n]
+    lists = np.minimum(count[first] // split, SALT - 1)
+    salts = np.where(lists > 0, 1 + salt % np.maximum(lists + 1, 1), 0)
+    return ((h[first] & ~np.uint64(SALT)) | salts.astype(np.uint64)).view(np.int64)
 
 
 def _wide(docs: DataFrame, key: str, text: str, words: int, n: int, similarity: float) -> DataFrame:
-    """(key, digest of the words, number of distinct shingles, fingerprint of n words, rarest shingles)."""
+    """(key, digest of the words, number of distinct shingles, fingerprint of n words, keys of the rarest shingles)."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, key, text, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +187,8 @@ def _wide(docs: DataFrame, key: str, text: str, words: int, n: int, similarity:
             out = []
             for d in b["payload"]:
                 h = np.unique(shingle_hashes(bytes(d), words))
-                out.append((xxhash.xxh3_128_digest(b" ".join(bytes(d).lower().split())), len(h), fingerprint(h, n).tobytes(), rarest(h, similarity, *sent.value)))
+                digest = xxhash.xxh3_128_digest(b" ".join(bytes(d).lower().split()))
+                out.append((digest, len(h), fingerprint(h, n).tobytes(), rarest(h, similarity, *sent.value, salt=int.from_bytes(digest[:4], "big"))))
             t = pd.DataFrame(out, columns=["digest", "size", "fp", "rarest"])
             t.insert(0, key, b[key].to_numpy())
             yield t
@@ -217,16 +228,26 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, tail = k[-1], head[-1], ids[max(start[-1], len(ids) - 4) :]
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, n: int = 4, keys: int = 192) -> DataFrame:
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, n: int = 4, keys: int = 48) -> DataFrame:
     """(id, component) of documents that have a copy or a neighbour of at least that similarity of shingle sets."""
     spark = docs.sparkSession
     docs = docs.where(F.col(key).isNotNull())  # a row without an id can't be named as gone
     rows, rows_path = common.stored(_wide(docs, key, text, words, n, similarity).withColumnRenamed(key, "id"), "wide-fingerprints")
-    classes = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("rarest").alias("rarest"))
-    classes, classes_path = common.stored(classes, "text-classes")
-    copies = rows.select("id", "digest").join(classes.select("digest", F.col("id").alias("first")), "digest").where("id <> first")
-    copies = common.written(copies.select(F.col("first").alias("a"), F.col("id").alias("b")), "copies")
+    first = rows.groupBy("digest").agg(F.min("id").alias("first"))
+    copies = common.written(rows.select("id", "digest").distinct().join(first, "digest").where("id <> first"), "copies")
+    classes = rows.where("size > 0").join(copies.select("id", "digest"), ["id", "digest"], "left_anti")
+    near = met_by_bytes(classes.select("id", "fp"), n, keys)
+    met, met_path = common.stored(shingle_lists(classes), "shingle-lists")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    links = _verified(common.stored(near.unionByName(stars(met, similarity)).distinct(), "pairs"), texts, words, similarity)
     common.discard(spark, rows_path)
+    more = _verified(common.stored(rest(met, components(links), similarity), "pairs"), texts, words, similarity)
+    common.discard(spark, met_path)
+    return components(links.unionByName(more).unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b"))))
+
+
+def met_by_bytes(fps: DataFrame, n: int = 4, keys: int = 48) -> DataFrame:
+    """(a, b) from (id, fp of n words): of each text the one it shares most of its index keys with, two at least."""
     chosen = _key_positions(n, keys)
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,40 +258,56 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
                 spot = (spot << 8) | fp[:, column]
             yield pd.DataFrame({"key": spot.ravel(), "id": np.repeat(b["id"].to_numpy(), keys)})
 
-    kind = dict(classes.dtypes)["id"]
-    lists = classes.where("size > 0").select("id", "fp").mapInPandas(posted, f"key long, id {kind}")
-
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = lists.repartition(width, "key").sortWithinPartitions("key", "id").mapInArrow(_neighbours, f"a {kind}, b {kind}")
-    pairs = pairs.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
-    near = pairs.where("met > 1").groupBy("b").agg(F.max(F.struct("met", "a")).alias("nearest")).select("nearest.a", "b")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    links = _verified(common.stored(near, "pairs"), texts, words, similarity)
-    met, met_path = common.stored(_lists(classes, components(links)), "shingle-lists")
-    common.discard(spark, classes_path)
-    more = common.stored(_sharing(met, similarity), "pairs")
-    common.discard(spark, met_path)
-    return components(links.unionByName(_verified(more, texts, words, similarity)).unionByName(copies))
-
-
-def _lists(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, id, component, size, what is left of the text from there on): each text under its rarest shingles. Lists
-    whose texts are in one component give no new link and go here."""
-    posts = classes.where("size > 0").join(found, "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"), F.posexplode("rarest").alias("pos", "key"))
-    posts = posts.select("key", "id", "component", "size", (F.col("size") - F.col("pos")).alias("left"))
-    mixed = posts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return posts.join(mixed, "key")
-
-
-def _sharing(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts not in one component yet that can have the similarity. Two such texts share one of
-    their rarest shingles; at the first one shared, what is left of either text must make up the overlap they need.
-    Pairs of long lists are left to the skew join."""
-    x, y = (met.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "size", "left"))) for s in "ab")
-    both = x.join(y, "key").where("id_a < id_b and component_a <> component_b")
-    both = both.where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
-    both = both.where(F.least("left_a", "left_b") >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6)
-    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    kind = dict(fps.dtypes)["id"]
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = fps.mapInPandas(posted, f"key long, id {kind}").repartition(width, "key").sortWithinPartitions("key", "id")
+    pairs = lists.mapInArrow(_neighbours, f"a {kind}, b {kind}").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+    return pairs.where("met > 1").groupBy("b").agg(F.max(F.struct("met", "a")).alias("nearest")).select("nearest.a", "b")
+
+
+def shingle_lists(classes: DataFrame) -> DataFrame:
+    """(key, whole key without its salt, id, size, what is left of the text's shingles from that one on, hub) of texts
+    that share the key of one of their rarest shingles with another. The hub of a list is the text with most left: the
+    one with the fewest shingles of its own, which is most like all the others. Lists of frequent shingles come in parts."""
+    posts = classes.select("id", "size", F.posexplode("rarest").alias("pos", "key")).select("key", "id", "size", (F.col("size") - F.col("pos")).alias("left"))
+    whole = Window.partitionBy("key")
+    rows = posts.select("*", F.max(F.struct("left", "id", "size")).over(whole).alias("hub"), F.min("id").over(whole).alias("low"), F.max("id").over(whole).alias("high"))
+    salted = F.col("key").bitwiseAND(F.lit(SALT)) != 0
+    return rows.where((F.col("low") < F.col("high")) | salted).select("key", F.col("key").bitwiseAND(F.lit(~SALT)).alias("shingle"), "id", "size", "left", "hub")
+
+
+def _can_link(a: dict[str, Column], b: dict[str, Column], similarity: float) -> Column:
+    """Whether sizes and what is left from a shared shingle on allow the similarity. At the first one shared, what is
+    left of either text must make up the overlap that the two need."""
+    need = similarity / (1 + similarity) * (a["size"] + b["size"]) - 1e-6
+    return (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-6) & (F.least(a["left"], b["left"]) >= need)
+
+
+def _of(prefix: str) -> dict[str, Column]:
+    return {c: F.col(prefix + c) for c in ("size", "left")}
+
+
+def stars(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each text with the hub of its lists; hubs of the parts of one list with the first of them. As many pairs
+    as the lists have rows, at most."""
+    own = met.where("id <> hub.id").where(_can_link(_of(""), _of("hub."), similarity)).select("id", F.col("hub.id").alias("hub"))
+    heads = met.where("key <> shingle").select("shingle", "hub").distinct()
+    top = heads.select("shingle", "hub", F.max("hub").over(Window.partitionBy("shingle")).alias("top")).where("hub.id <> top.id")
+    parts = top.where(_can_link(_of("hub."), _of("top."), similarity)).select(F.col("hub.id").alias("id"), F.col("top.id").alias("hub"))
+    return own.unionByName(parts).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
+
+def rest(met: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair that shares a list, isn't in one component yet, and that sizes and places don't rule out. Only
+    texts outside the component that has most of a list are compared to the whole of it; long lists are left to the
+    skew join."""
+    rows = met.join(found, "id", "left").select("shingle", "id", "size", "left", F.coalesce("component", "id").alias("component"))
+    most = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(
+        F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("shingle", "main")
+    mixed = rows.join(most, "shingle")
+    x, y = (mixed.select("shingle", "main", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "size", "left", "component"))) for s in "xy")
+    both = x.where("x_component <> main").drop("main").join(y, "shingle").where("x_component <> y_component and (y_component = main or x_id < y_id)")
+    return both.where(_can_link(_of("x_"), _of("y_"), similarity)).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
 def _verified(stored: tuple[DataFrame, str], texts: DataFrame, words: int, similarity: float) -> DataFrame:
