@@ -2,7 +2,8 @@
 
 Numbers, names (capitalised words inside a sentence) and units (after a number) become typed placeholders, runs of one
 type a single one. Windows of WINDOW canonical tokens are hashed; documents' windows are joined to the benchmark's by
-hash and checked token by token. Windows that meet at one offset form an alignment. Slots must be consistent: in an
+hash and checked token by token. A filter of a fixed size, set from all of the benchmark's windows, goes to the tasks, so
+that windows which meet nothing aren't shuffled; a benchmark that fills it only lets more windows through to the join. Windows that meet at one offset form an alignment. Slots must be consistent: in an
 alignment, one value of the benchmark may stand for one value of the document only; windows with slots that break this
 do not count. A document is contaminated by an item if the windows that count make up half of the item's windows, or
 RUN of them.
@@ -35,8 +36,8 @@ WINDOW, LEAST_WORDS, RUN = 8, 4, 8
 SHORT, SHORT_WORDS = 5, 3
 #: Tokens from which a literal item counts however short they are; below, it has so many characters (single spaces included).
 LEAST_TOKENS, LEAST_LETTERS = 4, 16
-#: Benchmark windows up to which their hashes are sent to every task (16 bytes each); beyond that all windows are shuffled.
-SENT = 1_000_000
+#: The filter of benchmark windows has 2 ** FILTER bits (1 MB), of which each window sets two.
+FILTER = 23
 #: Units.
 UNITS = frozenset(
     "km m cm mm mi mile miles ft foot feet inch inches yd yard yards kg g mg lb lbs oz ton tons l ml litre litres liter liters gallon gallons "
@@ -151,6 +152,23 @@ def hashed_windows(h: np.ndarray, plain: np.ndarray | None, length: int) -> tupl
     return keep, x.view(np.int64)[keep]
 
 
+_MASK = (1 << FILTER) - 1
+
+
+def _set(wanted: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (wanted[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
+def window_filter(items: DataFrame) -> np.ndarray:
+    """Words of the filter from (hash): the bits are put together by Spark, and at most 2 ** FILTER / 64 words come back."""
+    bit = F.explode(F.array(F.col("hash").bitwiseAND(F.lit(_MASK)), F.shiftright("hash", FILTER).bitwiseAND(F.lit(_MASK))))
+    words = items.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (FILTER - 6), np.int64)
+    for r in words.collect():
+        out[r["word"]] = r["bits"]
+    return out
+
+
 def _windows(canon: Canon, texts: list[str], lengths: list[int] | None, wanted: np.ndarray | None) -> list[tuple]:
     """(number of the text, start, length, hash, template, slot values) of windows inside one text; literal windows have
     negative lengths and no slots. Lengths None: the only text's own windows."""
@@ -169,8 +187,8 @@ def _windows(canon: Canon, texts: list[str], lengths: list[int] | None, wanted:
         start, x = hashed_windows(raw, None, long) if literal else hashed_windows(h, plain, long)
         owner, top = (tokens.raw_owner, tops[1]) if literal else (tokens.owner, tops[0])
         if wanted is not None and len(x):
-            spot = np.searchsorted(wanted, x)
-            met = wanted[np.minimum(spot, len(wanted) - 1)] == x
+            met = np.flatnonzero(_set(wanted, x & _MASK))
+            met = met[_set(wanted, (x[met] >> FILTER) & _MASK)]
             start, x = start[met], x[met]
         keep = owner[start] == owner[start + long - 1]
         for s, v in zip(start[keep].tolist(), x[keep].tolist(), strict=True):
@@ -192,8 +210,8 @@ def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text")
     return common.map_rows(benchmark, key, {"payload": common.utf8(text)}, run, COLUMNS)
 
 
-def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Windows of whole texts; only those whose hash is wanted, if that is given."""
+def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Windows of whole texts that pass the filter."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,20 +226,16 @@ def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | N
     return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, COLUMNS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", sent: int = SENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """(key, item, matched, windows, share, changed): one row per contaminated document and item, with the counts of
     literal windows if only these find it; changed tells whether slot values differ from the item's."""
     items = common.written(item_windows(benchmark, item), "benchmark-windows")
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most twice WINDOW values
-    few = items.count() <= sent
-    wanted = np.unique(np.array([r["hash"] for r in items.select("hash").distinct().collect()], np.int64)) if few else None
-    if few and not len(wanted):
-        wanted, lengths = np.zeros(1, np.int64), []
     literal = (F.col("length") < 0).alias("literal")
     total = items.groupBy(item, literal).agg(F.countDistinct("start").alias("windows"))
     of_items = items.select(item, F.col("start").alias("item_start"), "length", "hash", "template", F.col("slots").alias("item_slots"))
-    found = document_windows(docs, lengths, wanted, key, text)
-    met = found.join(F.broadcast(of_items) if few else of_items, ["hash", "length", "template"])
+    found = document_windows(docs, lengths, window_filter(items), key, text)
+    met = found.join(of_items, ["hash", "length", "template"])
     met = met.select(key, item, literal, (F.col("start") - F.col("item_start")).alias("offset"), "item_start", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs"))
     met = common.written(met, "windows-met")
     # slots of an alignment: at most the item's length
@@ -233,7 +247,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
         F.col("broken").isNull() | ~F.arrays_overlap(F.transform("pairs", lambda p: p["a"]), F.coalesce("broken", F.array().cast("array<string>"))))
     sound = sound.select(key, item, "literal", "item_start", F.exists("pairs", lambda p: p["a"] != p["b"]).alias("differs"))
     hits = sound.groupBy(key, item, "literal").agg(F.countDistinct("item_start").alias("matched"), F.max("differs").alias("changed"))
-    hits = hits.join(F.broadcast(total) if few else total, [item, "literal"])
+    hits = hits.join(total, [item, "literal"])
     hits = hits.where((F.col("matched") * 2 >= F.col("windows")) | (F.col("matched") >= RUN))
     row = F.struct("matched", "windows", (F.col("matched") / F.col("windows")).alias("share"), "changed")
     return hits.groupBy(key, item).agg(F.min_by(row, "literal").alias("hit")).select(key, item, "hit.*")  # by template, if it is found so

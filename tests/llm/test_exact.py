@@ -197,7 +197,7 @@ def test_reparameterised_questions(spark):
     docs = [
         (1, f"Before it. {q}. After it."), (2, "See: " + q.replace("Anna", "Bob").replace("60", "85")), (3, "See: " + q.replace("60", "85", 1).replace("60", "90", 1).replace("Anna", "Bob", 1)),
         (4, "one two three four five six seven"), (5, "x a b c d y"), (6, q[:60])]
-    got = {(r.doc_id, r.item_id): r.changed for sent in (10**6, 0) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, sent=sent).collect()}
+    got = {(r.doc_id, r.item_id): r.changed for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 1): False, (2, 1): True, (5, 2): False}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from brookmart.llm import decontamination
 
 
@@ -15,6 +17,85 @@ def test_items_are_found_word_for_word_in_any_case(spark):
         (5, "A PHOTOSYNTHESIS MEMBRANE is"), (6, items[6][1].lower()), (7, items[6][1].upper()), (8, "a list 12 30 45 7 81 9 10 11 ends"),
         (9, "see what is 15 times 40?"), (10, "Paris 1913 Rome 1955 Oslo"), (11, "what is it many times over"), (12, "photosynthesis in a membrane"), (13, "12 30 45 7 81 9 10 12")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for sent in (10**6, 0):
-        got = {(r.doc_id, r.item_id): r.changed for r in decontamination.contaminated(df, bench, sent=sent).collect()}
-        assert got == {(1, 1): False, (9, 1): True, (2, 2): False, (3, 3): False, (5, 6): False, (6, 7): False, (7, 7): False, (8, 8): False}
+    got = {(r.doc_id, r.item_id): r.changed for r in decontamination.contaminated(df, bench).collect()}
+    assert got == {(1, 1): False, (9, 1): True, (2, 2): False, (3, 3): False, (5, 6): False, (6, 7): False, (7, 7): False, (8, 8): False}
+
+
+def brute(docs: list[tuple[int, str]], items: list[tuple[int, str]]) -> dict[tuple[int, int], tuple[int, int, bool]]:
+    """Matched windows, windows and changed of every contaminated pair, by comparing all windows of all pairs."""
+    d = decontamination
+
+    def windows(tokens: list[str], values: list[str], length: int, literal: bool) -> dict[int, tuple[tuple, list[str]]]:
+        least = 0 if literal else d.SHORT_WORDS if d.SHORT <= length < d.WINDOW else d.LEAST_WORDS
+        out = {}
+        for s in range(len(tokens) - length + 1):
+            part = values[s : s + length]
+            if literal or part.count("") >= least:
+                out[s] = tuple(tokens[s : s + length]), [v for v in part if v]
+        return out
+
+    def forms(text: str) -> list[tuple[list[str], list[str]]]:
+        raw = [t.lower() for t in d.TOKEN.findall(text) if t not in d.END]
+        return [d.canonical(text), (raw, [""] * len(raw))]
+
+    out = {}
+    for i, item in items:
+        for k, doc in docs:
+            for literal, (tokens, values), (its, vals) in zip((False, True), forms(doc), forms(item), strict=True):
+                length = min(d.WINDOW, len(its))
+                if not length or literal and len(its) < d.LEAST_TOKENS and len(" ".join(its)) < d.LEAST_LETTERS:
+                    continue
+                own, other = windows(its, vals, length, literal), windows(tokens, values, length, literal)
+                met = [(a, b - a, list(zip(x[1], y[1], strict=True))) for a, x in own.items() for b, y in other.items() if x[0] == y[0]]
+                means: dict = {}
+                for _, at, pairs in met:
+                    for a, b in pairs:
+                        means.setdefault((at, a), set()).add(b)
+                sound = [(a, pairs) for a, at, pairs in met if all(len(means[at, x]) == 1 for x, _ in pairs)]
+                matched = len({a for a, _ in sound})
+                if matched and (2 * matched >= len(own) or matched >= d.RUN):
+                    out[k, i] = matched, len(own), any(a != b for _, pairs in sound for a, b in pairs)
+                    break
+    return out
+
+
+def test_random_items_equal_brute_force(spark):
+    """Short and long items of words, numbers, units and names; documents hold them as they are, in another case, cut,
+    with other numbers and names, consistently or not."""
+    rng = random.Random(21)
+    words = [f"w{chr(97 + k)}{chr(97 + j)}" for k in range(6) for j in range(6)]
+    names, units = ["Anna", "Bob", "Carla", "Dirk"], ["km", "hours", "kg"]
+
+    def token() -> str:
+        k = rng.random()
+        return rng.choice(words) if k < 0.7 else str(rng.randrange(40)) if k < 0.82 else f"{rng.randrange(40)} {rng.choice(units)}" if k < 0.9 else rng.choice(names)
+
+    items = [(k, " ".join(token() for _ in range(rng.choice((1, 2, 3, 4, 5, 6, 8, 9, 14, 30)))) + rng.choice("?. ")) for k in range(60)]
+    docs = []
+    for k in range(240):
+        t = rng.choice(items)[1]
+        kind = k % 6
+        if kind == 1:
+            t = rng.choice((t.lower(), t.upper()))
+        elif kind == 2:
+            t = t[: rng.randrange(len(t))]
+        elif kind == 3:
+            swap = dict(zip(names, rng.sample(names, 4), strict=True))
+            t = " ".join(swap.get(w, w) for w in t.split(" "))
+        elif kind == 4:
+            t = " ".join(str(rng.randrange(40)) if w.isdigit() and rng.random() < 0.7 else w for w in t.split(" "))
+        elif kind == 5:
+            t = " ".join(rng.choice(words) if rng.random() < 0.1 else w for w in t.split(" "))
+        docs.append((k, f"{token()} {token()} {t} {token()}" if rng.random() < 0.8 else t))
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute(docs, items)
+    assert len(want) > 100 and any(c for *_, c in want.values())
+    assert {(r.doc_id, r.item_id): (r.matched, r.windows, r.changed) for r in got} == want
+
+
+def test_a_full_filter_loses_nothing(spark):
+    items = spark.createDataFrame([(h,) for h in (0, -1, 5, 2**62 + 77, -(2**63))], "hash long")
+    bits = decontamination.window_filter(items)
+    x = decontamination.np.array([0, -1, 5, 2**62 + 77, -(2**63), 6], decontamination.np.int64)
+    first, second = (decontamination._set(bits, v & decontamination._MASK) for v in (x, x >> decontamination.FILTER))
+    assert (first & second).tolist() == [True] * 5 + [False]
