@@ -1,18 +1,22 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A model file is compiled into three parts: the normaliser (a space becomes the mark ▁, one mark is put in front), the
-pieces (a trie whose final states put out a piece's id at the weight -score) and byte fallback (a character without a
-piece goes through arcs that put out its UTF-8 bytes). They are composed with an input, and the shortest path in the
-tropical semiring is its encoding. For BPE models a fourth part, an acceptor of pairs, is composed too: two pieces may
-follow each other exactly if merging their joined text gives them back. A path of such pairs is the text's only merge
-result, so the shortest path equals what merging by rank gives, not just what the weights favour. Unigram models go
-without that part.
+A model file is compiled into machines: the normaliser (one state; a space becomes the mark ▁, everything else stays, and
+one mark is put in front), the pieces (a trie whose final states put out a piece's id at the weight -score) and byte
+fallback (a character without a piece goes through arcs that put out its UTF-8 bytes, at a weight above that of any
+piece). Normaliser and pieces are composed when the model is compiled: the result reads raw text. It is composed with
+each input as far as states are reached, and the shortest path in the tropical semiring (least sum of weights) is the
+encoding. For BPE models one more machine, an acceptor of pairs, is composed too: two pieces may follow each other exactly
+if merging their joined text gives them back. A state of the composition is then a place and the piece that ends there,
+and paths of such pairs are merge results, so the shortest path equals what merging by rank gives, not just what the
+weights favour. Unigram models go without that machine.
 
 A text falls apart where no piece can lie: before each run of marks, at line ends, and, if the model has no piece with
 both, between Latin letters and other characters. Equal segments are encoded once per task.
 
 Defined results: null text is empty text: no ids, decoded to the empty text; bytes that aren't UTF-8 become U+FFFD
-first; a text with the mark itself decodes to a space there, which `round_trip` tells; repeated rows are encoded alike.
+first; a text with the mark itself decodes to a space there, which `round_trip` tells; repeated rows are encoded alike,
+and null ids stay null; an empty table gives no rows; other columns aren't read. Texts of any length are encoded whole:
+a segment is as long as a word, in the worst case (one run without a space) as the text.
 """
 
 from __future__ import annotations
@@ -67,6 +71,42 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+#: The normaliser's arcs that change their character; all others put out what they read.
+NORMALISER = {" ": MARK, MARK: MARK}
+
+
+def trie(pieces: dict[str, int]) -> tuple[list[dict[str, int]], list[int]]:
+    """(arcs of each state, id that a final state puts out, or -1); state 0 is the start."""
+    arcs: list[dict[str, int]] = [{}]
+    final = [-1]
+    for p, i in pieces.items():
+        state = 0
+        for c in p:
+            if c not in arcs[state]:
+                arcs[state][c] = len(arcs)
+                arcs.append({})
+                final.append(-1)
+            state = arcs[state][c]
+        final[state] = i
+    return arcs, final
+
+
+def composed(changes: dict[str, str], arcs: list[dict[str, int]], final: list[int]) -> tuple[list[dict[str, int]], list[int]]:
+    """Composition of a one-state transducer with a trie: its arcs read what the transducer reads."""
+    reads: dict[str, list[str]] = {}
+    for a, b in changes.items():
+        reads.setdefault(b, []).append(a)
+    return [{a: to for c, to in out.items() for a in reads.get(c, [] if c in changes else [c])} for out in arcs], final
+
+
+def linked(arcs: list[dict[str, int]], final: list[int]) -> dict[str, tuple]:
+    """The start state; a state is a dictionary from what is read to (what the next state puts out or -1, next state)."""
+    states: list[dict[str, tuple]] = [{} for _ in arcs]
+    for state, out in zip(states, arcs, strict=True):
+        state.update((c, (final[to], states[to])) for c, to in out.items())
+    return states[0]
+
+
 class Transducer:
     def __init__(self, model: bytes):
         self.pieces: list[tuple[str, float, int]] = []
@@ -82,7 +122,6 @@ class Transducer:
                 charsmap, self.prefix, extra = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
         if charsmap or extra or any(t == USER for *_, t in self.pieces):
             raise ValueError("only models with an identity normaliser and no user-defined pieces are read")
-        self.trie: dict = {}
         self.byte = [0] * 256
         self.weight = [-s for _, s, _ in self.pieces]
         self.raw: list[bytes] = []
@@ -93,27 +132,21 @@ class Transducer:
                 self.byte[int(p[3:5], 16)] = i
             elif kind == NORMAL:
                 self.ids[p] = i
-                self.add(p, i)
+        self.start = linked(*composed(NORMALISER, *trie(self.ids)))
+        self.fallback: dict[str, tuple[float, list[int]]] = {}
         if any(a != MARK and b == MARK for p in self.ids for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("a piece holds a mark after another character")
         meet = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False) if MARK not in (a, b)}
         latin = re.compile(f"[{LATIN}]").match
         mixed = any(bool(latin(a)) != bool(latin(b)) for a, b in meet)
         apart = "\n" if not any("\n" in p for p in self.ids) else ""
-        runs = f"{MARK}*[^{MARK}{apart}]+" if mixed else f"{MARK}*[{LATIN}]+|{MARK}*[^{LATIN}{MARK}{apart}]+"
-        self.cut = re.compile(f"{runs}|{MARK}+" + (f"|{apart}" if apart else ""))
+        marks = "".join(a for a, b in NORMALISER.items() if b == MARK)
+        runs = f"[{marks}]*[^{marks}{apart}]+" if mixed else f"[{marks}]*[{LATIN}]+|[{marks}]*[^{LATIN}{marks}{apart}]+"
+        self.cut = re.compile(f"{runs}|[{marks}]+" + (f"|{apart}" if apart else ""))
         self.cost = {p: self.weight[i] for p, i in self.ids.items()}
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
-    def add(self, piece: str, i: int) -> None:
-        """A path of the trie; an arc is [id put out or -1, arcs that follow]."""
-        node = self.trie
-        for c in piece:
-            arc = node.setdefault(c, [-1, {}])
-            node = arc[1]
-        arc[0] = i
-
     def merged(self, text: str) -> list[int]:
         """Ids that merging adjacent symbols, best score first and leftmost of equals, ends with."""
         symbols, cost, none = list(text), self.cost.get, float("inf")
@@ -135,60 +168,60 @@ class Transducer:
         ok = self.pairs[a << 32 | b] = self.merged(self.pieces[a][0] + self.pieces[b][0]) == [a, b]
         return ok
 
-    def shortest_path(self, segment: str) -> bytes:
-        """Ids of a normalised segment, as little-endian 32-bit numbers."""
-        n = len(segment)
-        last = [-2] * (n + 1)  # the piece that ends here; -1: none, or bytes; -2: not reached
-        come = [0] * (n + 1)
-        last[0] = -1
-        (self._accepted if self.bpe else self._lightest)(segment, last, come)
-        out: list[int] = []
-        j = n
-        while j:
-            i = come[j]
-            out += [last[j]] if last[j] >= 0 else [self.byte[b] for b in reversed(segment[i:j].encode())]
-            j = i
-        return struct.pack(f"<{len(out)}i", *reversed(out))
+    def bytes_of(self, c: str) -> tuple[float, list[int]]:
+        """The fallback arcs of a character, joined: weight and output."""
+        data = c.encode()
+        out = self.fallback[c] = len(data) * BYTE_WEIGHT, [self.byte[b] for b in data]
+        return out
 
-    def _accepted(self, segment: str, last: list[int], come: list[int]) -> None:
-        """With the acceptor of pairs one path at most leads to each place, so the first found is the shortest."""
-        n, trie, known, follows = len(segment), self.trie, self.pairs.get, self.follows
+    def shortest_path(self, segment: str) -> bytes:
+        """Ids of a segment of raw text, as little-endian 32-bit numbers. The states of the composition are relaxed place
+        by place: reached[j] maps what the acceptor of pairs must know (the last piece; -1 for none) to the least weight
+        so far, the place and state before, and the output."""
+        n, start, weight, bpe, known = len(segment), self.start, self.weight, self.bpe, self.pairs.get
+        reached: list[dict[int, tuple] | None] = [{-1: (0.0, -1, -1, -1)}, *[None] * n]
         for i in range(n):
-            before, node, j = last[i], trie, i
+            here = reached[i]
+            if here is None:
+                continue
+            state, j = start, i
             while j < n:
-                arc = node.get(segment[j])
+                arc = state.get(segment[j])
                 if arc is None:
                     break
                 j += 1
-                piece, node = arc
-                if piece >= 0 and last[j] == -2:
-                    ok = True if before < 0 else known(before << 32 | piece)
-                    if ok is None:
-                        ok = follows(before, piece)
-                    if ok:
-                        last[j], come[j] = piece, i
-            if last[i + 1] == -2 and segment[i] not in self.ids:  # byte fallback
-                last[i + 1], come[i + 1] = -1, i
-
-    def _lightest(self, segment: str, last: list[int], come: list[int]) -> None:
-        """Least sum of weights."""
-        n, weight, none = len(segment), self.weight, float("inf")
-        cost = [0.0] + [none] * n
-        for i in range(n):
-            node, j, so_far = self.trie, i, cost[i]
-            if segment[i] not in self.ids and so_far + BYTE_WEIGHT < cost[i + 1]:
-                cost[i + 1], last[i + 1], come[i + 1] = so_far + BYTE_WEIGHT, -1, i
-            while j < n and (arc := node.get(segment[j])) is not None:
-                j += 1
-                piece, node = arc
-                if piece >= 0 and so_far + weight[piece] < cost[j]:
-                    cost[j], last[j], come[j] = so_far + weight[piece], piece, i
+                piece, state = arc
+                if piece < 0:
+                    continue
+                for last, path in here.items():
+                    if bpe and last >= 0:
+                        ok = known(last << 32 | piece)
+                        if not (self.follows(last, piece) if ok is None else ok):
+                            continue
+                    total, to, there = path[0] + weight[piece], piece if bpe else -1, reached[j]
+                    if there is None:
+                        reached[j] = {to: (total, i, last, piece)}
+                    elif to not in there or total < there[to][0]:
+                        there[to] = (total, i, last, piece)
+            c = segment[i]
+            if c in self.fallback or start.get(c, (-1,))[0] < 0:
+                more = (self.fallback.get(c) or self.bytes_of(c))[0]
+                there = reached[i + 1] = reached[i + 1] or {}
+                for last, path in here.items():
+                    if -1 not in there or path[0] + more < there[-1][0]:
+                        there[-1] = (path[0] + more, i, last, -1)
+        out: list[int] = []
+        j, state = n, min(reached[n], key=lambda k: reached[n][k][0])
+        while j:
+            _, i, before, piece = reached[j][state]
+            out += [piece] if piece >= 0 else reversed(self.fallback[segment[i]][1])
+            j, state = i, before
+        return struct.pack(f"<{len(out)}i", *reversed(out))
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        normal = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        segments = self.cut.findall(normal)
+        segments = self.cut.findall(" " + text if self.prefix else text)
         out = list(map(self.known.get, segments))
         if None in out:
             if len(self.known) > REMEMBERED:
@@ -218,16 +251,17 @@ def load(path: str = MODEL) -> bytes:
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
-    """(key, n_tokens, ids): ids as an array of ints."""
+    """(key, n_tokens, ids, round_trip): ids as an array of ints; round_trip tells whether they decode to the text."""
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = compiled(sent.value)
         for b in batches:
-            ids = [np.frombuffer(t.encode(bytes(d).decode(errors="replace")), "<i4") for d in b["payload"]]
-            yield pd.DataFrame({key: b[key], "n_tokens": [len(i) for i in ids], "ids": ids})
+            ids = [t.encode(bytes(d).decode(errors="replace")) for d in b["payload"]]
+            back = [t.decode(i).encode() == bytes(d) for i, d in zip(ids, b["payload"], strict=True)]
+            yield pd.DataFrame({key: b[key], "n_tokens": [len(i) // 4 for i in ids], "ids": [np.frombuffer(i, "<i4") for i in ids], "round_trip": back})
 
-    return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, "n_tokens long, ids array<int>")
+    return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, "n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(ids: DataFrame, column: str = "ids", model: str = MODEL) -> DataFrame:
@@ -265,5 +299,5 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: every document with its ids."""
+    """Pipeline stage, the last: every document encoded, and decoded again as a test. Rows as encode() has them."""
     return encode(docs)

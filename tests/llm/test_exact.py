@@ -175,14 +175,28 @@ def test_encoding_equals_the_library():
 
 
 def test_unigram_takes_the_shortest_path():
+    """Weights decide where there is no acceptor of pairs: against all ways to cut a text."""
     t = pieces.Transducer(pieces.load())
-    t.bpe, t.trie = False, {}
-    t.ids |= {"▁ab": 500}
-    t.weight = [0.0] * len(t.weight)
-    for p, cost in (("▁a", 1.0), ("b", 1.0), ("▁ab", 2.5), ("▁", 5.0)):
-        t.add(p, t.ids[p])
-        t.weight[t.ids[p]] = cost
-    assert np.frombuffer(t.encode("ab"), "<i4").tolist() == [t.ids["▁a"], t.ids["b"]]
+    rng = random.Random(3)
+    some = ["a", "b", "c", "ab", "bc", "abc", "ca", "▁", "▁a", "▁ab", "cab", "bca"]
+    t.bpe, t.ids = False, {p: k for k, p in enumerate(some)}
+    t.start = pieces.linked(*pieces.composed(pieces.NORMALISER, *pieces.trie(t.ids)))
+    t.weight = [round(rng.uniform(0.5, 4), 3) for _ in some]
+
+    def cuts(x: str):
+        if not x:
+            yield []
+        for k in range(1, len(x) + 1):
+            if x[:k] in t.ids:
+                yield from ([t.ids[x[:k]], *more] for more in cuts(x[k:]))
+
+    for _ in range(60):
+        text = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 9)))
+        got = np.frombuffer(t.shortest_path(" " + text), "<i4").tolist()
+        assert sum(t.weight[i] for i in got) == pytest.approx(min(sum(t.weight[i] for i in c) for c in cuts(("▁" + text).replace(" ", "▁"))))
+        assert "".join(some[i] for i in got) == ("▁" + text).replace(" ", "▁")
+    t.byte = list(range(100, 356))
+    assert np.frombuffer(t.shortest_path("aéb"), "<i4").tolist() == [0, 100 + 0xC3, 100 + 0xA9, 1]
 
 
 def test_templates():
