@@ -7,8 +7,9 @@ a smaller id, or lies earlier in the same document. The result is exact, without
 2. Prefix polynomial hashes give the hash of every gram of GRAM bytes. Each window of `length` bytes picks the gram
    with the smallest hash in it (the last of equals), so equal windows pick equal grams at equal offsets. Neighbouring
    windows that pick the same gram form a segment; one row per segment is shuffled by the gram's hash.
-3. Segments with equal content (two independent 64-bit hashes): all but the first are covered. Where one gram has
-   several contents, the first segment of each content goes on with its bytes.
+3. Segments with equal content (equal gram and equal content, by two independent 64-bit hashes): all but the first are
+   covered; those that a task has seen before are settled there and spread over all tasks. Where one gram has several
+   contents, the first segment of each content goes on with its bytes.
 4. There the suffixes that start at each window are sorted, gram by gram, in a mergesort whose comparisons find the
    common extension by binary search over prefix polynomial hashes; equal neighbours are verified byte by byte. A gram
    with more than MANY contents is split into its windows, which are grouped by their bytes in SQL: exact as well.
@@ -199,6 +200,32 @@ def segments(ids: list[int], starts: list[int], texts: list[bytes], length: int
     return pd.DataFrame({"gram": gram.view(np.int64), "content": content.view(np.int64), "doc": np.array(ids, np.int64)[owner[first]], "place": place})
 
 
+class Seen:
+    """What a task remembers of the segments it has sent: per slot one (gram, content) and its least place. Segments with
+    equal content that stands before are settled in the task, so that a passage which many documents share sends about
+    one row a task to its gram. A slot is taken over by the next content that falls on it; results don't change."""
+
+    def __init__(self, slots: int = 1 << 20):
+        self.rows = np.zeros((4, slots), np.int64)
+        self.rows[3] = -1
+
+    def settle(self, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([rows[c].to_numpy() for c in ("gram", "content", "doc", "place")])
+        fresh = np.flatnonzero((x[3] & 128) == 0)
+        g, c, doc, place = x[:, fresh]
+        slot = (g ^ c) & (self.rows.shape[1] - 1)
+        old = self.rows[:, slot]
+        same = (old[0] == g) & (old[1] == c) & (old[3] >= 0)
+        before = (old[2] < doc) | (old[2] == doc) & (old[3] >> 16 < place >> 16)
+        hit = same & before
+        keep = np.flatnonzero(~hit)
+        self.rows[:, slot[keep]] = x[:, fresh[keep]]
+        done = fresh[hit]
+        x[3, done] |= 128
+        x[0, done] ^= x[1, done] ^ x[3, done]  # settled: any task will do
+        return pd.DataFrame(dict(zip(("gram", "content", "doc", "place"), x, strict=True)))
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by gram, content, doc, place. Covered segments (open false), and the first of each content of a gram with
     several (open true). Streams: only one row is held back."""
@@ -329,10 +356,11 @@ def _covered_texts(own: DataFrame, texts: DataFrame, copies: DataFrame) -> DataF
     spark = own.sparkSession
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = Seen()
         for b in batches:
             b = b.sort_values("id", kind="stable")
             for part in pieces(b["id"].tolist(), [bytes(d) for d in b["data"]]):
-                yield segments(*part)
+                yield seen.settle(segments(*part))
 
     found = texts.mapInPandas(cut, "gram long, content long, doc long, place long")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -44,6 +44,21 @@ def texts(n: int, seed: int) -> list[tuple[int, str]]:
     return out
 
 
+def test_tasks_settle_what_they_have_seen():
+    """Of a passage shared by many documents a task sends one open row per content, in whatever order ids come."""
+    rng = random.Random(4)
+    passage = bytes(rng.randrange(97, 123) for _ in range(300))
+    docs = [(i, bytes(rng.randrange(97, 123) for _ in range(200)) + passage) for i in range(60)]
+    seen, saved = suffixes.Seen(1 << 12), []
+    for i, d in docs:
+        rows = suffixes.segments([i], [0], [d])
+        saved.append(int((seen.settle(rows)["place"] & 128 > 0).sum()))
+    inside = len(suffixes.segments([0], [0], [passage])) - 2  # but for those that reach over the passage's ends
+    assert saved[0] == 0 and min(saved[1:]) >= inside >= 2
+    back = suffixes.Seen(1 << 12)
+    assert not any((back.settle(suffixes.segments([i], [0], [passage]))["place"] & 128).any() for i in (5, 4, 3))
+
+
 def brute_repeats(docs):
     seen, out = set(), {}
     for i, t in sorted(docs):
