@@ -23,30 +23,47 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a local one only where none is set."""
+    """A new path in the shared folder of spark.checkpoint.dir. Where none is set, a local folder serves sessions that run
+    in one process; a cluster's session must set one, since executors don't see each other's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="brookmart-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: a query's shuffle files go when the query ends, not when the driver collects its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet to shared storage and reads them again."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)[0]
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As written(), with the path, for tables that discard() takes away again."""
+    """As written(), with the path, for tables that discard() takes away again. The write's shuffle files go at once."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of ids up to which small() sends them to every task: some 20 MB.
+SENT_IDS = 300_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """Ids, to be joined by broadcast if counting them shows that they are few; else Spark shuffles both sides."""
+    return F.broadcast(ids) if ids.limit(SENT_IDS + 1).count() <= SENT_IDS else ids
+
+
 def discard(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -14,7 +14,7 @@ Near-duplicates (similar): five-word shingles; every pair whose shingle sets hav
 Candidates come from the positional index of 256-bit fingerprints (keys of three random bytes; of each text the one it
 shares most keys with) and from lists of rare shingles: each text posts its rarest ones, so many that two texts of the
 similarity share one. In a list all texts are paired with its hub. What isn't in one component after these links is
-compared in full, but for pairs that sizes and places rule out. So no component is missed, and a group of near copies
+compared in full, but for pairs that sizes, places and the tally of shared rare shingles rule out. So no component is missed, and a group of near copies
 costs about as many pairs as it has members, since they meet at the hub.
 
 Defined results: null text is empty text; no words give fingerprint zero, linked like any other; exact copies are
@@ -43,9 +43,9 @@ from .components import components
 #: Distinct fingerprints of an index list up to which its pairs are formed at once.
 LIST = 48
 SEED = 42
-#: Texts whose shingles are counted to tell frequent from rare ones, and frequent ones kept. The order of shingles only
-#: decides how short the lists are; every order gives the same links.
-COUNTED, FREQUENT = 8_000, 50_000
+#: Frequent shingles that are told from rare ones (sent to every task, 16 bytes each), and shingles that a task counts at a
+#: time. The order of shingles only decides how short the lists are; every order gives the same links.
+FREQUENT, AT_ONCE = 200_000, 4_000_000
 #: Texts with a shingle beyond which its list is kept in parts, and the bits of a key that number the parts.
 SPLIT, SALT = 50_000, 0xFFFF
 
@@ -151,14 +151,31 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near-duplicates by similarity
 
 
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the shingles that are in two or more of the texts that a task holds at a time."""
+    kept: list[np.ndarray] = []
+
+    def counted() -> pd.DataFrame:
+        h, n = np.unique(np.concatenate(kept or [np.zeros(0, np.int64)]), return_counts=True)
+        return pd.DataFrame({"shingle": h[n > 1], "n": n[n > 1]})
+
+    for b in batches:
+        kept += list(b["shingles"])
+        if sum(map(len, kept)) > AT_ONCE:
+            yield counted()
+            kept = []
+    yield counted()
+
+
 def _frequent(docs: DataFrame, key: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and in about how many texts each one is."""
+    """Frequent shingles of all texts, sorted, and in about how many texts each one is. Tasks count what repeats among
+    their own texts, so that only such shingles are shuffled."""
     common.small_batches(docs.sparkSession)
-    step = max(1, docs.count() // COUNTED)
-    some = docs.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0)
-    n = _sets(some, key, text, words).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    top = sorted((r["shingle"] & (2**64 - 1), r["n"] * step) for r in n.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect())
-    return np.array([r[0] for r in top], np.uint64), np.array([r[1] for r in top], np.int64)
+    n = _sets(docs, key, text, words).select("shingles").mapInPandas(_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = n.where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    h, count = top["shingle"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], count[order]
 
 
 def rarest(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray, salt: int = 0, split: int = SPLIT) -> np.ndarray:
@@ -235,13 +252,14 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     rows, rows_path = common.stored(_wide(docs, key, text, words, n, similarity).withColumnRenamed(key, "id"), "wide-fingerprints")
     first = rows.groupBy("digest").agg(F.min("id").alias("first"))
     copies = common.written(rows.select("id", "digest").distinct().join(first, "digest").where("id <> first"), "copies")
-    classes = rows.where("size > 0").join(copies.select("id", "digest"), ["id", "digest"], "left_anti")
-    near = met_by_bytes(classes.select("id", "fp"), n, keys)
+    classes = rows.where("size > 0").join(common.small(copies.select("id", "digest")), ["id", "digest"], "left_anti")
+    near, near_path = common.stored(met_by_bytes(classes.select("id", "fp"), n, keys), "pairs")
     met, met_path = common.stored(shingle_lists(classes), "shingle-lists")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    links = _verified(common.stored(near.unionByName(stars(met, similarity)).distinct(), "pairs"), texts, words, similarity)
     common.discard(spark, rows_path)
-    more = _verified(common.stored(rest(met, components(links), similarity), "pairs"), texts, words, similarity)
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    links = _verified(_enough(near.unionByName(stars(met, similarity)).distinct(), met, similarity), texts, words, similarity)
+    more = _verified(_enough(rest(met, components(links), similarity), met, similarity), texts, words, similarity)
+    common.discard(spark, near_path)
     common.discard(spark, met_path)
     return components(links.unionByName(more).unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b"))))
 
@@ -310,12 +328,23 @@ def rest(met: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     return both.where(_can_link(_of("x_"), _of("y_"), similarity)).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
-def _verified(stored: tuple[DataFrame, str], texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those pairs of (a, b) whose shingle sets have at least the similarity; the pairs' table goes."""
-    pairs, pairs_path = stored
-    spark = pairs.sparkSession
+def _enough(pairs: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of (a, b) that share enough of their rarest shingles: the shingles behind the last of them, of the text whose
+    last comes first, are the most that can be shared besides."""
+    some = met.groupBy("id").agg(F.collect_set("shingle").alias("keys"), F.first("size").alias("size"))  # one text's rarest
+    x, y = (some.select(F.col("id").alias(s), F.col("keys").alias(f"keys_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
+    behind = lambda c: F.ceil(F.col(c) * similarity - 1e-9) - 1
+    both = pairs.join(x, "a").join(y, "b")
+    need = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return both.where(F.size(F.array_intersect("keys_a", "keys_b")) + F.greatest(behind("size_a"), behind("size_b")) >= need).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs of (a, b) whose shingle sets have at least the similarity."""
+    spark = texts.sparkSession
+    pairs, pairs_path = common.stored(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets, sets_path = common.stored(_sets(texts.join(wanted, "id", "left_semi"), "id", "text", words), "shingle-sets")
+    sets, sets_path = common.stored(_sets(texts.join(common.small(wanted), "id", "left_semi"), "id", "text", words), "shingle-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     links = common.written(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
