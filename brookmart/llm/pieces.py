@@ -38,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Segments and pairs that a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Weight of one byte of a character without a piece, above that of any piece.

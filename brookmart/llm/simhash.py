@@ -45,7 +45,7 @@ LIST = 48
 SEED = 42
 #: Frequent shingles that are told from rare ones (sent to every task, 16 bytes each), and shingles that a task counts at a
 #: time. The order of shingles only decides how short the lists are; every order gives the same links.
-FREQUENT, AT_ONCE = 200_000, 4_000_000
+FREQUENT, AT_ONCE = 200_000, 1_000_000
 #: Texts with a shingle beyond which its list is kept in parts, and the bits of a key that number the parts.
 SPLIT, SALT = 50_000, 0xFFFF
 
@@ -151,28 +151,26 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near-duplicates by similarity
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the shingles that are in two or more of the texts that a task holds at a time."""
-    kept: list[np.ndarray] = []
-
-    def counted() -> pd.DataFrame:
-        h, n = np.unique(np.concatenate(kept or [np.zeros(0, np.int64)]), return_counts=True)
-        return pd.DataFrame({"shingle": h[n > 1], "n": n[n > 1]})
+def _frequent(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of all texts, sorted, and in about how many texts each one is. Tasks count what repeats among
+    their own texts, so that only such shingles are shuffled."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[np.ndarray] = []
 
-    for b in batches:
-        kept += list(b["shingles"])
-        if sum(map(len, kept)) > AT_ONCE:
-            yield counted()
-            kept = []
-    yield counted()
+        def counted() -> pd.DataFrame:
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *kept]), return_counts=True)
+            kept.clear()
+            return pd.DataFrame({"shingle": h[n > 1].view(np.int64), "n": n[n > 1]})
 
+        for b in batches:
+            kept += [np.unique(shingle_hashes(bytes(d), words)) for d in b["payload"]]
+            if sum(map(len, kept)) > AT_ONCE:
+                yield counted()
+        yield counted()
 
-def _frequent(docs: DataFrame, key: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of all texts, sorted, and in about how many texts each one is. Tasks count what repeats among
-    their own texts, so that only such shingles are shuffled."""
     common.small_batches(docs.sparkSession)
-    n = _sets(docs, key, text, words).select("shingles").mapInPandas(_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = n.where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    found = docs.select(common.utf8(text).alias("payload")).mapInPandas(run, "shingle long, n long")
+    top = found.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     h, count = top["shingle"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(h)
     return h[order], count[order]
@@ -197,7 +195,7 @@ def rarest(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.nd
 
 def _wide(docs: DataFrame, key: str, text: str, words: int, n: int, similarity: float) -> DataFrame:
     """(key, digest of the words, number of distinct shingles, fingerprint of n words, keys of the rarest shingles)."""
-    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, key, text, words))
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

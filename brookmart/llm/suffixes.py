@@ -205,7 +205,7 @@ class Seen:
     equal content that stands before are settled in the task, so that a passage which many documents share sends about
     one row a task to its gram. A slot is taken over by the next content that falls on it; results don't change."""
 
-    def __init__(self, slots: int = 1 << 20):
+    def __init__(self, slots: int = 1 << 18):
         self.rows = np.zeros((4, slots), np.int64)
         self.rows[3] = -1
 
