@@ -293,6 +293,35 @@ def test_licenses_equal_brute_force(spark, tmp_path):
     assert got[903].labels == "gpl-3" and got[903].score == 1
 
 
+def test_all_labels_equal_brute_force(spark, tmp_path):
+    """Templates whole, cut, with words changed inside and outside the key phrase, and phrases on their own."""
+    rng = random.Random(6)
+    docs = []
+    for k in range(240):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            t = rng.choice(licenses.TEMPLATES)
+            w = list(t.words)
+            for _ in range(rng.choice((0, 0, 1, len(w) // 4, len(w) // 2))):
+                w[rng.randrange(len(w))] = rng.choice(("x", "software", "license", "the"))
+            s = rng.choice((0, 0, rng.randrange(len(w))))
+            parts += [rng.choice(("so", "under", "the")), *w[s : rng.choice((len(w), rng.randint(s, len(w))))]]
+        docs.append((k, " ".join(parts)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.op1_license_scan(spark, str(tmp_path)).collect()}
+    want = {}
+    for k, d in docs:
+        words, found = d.split(), []
+        for t in licenses.TEMPLATES:
+            at = next(i for i in range(len(t.words)) if t.words[i : i + len(t.key)] == t.key)
+            for s in range(-at, len(words)):
+                if words[s + at : s + at + len(t.key)] == list(t.key):
+                    share = sum(0 <= s + p < len(words) and words[s + p] == w for p, w in enumerate(t.words)) / len(t.words)
+                    found += [(t.label, share)] if t.base or share >= 0.6 else []
+        want[k] = ",".join(sorted({x for x, _ in found})), round(max((x for _, x in found), default=0.0), 9)
+    assert got == want and len({x for x, _ in want.values()}) > 12
+
+
 def test_licenses_run_without_python(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
