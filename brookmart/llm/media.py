@@ -1,7 +1,8 @@
 """Media columns: any bytes as a grey PNG in a binary column, read back with checks, and a cosine-transform hash.
 
-Defined results: a null payload counts as empty bytes; empty bytes become one row of 255s; extra columns are
-left alone; equal payloads give equal images and features.
+Defined results: a null payload counts as empty bytes; empty bytes become one row of 255s; a payload of any length is one
+image; repeated rows, with null ids too, each give a row, and equal payloads give equal images and features; an empty
+table gives no rows; extra columns, of whatever names, are left alone.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 def encode_png(data: bytes, width: int = WIDTH, level: int = 1, adaptive: bool = False) -> bytes:
     """8-bit grey PNG of len(data) / width rows. Adaptive: each row takes the filter none, sub or up of least
-    magnitude, which suits pictures; text packs best without a filter."""
+    magnitude, so that reading undoes filters row by row; without, text packs a little better."""
     rows = np.frombuffer(data, np.uint8).reshape(-1, width)
     body = np.zeros((len(rows), width + 1), np.uint8)
     body[:, 1:] = rows
@@ -136,13 +137,13 @@ def padded(data: bytes, width: int = WIDTH) -> bytes:
     return data + b"\xff" * (-len(data) % width or (0 if data else width))
 
 
-def store(df: DataFrame, key: str, payload: str = "text", level: int = 1, into: str = "media") -> DataFrame:
+def store(df: DataFrame, key: str, payload: str = "text", level: int = 1, into: str = "media", adaptive: bool = True) -> DataFrame:
     """(key, n_bytes, media): every payload as a PNG in a binary column, written to shared storage and read again."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({
                 key: b[key], "n_bytes": [len(x) for x in b["payload"]],
-                "media": [encode_png(padded(bytes(x)), level=level) for x in b["payload"]],
+                "media": [encode_png(padded(bytes(x)), level=level, adaptive=adaptive) for x in b["payload"]],
             })
 
     return common.written(common.map_rows(df, key, {"payload": common.utf8(payload)}, run, "n_bytes long, media binary"), into)
