@@ -3,8 +3,9 @@
 Bundle layout: data frames; one skippable frame with the index (record id, frame, offset inside the frame, length);
 one skippable frame in the public seekable format (sizes of each frame, then count, flags and magic number).
 Defined results: a null payload counts as empty; payloads under `least` bytes are always responses; of equal longer
-payloads the one with the smallest id is the response, the others are revisits without a body; repeated ids are all
-kept, and the first of them answers a look-up; an empty table gives no bundle.
+payloads one row with the smallest id is the response, all others are revisits without a body. Null ids come after all
+others: rows without one revisit the smallest id, or, if their payload has no other row, one of them; repeated rows are
+all kept, and the first of an id answers a look-up; an empty table gives no bundle; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -26,11 +28,15 @@ SEEKABLE = 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 23
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+#: Date of records whose table has no date of capture.
+DATE = "1970-01-01T00:00:00Z"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool | None = None, date: str = DATE) -> bytes:
     """One WARC/1.1 record. A revisit has the payload's digest and size in its header and no body."""
-    revisit = refers_to is not None
+    revisit = refers_to is not None if revisit is None else revisit
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}",
         "WARC-Target-URI: " + (url or "").replace("\r", " ").replace("\n", " "), f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
@@ -105,23 +111,32 @@ class Bundle:
             yield key, *self.at(*place)
 
 
-def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = 100) -> DataFrame:
-    """Distinct (key, digest, refers_to): digests first, so that only (id, digest) pairs are grouped, never payloads."""
+def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(rows of id, digest, refers_to that revisit another id; ids and digests of rows that repeat). Digests come first, so
+    that only (id, digest) pairs are grouped, never payloads."""
     digests = pages.select(key, F.sha2(common.utf8(payload), 256).alias("digest"), F.octet_length(common.utf8(payload)).alias("size"))
-    long = digests.where(F.col("size") >= least)
+    long = common.written(digests.where(F.col("size") >= least).groupBy(key, "digest").agg(F.count(F.lit(1)).alias("rows")), "digests")
     first = long.groupBy("digest").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = long.join(first.select("digest", "first"), "digest").where(F.col(key) != F.col("first"))
-    return found.select(key, "digest", F.col("first").alias("refers_to")).distinct()
+    found = long.join(first.select("digest", "first"), "digest").where(~F.col(key).eqNullSafe(F.col("first")))
+    return found.select(key, "digest", F.col("first").alias("refers_to")), long.where("rows > 1").select(key, "digest")
 
 
-def write_bundles(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url", least: int = 100,
+def write_bundles(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url", least: int = 100, date: str | None = None,
                   frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """(bundle_id, n_records, archive), written to shared storage. Only the ids of revisits are joined to the pages."""
+    """(bundle_id, n_records, archive), written to shared storage. Only the ids of revisits are joined to the pages. `date`
+    names a column with the text of WARC-Date."""
     common.small_batches(pages.sparkSession)
-    again = revisits(pages, key, payload, least)
-    rows = pages.select(F.col(key).cast("string").alias("id"), F.col(url).alias("url"), common.utf8(payload).alias("payload"))
-    again = again.select(F.col(key).cast("string").alias("id"), "digest", F.col("refers_to").cast("string").alias("refers_to"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).join(again, ["id", "digest"], "left")
+    again, repeated = revisits(pages, key, payload, least)
+    text = lambda c: F.col(c).cast("string")
+    rows = pages.select(text(key).alias("id"), F.col(url).alias("url"), common.utf8(payload).alias("payload"), F.coalesce(text(date) if date else F.lit(DATE), F.lit(DATE)).alias("date"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("turn", F.lit(1))
+    if not repeated.isEmpty():  # of rows that repeat, all but one revisit it
+        rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("id", "digest").orderBy("url")))
+    again = again.select(text(key).alias("again_id"), F.col("digest").alias("again"), text("refers_to").alias("refers_to"))
+    rows = rows.join(again, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again")), "left")
+    twin = (F.col("turn") > 1) & (F.octet_length("payload") >= least)
+    rows = rows.withColumn("revisit", F.col("again").isNotNull() | twin).withColumn("refers_to", F.coalesce("refers_to", F.when(twin, F.col("id"))))
+    rows = rows.select("id", "url", "payload", "digest", "refers_to", "revisit", "date")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames, frame, size, full = [], [], 0, 0
@@ -132,11 +147,11 @@ def write_bundles(pages: DataFrame, key: str = "page_id", payload: str = "html",
             return pd.DataFrame({"bundle_id": [first], "n_records": [sum(map(len, done))], "archive": [bundle(done)]})
 
         for b in batches:
-            for i, u, p, d, to in zip(b["id"], b["url"], b["payload"], b["digest"], b["refers_to"], strict=True):
+            for i, u, p, d, to, revisit, day in zip(*(b[c] for c in b.columns), strict=True):
                 i = None if i is None or pd.isna(i) else int(i)
                 to = None if to is None or pd.isna(to) else int(to)
                 first = f"bundle-{i}" if first is None else first
-                data = record(i, u, bytes(p), d, to)
+                data = record(i, u, bytes(p), d, to, bool(revisit), day)
                 frame.append((i, data))
                 size, full = size + len(data), full + len(data)
                 if size >= frame_bytes:
