@@ -84,14 +84,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit
     """(doc_id, payload, label) of at most `limit` labelled rows, those with the smallest hash of the id.
 
     The bound is the documented size of the training sample; ids are drawn before any text is read,
-    so that only `limit` texts are shuffled.
+    so that only `limit` texts are shuffled. Of an id that repeats, the smallest text counts.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(keep)
         .groupBy(key).agg(F.max(label).alias("label"))
         .orderBy(F.xxhash64(key), key).limit(limit)
     )
-    return docs.select(key, utf8().alias("payload")).join(F.broadcast(ids), key)  # at most `limit` ids
+    rows = docs.select(key, utf8().alias("payload")).join(F.broadcast(ids), key)  # at most `limit` ids
+    return rows.groupBy(key).agg(F.min("payload").alias("payload"), F.max("label").alias("label"))
 
 
 def map_rows(df: DataFrame, key: str, columns: dict[str, Column], run: Callable, fields: str) -> DataFrame:

@@ -6,7 +6,9 @@ counts over the whole text only (never label, language, source or id).
 
 Training takes at most TRAINING_ROWS labelled rows (those with the smallest id hash) of the training folds; only their
 numbers reach the driver. Defined results: null text is empty text and gets a score like any other; without labels
-every score is the prior, 0.7; repeated rows are scored alike; rows without a label are only scored.
+every score is the prior, 0.7; repeated rows and rows with null ids are scored alike; rows without a label are only
+scored; an empty table gives no rows; texts of any length count whole; other columns stay as they are, but for one named
+like the new column.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ costs a few table steps. Every hit is weighed by its window: quotation marks and
 A logistic regression on the whole text's hit counts gives the score.
 
 Training takes at most TRAINING_ROWS labelled rows (smallest id hash) of the training folds. Defined results: null text
-is empty text; texts without words have no hits and get the score of clean text; without labels the insults alone
-decide; repeated rows are scored alike.
+is empty text; texts without words have no hits and get the score of clean text; texts of any length are scored whole;
+without labels the insults alone decide; repeated rows and rows with null ids are scored alike; an empty table gives no
+rows; other columns, of whatever names, aren't read.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ WINDOW = 6
 WORD = re.compile(r"[^\W_]+")
 QUOTES = re.compile(r"[\"“”„«»‹›]")
 STEM = range(5, 9)
+#: Letters of the shortest word that is learnt: shorter ones are within an error or two of most others.
+LETTERS = 3
 
 
 @dataclass(frozen=True)
@@ -159,7 +162,7 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for data, label in zip(b["payload"], b["label"], strict=True):
             words = set(WORD.findall(bytes(data).decode().lower()))
-            n.update((w, False, int(label)) for w in words if 3 <= len(w) <= 30)
+            n.update((w, False, int(label)) for w in words if len(w) >= LETTERS)
             n.update((p, True, int(label)) for p in {w[:k] for w in words for k in STEM if len(w) >= k})
             n[("", False, int(label))] += 1
     keys = list(n)
@@ -168,12 +171,14 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": pd.Series([k[0] for k in part], dtype=object), "stem": [k[1] for k in part], "label": [k[2] for k in part], "n": [n[k] for k in part]})
 
 
-def learn_terms(sample: DataFrame, least: int = 6, odds: float = 4.0, limit: int = 300) -> list[Term]:
-    """Terms whose share of toxic documents is `odds` times that of others, ranked by likelihood ratio: at most `limit`
-    words, and at most `limit` of the beginnings that are left after merging."""
+def learn_terms(sample: DataFrame, least: int = 6, odds: float = 4.0, limit: int | None = None) -> list[Term]:
+    """Terms in at least `least` toxic documents whose share of them is `odds` times that of others, ranked by likelihood
+    ratio. The sample bounds how many there are; a limit keeps the first so many words, and so many of the beginnings
+    that are left after merging."""
     rows = sample.mapInPandas(_terms, "term string, stem boolean, label int, n long")
     n = rows.groupBy("term", "stem").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
+    n = common.written(n.where((F.col("a") >= least) | (F.col("term") == "")), "term-counts")
     total = n.where("term = ''").collect()
     if not total or not total[0]["a"] or not total[0]["b"]:
         return []
@@ -219,6 +224,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = TRAINING_ROWS, folds: int = 5, held: int = 0) -> Model:
     common.small_batches(docs.sparkSession)
     sample = common.labelled(docs, labels, "toxic", common.fold(key, folds) != held, rows, key).select("payload", F.col("label").cast("int").alias("label"))
+    sample, path = common.stored(sample, "toxic-sample")  # texts are read once to learn, and once to score
     learned = learn_terms(sample)
     seen = {t.text for t in learned}
     terms = learned + [Term(w, 6.0) for w in INSULTS if w not in seen]
@@ -229,6 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = T
             yield pd.DataFrame({"x": [numbers(*hits(bytes(d).decode(), lexicon, known)) for d in b["payload"]], "label": b["label"].to_numpy()})
 
     got = sample.mapInPandas(run, "x array<double>, label int").toPandas()
+    common.discard(docs.sparkSession, path)
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(numbers(0, [0.0] * len(HITS))))
     order = np.lexsort((*x.T, got["label"].to_numpy())) if len(got) else []
     return Model(terms, _logistic(x[order], got["label"].to_numpy(np.float64)[order]))

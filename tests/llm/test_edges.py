@@ -111,3 +111,29 @@ def test_url_edges(spark):
     assert urls.judge(df.limit(0)).collect() == []
     judged = urls.judge(spark.createDataFrame([(1, "https://m.poker-slots.example.org/en/4"), (2, "https://blog.thering.example.org/en/4")], "page_id long, url string"))
     assert {r.page_id: r.verdict for r in judged.collect()} == {1: "block", 2: "allow"}
+
+
+def test_warc_of_null_and_repeated_ids(spark):
+    long = "p" * 150
+    rows = [(1, long), (1, long), (2, long), (None, long), (None, "q" * 150), (None, "q" * 150), (3, "short"), (3, "short"), (None, "short"), (4, None), (5, "r" * 99), (6, "r" * 99)]
+    df = spark.createDataFrame([(i, "u", h, h) for i, h in rows], "page_id long, url string, html string, digest string").repartition(3)
+    for same in (df, df.dropDuplicates()):  # with and without repeated rows
+        back = warc.read_bundles(warc.write_bundles(same)).collect()
+        assert sorted((str(r.page_id), r.stored_bytes) for r in back) == sorted((str(r.page_id), len(r.html or "")) for r in same.collect())
+        kinds = sorted((r.stored_digest[:4], r.record_type, str(r.page_id), str(r.refers_to)) for r in back if r.stored_bytes >= 100)
+        p, q = (k[0] for k in (kinds[0], kinds[-1]))
+        assert len({p, q}) == 2 and [k[1] for k in kinds].count("response") == 2
+        assert all(k[3] in ("1", "None") for k in kinds) and ("response", "1", "None") in [k[1:] for k in kinds]
+        assert ("revisit", "None", "1") in [k[1:] for k in kinds]
+        assert all(r.record_type == "response" for r in back if r.stored_bytes < 100)
+    bundles = warc.write_bundles(df.withColumn("day", F.lit("2024-05-06T07:08:09Z")), date="day").collect()
+    assert all(f["WARC-Date"] == "2024-05-06T07:08:09Z" for b in bundles for _, f, _ in warc.Bundle(bytes(b.archive)))
+
+
+def test_null_ids_link_their_neighbours(spark, monkeypatch):
+    """1 - null - 2: the fingerprint of the row without an id is within reach of both."""
+    fps = {1: 0, None: 0b11, 2: 0b1111, 3: 0xFF00}
+    made = spark.createDataFrame([(i, f, f"{f:016x}") for i, f in fps.items()], "doc_id long, fp long, fingerprint string")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: made)
+    got = {r.doc_id: r.component_id for r in simhash.grouped(made).collect()}
+    assert got == {1: 1, None: 1, 2: 1, 3: 3}

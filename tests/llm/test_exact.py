@@ -394,6 +394,40 @@ def test_warc_equals_its_sql(spark):
     assert rows(got) == rows(connect(DATA).execute(warc.SQL["op6_warc_bundles"]).df())
 
 
+def test_feature_equals_brute_force():
+    """Cosine coefficients of block means by their definition, bits by comparison with the median."""
+    import math
+
+    rng = np.random.default_rng(5)
+    for size in (0, 300, 576 * 3, 576 * 33 + 5, 576 * 90):
+        data = media.padded(rng.integers(97, 123, size, np.uint8).tobytes())
+        h = len(data) // 576
+        image = [list(data[r * 576 : (r + 1) * 576]) for r in range(h)]
+        means = []
+        for i in range(32):
+            low = min(i * h // 32, h - 1)
+            high = max((i + 1) * h // 32, low + 1)
+            means.append([sum(sum(image[r][j * 18 : (j + 1) * 18]) for r in range(low, high)) / ((high - low) * 18) for j in range(32)])
+        flat = [
+            round(sum(means[x][y] * math.cos(math.pi * u * (2 * x + 1) / 64) * math.cos(math.pi * v * (2 * y + 1) / 64) for x in range(32) for y in range(32)), 6)
+            for u in range(8) for v in range(8)]
+        median = sorted(flat[1:])[31]
+        bits = "".join("1" if c > median else "0" for c in flat)
+        stored = media.encode_png(data, adaptive=True)
+        assert media.cosine_hash(media.decode_png(stored)).hex() == f"{int(bits, 2):016x}"
+
+
+def test_stored_images_have_filters(spark):
+    import struct
+    import zlib
+
+    text = "some text with letters, and more of them. " * 60
+    row = media.store(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id").collect()[0]
+    png = bytes(row.media)
+    size = struct.unpack_from(">I", png, 33)[0]
+    assert set(zlib.decompress(png[41 : 41 + size])[::577]) - {0}
+
+
 def test_media_digests(spark, tmp_path):
     docs = [(1, None), (2, "x" * 576), (3, "é" * 400)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
