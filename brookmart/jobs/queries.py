@@ -188,17 +188,15 @@ def cdc1_load_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + CHANGES + """ SELECT seq, CASE WHEN sink = 'dwd_order_info' THEN 'fact' WHEN sink IS NOT NULL THEN 'dim' ELSE 'unmatched' END AS route, sink AS "sinkTable" FROM routed WHERE type <> 'delete'""")
 def cdc2_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, dims, rest = changes.route_changes(changes.drop_deletes(i.change_log(spark, sf_dir)), i.rules(spark))
-    tag = lambda df, route: df.select("seq", F.lit(route).alias("route"), "sinkTable")
-    return tag(facts, "fact").unionByName(tag(dims, "dim")).unionByName(rest.select("seq", F.lit("unmatched").alias("route")), allowMissingColumns=True)
+    return changes.route(changes.drop_deletes(i.change_log(spark, sf_dir)), i.rules(spark)).select("seq", "route", "sinkTable")
 
 
 @query("WITH " + CHANGES + """ SELECT seq, sink AS "sinkTable", CASE WHEN sink = 'dwd_order_info' THEN 'id,tm_name' ELSE 'id,logo_url,tm_name' END AS names, id, tm_name,
   CASE WHEN sink = 'dim_base_trademark' THEN logo_url END AS logo_url FROM routed WHERE sink IS NOT NULL AND type <> 'delete'""")
 def cdc3_filter_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, dims, _ = changes.route_changes(changes.drop_deletes(i.change_log(spark, sf_dir)), i.rules(spark))
+    rows = changes.route(changes.drop_deletes(i.change_log(spark, sf_dir)), i.rules(spark)).where("route in ('fact', 'dim')")
     a = F.col("after")
-    return changes.filter_columns(facts.unionByName(dims)).select(
+    return changes.filter_columns(rows).select(
         "seq", "sinkTable", F.array_join(F.array_sort(F.map_keys("after")), ",").alias("names"), F.try_element_at("after", F.lit("id")).alias("id"),
         F.try_element_at(a, F.lit("tm_name")).alias("tm_name"), F.try_element_at(a, F.lit("logo_url")).alias("logo_url"))
 
@@ -237,8 +235,8 @@ def cdc7_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + CHANGES + " SELECT sink AS topic, count(*) AS n FROM routed WHERE sink IS NOT NULL GROUP BY sink")
 def snk2_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, dims, _ = changes.route_changes(changes.drop_deletes(i.change_log(spark, sf_dir)), i.rules(spark))
-    return sinks.routed(facts.unionByName(dims)).groupBy("topic").agg(F.count("value").alias("n"))
+    rows = changes.route(changes.drop_deletes(i.change_log(spark, sf_dir)), i.rules(spark)).where("route in ('fact', 'dim')")
+    return sinks.routed(rows).groupBy("topic").agg(F.count("value").alias("n"))
 
 
 @query("WITH " + CHANGES + _LATEST)
@@ -292,13 +290,38 @@ def joi6_7_product_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("detail_id", "order_id", "sku_id", "sku_name", "spu_id", "spu_name", "tm_id", "tm_name", "category3_id", "category3_name")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS detail_id, CASE WHEN o_orderkey % 2 <> 0 THEN o_orderkey END AS order_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS total_amount, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS split_total_amount FROM orders WHERE o_orderkey % 3 <> 0),
-  b AS (SELECT o_orderkey AS detail_id, o_orderkey AS order_id, o_totalprice + 1 AS total_amount, 7.0 AS split_total_amount FROM orders WHERE o_orderkey % 4 <> 0)
-  SELECT coalesce(a.detail_id, b.detail_id) AS detail_id, coalesce(a.order_id, b.order_id) AS order_id, coalesce(a.total_amount, b.total_amount) AS total_amount, a.split_total_amount FROM a FULL JOIN b ON a.detail_id = b.detail_id""")
+_SPLITS = ("split_activity_amount", "split_coupon_amount", "split_total_amount")
+
+
+@query("WITH " + WIDE + """,
+a AS (SELECT l_orderkey * 10 + l_linenumber AS detail_id, CAST(NULL AS BIGINT) AS order_id, CAST(NULL AS VARCHAR) AS order_status, CAST(NULL AS VARCHAR) AS create_time, CAST(NULL AS VARCHAR) AS create_date,
+  CASE WHEN l_returnflag = 'R' THEN l_tax END AS coupon_reduce_amount, CASE WHEN l_returnflag = 'A' THEN l_discount END AS activity_reduce_amount, CASE WHEN l_linestatus = 'F' THEN l_extendedprice END AS original_total_amount,
+  CAST(NULL AS DOUBLE) AS feight_fee, CAST(NULL AS DOUBLE) AS total_amount, CAST(NULL AS BIGINT) AS user_id, CASE WHEN l_returnflag <> 'N' THEN l_partkey END AS sku_id, CASE WHEN l_linestatus = 'O' THEN 'line ' || l_partkey END AS sku_name,
+  CASE WHEN l_returnflag = 'N' THEN l_extendedprice END AS order_price, CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) END AS sku_num, CASE WHEN l_returnflag <> 'A' THEN l_discount END AS split_activity_amount,
+  CASE WHEN l_returnflag <> 'R' THEN l_tax END AS split_coupon_amount, CASE WHEN l_linestatus = 'F' THEN l_extendedprice END AS split_total_amount FROM lineitem),
+b AS (SELECT *, strftime(ct, '%Y-%m-%d %H:%M:%S') AS create_time, CAST(CAST(ct AS DATE) AS VARCHAR) AS create_date, CAST(total_amount AS DOUBLE) AS total, CAST(split_total_amount AS DOUBLE) AS split FROM wide)
+SELECT coalesce(a.detail_id, b.detail_id) AS detail_id, a.order_id, coalesce(a.order_status, b.order_status) AS order_status, coalesce(a.create_time, b.create_time) AS create_time, coalesce(a.create_date, b.create_date) AS create_date,
+  coalesce(a.coupon_reduce_amount, b.split) AS coupon_reduce_amount, coalesce(a.activity_reduce_amount, b.split) AS activity_reduce_amount, coalesce(a.original_total_amount, b.total) AS original_total_amount,
+  coalesce(a.feight_fee, CAST(b.sku_num AS DOUBLE)) AS feight_fee, coalesce(a.total_amount, b.total) AS total_amount, coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.sku_id, b.sku_id) AS sku_id,
+  coalesce(a.sku_name, 'sku ' || b.sku_id) AS sku_name, coalesce(a.order_price, b.split) AS order_price, coalesce(a.sku_num, b.sku_num) AS sku_num, a.split_activity_amount, a.split_coupon_amount, a.split_total_amount
+FROM a FULL JOIN b ON a.detail_id = b.detail_id""")
 def joi8_coalesce_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, k, price = i.table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_totalprice")
-    a = o.where(k % 3 != 0).select(k.alias("detail_id"), F.when(k % 2 != 0, k).alias("order_id"), F.when(k % 5 != 0, price).alias("total_amount"), F.when(k % 7 != 0, price).alias("split_total_amount"))
-    b = o.where(k % 4 != 0).select(k.alias("detail_id"), k.alias("order_id"), (price + 1).alias("total_amount"), F.lit(7.0).alias("split_total_amount"))
+    """Order lines, some of whose columns are missing, filled from the wide order where the interval join has one."""
+    line, c = i.table(spark, sf_dir, "lineitem"), F.col
+    only = lambda flag, value: F.when(flag, value)
+    gone = lambda kind: F.lit(None).cast(kind)
+    final = c("l_linestatus") == "F"
+    a = line.select(
+        (c("l_orderkey") * 10 + c("l_linenumber")).alias("detail_id"), gone("bigint").alias("order_id"), *(gone("string").alias(n) for n in ("order_status", "create_time", "create_date")),
+        only(c("l_returnflag") == "R", c("l_tax")).alias("coupon_reduce_amount"), only(c("l_returnflag") == "A", c("l_discount")).alias("activity_reduce_amount"), only(final, c("l_extendedprice")).alias("original_total_amount"),
+        *(gone("double").alias(n) for n in ("feight_fee", "total_amount")), gone("bigint").alias("user_id"), only(c("l_returnflag") != "N", c("l_partkey")).alias("sku_id"),
+        only(c("l_linestatus") == "O", i.text("line ", c("l_partkey"))).alias("sku_name"), only(c("l_returnflag") == "N", c("l_extendedprice")).alias("order_price"), only(final, c("l_quantity").cast("bigint")).alias("sku_num"),
+        only(c("l_returnflag") != "A", c("l_discount")).alias("split_activity_amount"), only(c("l_returnflag") != "R", c("l_tax")).alias("split_coupon_amount"), only(final, c("l_extendedprice")).alias("split_total_amount"))
+    total, split = c("total_amount").cast("double"), c("split_total_amount").cast("double")
+    b = i.order_wide(spark, sf_dir).select(
+        "detail_id", "order_id", "order_status", F.date_format("create_ts", "yyyy-MM-dd HH:mm:ss").alias("create_time"), "create_date", split.alias("coupon_reduce_amount"), split.alias("activity_reduce_amount"),
+        total.alias("original_total_amount"), c("sku_num").cast("double").alias("feight_fee"), total.alias("total_amount"), "user_id", "sku_id", i.text("sku ", c("sku_id")).alias("sku_name"), split.alias("order_price"), "sku_num",
+        *(split.alias(n) for n in _SPLITS))
     return wide.coalesce_wide(a, b)
 
 
@@ -306,8 +329,7 @@ def joi8_coalesce_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _visitor_stats(spark: SparkSession, sf_dir: str, window: str) -> DataFrame:
-    pages = i.page_log(spark, sf_dir)
-    return stats.visitor_stats(pages, i.unique_visits(spark, sf_dir), i.user_jumps(spark, sf_dir), window, None)
+    return stats.sum_visitors(stats.visitor_rows(i.page_log(spark, sf_dir), "6 hours"), window, None)
 
 
 @query("WITH " + _visitors("1 day") + " SELECT * FROM vs")

@@ -30,12 +30,20 @@ def load_rules(changes: DataFrame, seq: str = "seq") -> DataFrame:
     return last.select("sourceTable", "operateType", "r.*")
 
 
-def route_changes(df: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, dims, unmatched). The rule table is small; it is joined as Spark sees fit by its size."""
+def route(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """All rows with the rule's columns and `route`: fact, dim, unmatched, or null for a rule of another sink. One join; the
+    rule table has one row for a table and kind of change, and is joined as Spark sees fit by its size."""
     r = rules.select("sourceTable", "operateType", "sinkType", "sinkTable", "sinkColumns", F.coalesce("sinkPk", F.lit("id")).alias("sinkPk"))
     on = (F.col("tableName") == F.col("sourceTable")) & (F.col("type") == F.col("operateType"))
-    routed = df.join(r, on).drop("sourceTable", "operateType")
-    return routed.where("sinkType = 'kafka'"), routed.where("sinkType = 'hbase'"), df.join(r, on, "left_anti")
+    kind = F.when(F.col("sourceTable").isNull(), "unmatched").when(F.col("sinkType") == "kafka", "fact").when(F.col("sinkType") == "hbase", "dim")
+    return df.join(r, on, "left").withColumn("route", kind).drop("sourceTable", "operateType")
+
+
+def route_changes(df: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts, dims, unmatched) for jobs that treat them apart; those that don't take route()."""
+    rows = route(df, rules)
+    facts, dims = (rows.where(F.col("route") == k).drop("route") for k in ("fact", "dim"))
+    return facts, dims, rows.where("route = 'unmatched'").select(df.columns)
 
 
 def filter_columns(df: DataFrame) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def of_day(stats: DataFrame, date: str) -> DataFrame:
-    """Rows whose window starts on the day (yyyy-MM-dd); comparisons that reach the scan."""
+    """Rows whose window starts on the day (yyyy-MM-dd). Stored statistics have the day as a partition (dt), so that other
+    days aren't read; otherwise the comparisons reach the scan."""
+    if "dt" in stats.columns:
+        stats = stats.where(F.col("dt") == F.lit(date).cast("date"))
     return stats.where((F.col("stt") >= f"{date} 00:00:00") & (F.col("stt") <= f"{date} 23:59:59"))
 
 
@@ -52,7 +55,7 @@ def visitors_by_new_flag(stats: DataFrame, date: str) -> DataFrame:
 def visitors_by_hour(stats: DataFrame, date: str) -> DataFrame:
     hour = F.substring("stt", 12, 2).cast("int")
     return of_day(stats, date).groupBy(hour.alias("hr")).agg(
-        F.sum(F.when(F.col("is_new") == "1", F.col("uv_ct")).otherwise(0)).alias("new_uv"), *(F.sum(c).alias(c) for c in ("uv_ct", "pv_ct", "uj_ct")))
+        F.sum(F.when(F.col("is_new") == "1", F.col("uv_ct")).otherwise(0)).alias("new_uv"), *(F.sum(c).alias(c) for c in ("uv_ct", "pv_ct", "uj_ct"))).orderBy("hr")
 
 
 def fill_hours(by_hour: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schemas import MONEY
 from .wide import join_category3, join_sku, join_spu, join_trademark
@@ -46,6 +47,19 @@ def visitor_rows_page(pages: DataFrame) -> DataFrame:
     return _visitor_rows(pages, pv_ct=F.lit(1), sv_ct=entry, dur_sum=F.coalesce("during_time", F.lit(0)))
 
 
+def visitor_rows(pages: DataFrame, within: str = "10 seconds", mid: str = "mid", time: str = "event_time", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """Batch form: one row per page with all measures. The device's first entry of the day and its bounces come from
+    windows over the device, for which one exchange is enough, and rows aren't multiplied."""
+    entry, day = F.col("last_page_id").isNull(), F.to_date(time)
+    first = F.min(F.when(entry, F.struct(*order))).over(Window.partitionBy(mid, day))
+    device = Window.partitionBy(mid).orderBy(*order)
+    then, then_entry = F.lead(time).over(device), F.lead(entry).over(device)
+    jump = then.isNull() | then_entry | (then >= F.col(time) + F.expr(f"interval {within}"))
+    marked = pages.withColumn("_jump", entry & jump).withColumn("_first", entry & (first == F.struct(*order)))
+    return _visitor_rows(
+        marked, uv_ct=F.col("_first").cast("int"), pv_ct=F.lit(1), sv_ct=entry.cast("int"), uj_ct=F.col("_jump").cast("int"), dur_sum=F.coalesce("during_time", F.lit(0)))
+
+
 def visitor_stats(pages: DataFrame, visits: DataFrame, jumps: DataFrame, window: str = "10 seconds", delay: str | None = "13 seconds") -> DataFrame:
     rows = visitor_rows_page(pages).unionByName(visitor_rows_uv(visits)).unionByName(visitor_rows_uj(jumps))
     return sum_visitors(rows, window, delay)

@@ -98,12 +98,14 @@ def join_category3(df: DataFrame, dim: DataFrame, how: str = "inner") -> DataFra
     return lookup(df, dim, "category3_id", {"category3_name": "name"}, how)
 
 
-#: Columns that the second partial row may fill in.
-FILLED = ("order_id", "sku_id", "sku_num", "sku_name", "order_price", "province_id", "user_id", "total_amount", "order_status", "create_date", "create_hour", "create_ts", "feight_fee")
+#: Columns that the second partial row may fill in.
+FILLED = (
+    "order_status", "create_time", "create_date", "coupon_reduce_amount", "activity_reduce_amount", "original_total_amount", "feight_fee", "total_amount",
+    "user_id", "sku_id", "sku_name", "order_price", "sku_num")
 
 
 def coalesce_wide(a: DataFrame, b: DataFrame, key: str = "detail_id") -> DataFrame:
-    """First non-null value of two partial wide rows of one detail; split amounts only ever come from the first."""
+    """First non-null value of two partial wide rows of one detail; ids and split amounts only ever come from the first, the key from either."""
     right = prefixed(b, "b_")
     joined = a.join(right, F.col(key) == F.col(f"b_{key}"), "full")
     value = lambda c: F.coalesce(c, f"b_{c}") if c in (*FILLED, key) and f"b_{c}" in right.columns else F.col(c)

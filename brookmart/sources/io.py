@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_topic(spark: SparkSession, topic: str, servers: str | None = None, starting: str = "latest", stream: bool = False, path: str | None = None) -> DataFrame:
-    """value STRING of each record of a topic. With `path`, the topic is a folder of text files, one record per line."""
+def read_topic(spark: SparkSession, topic: str, servers: str | None = None, starting: str | None = None, stream: bool = False, path: str | None = None) -> DataFrame:
+    """value STRING of each record of a topic. With `path`, the topic is a folder of text files, one record per line.
+    Without `starting`, streams begin at the latest record and batches at the earliest; a batch can't begin at the latest."""
+    if not stream and starting == "latest":
+        raise ValueError("a batch has an end; it can't start at the latest record")
     if path is not None:
         lines = (spark.readStream if stream else spark.read).text(path)
         return lines.select("value")
     reader = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    if stream or starting == "earliest":
-        reader = reader.option("startingOffsets", starting)
+    reader = reader.option("startingOffsets", starting or ("latest" if stream else "earliest"))
     return reader.load().select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset", "timestamp")
 
 

@@ -1,9 +1,11 @@
-"""Sinks: topics, routed topics, statistics, dimension snapshots. All can be repeated for one batch without doubling rows."""
+"""Sinks: topics, routed topics, statistics, dimension snapshots. Folders can be written again for one batch without doubling
+rows; brokers and JDBC tables get a repeated batch twice, whose rows carry its number."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import latest_by_key
 
@@ -12,14 +14,26 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def write_topic(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One JSON text per row, to a topic kept as a folder of text files."""
-    as_json(df).write.mode(mode).text(path)
+def write_topic(df: DataFrame, path: str, batch_id: int = 0) -> None:
+    """One JSON text per row, to a topic kept as a folder of text files; a batch that is written again replaces itself."""
+    rows = as_json(df).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").text(path)
 
 
-def kafka_options(df: DataFrame, servers: str, topic: str | None = None) -> dict[str, str]:
-    """Options of the Kafka sink; without a topic the rows' own topic column decides."""
-    return {"kafka.bootstrap.servers": servers} | ({"topic": topic} if topic else {})
+def write_kafka(rows: DataFrame, servers: str, topic: str | None = None, checkpoint: str | None = None) -> StreamingQuery | None:
+    """Rows of (value), or of (topic, value) where each row names its topic, to a broker: a batch, or, with a checkpoint, a
+    stream. The connector must be on the class path."""
+    options = {"kafka.bootstrap.servers": servers} | ({"topic": topic} if topic else {})
+    if checkpoint:
+        return rows.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).start()
+    rows.write.format("kafka").options(**options).save()
+    return None
+
+
+def write_stats_jdbc(df: DataFrame, url: str, table: str, batch_id: int = 0, columns: list[str] | None = None, **options: str) -> None:
+    """Appends aggregates and their batch's number to a table over JDBC, one connection per partition."""
+    rows = df.select(*(columns or df.columns)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
 
 
 def routed(df: DataFrame, sink_table: str = "sinkTable", payload: str = "after") -> DataFrame:

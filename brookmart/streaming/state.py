@@ -40,8 +40,9 @@ def repair_is_new(df: DataFrame, mid: str = "mid") -> DataFrame:
 class Jumps(StatefulProcessor):
     """Entries whose strict next row (in event time) is an entry, comes `within` later, or does not come.
 
-    Rows wait until the watermark passes them and are then taken in order of (ts, seq); one entry may be pending, and a
-    timer at its time plus `within` lets it out if nothing came. Rows behind the watermark are dropped."""
+    Rows wait until the watermark passes them and are then taken in order of (ts, seq), all at once; one entry may be
+    pending, and goes out when the watermark is `within` behind it and nothing came. A device has one timer, at the least
+    time at which something can happen. Rows behind the watermark are dropped."""
 
     def __init__(self, within_ms: int):
         self.within = within_ms
@@ -50,22 +51,39 @@ class Jumps(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "ts bigint, seq bigint", "entry boolean, payload string")
         self.pending = handle.getValueState("pending", "ts bigint, seq bigint, payload string")
+        self.next = handle.getValueState("next", "at bigint")
+
+    def _timer(self, at: int) -> None:
+        """The timer goes to `at` unless it is set for an earlier time."""
+        if self.next.exists():
+            if self.next.get()[0] <= at:
+                return
+            self.handle.deleteTimer(self.next.get()[0])
+        self.next.update((at,))
+        self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
+        watermark, least = timerValues.getCurrentWatermarkInMs(), None
         for b in rows:
             for ts, seq, entry, payload in zip(b["ts"], b["seq"], b["entry"], b["payload"], strict=True):
                 if ts < watermark:
                     continue
                 self.waiting.updateValue((int(ts), int(seq)), (bool(entry), payload))
-                self.handle.registerTimer(int(ts) + 1)
+                least = int(ts) if least is None else min(least, int(ts))
+        if least is not None:
+            self._timer(least + 1)
         yield self._frame(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        out = []
-        due = sorted(k for k in self.waiting.keys() if k[0] < now)
-        for k in due:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        out, later, due = [], None, []
+        self.next.clear()
+        for k in self.waiting.keys():
+            if k[0] < now:
+                due.append(k)
+            else:
+                later = k[0] if later is None else min(later, k[0])
+        for k in sorted(due):
             entry, payload = self.waiting.getValue(k)
             self.waiting.removeKey(k)
             if self.pending.exists():
@@ -75,10 +93,15 @@ class Jumps(StatefulProcessor):
                 self.pending.clear()
             if entry:
                 self.pending.update((k[0], k[1], payload))
-                self.handle.registerTimer(k[0] + self.within)
-        if self.pending.exists() and now >= (p := self.pending.get())[0] + self.within:
-            out.append(p)
-            self.pending.clear()
+        if self.pending.exists():
+            p = self.pending.get()
+            if now >= p[0] + self.within:
+                out.append(p)
+                self.pending.clear()
+            else:
+                self._timer(p[0] + self.within)
+        if later is not None:
+            self._timer(later + 1)
         yield self._frame(key, out)
 
     @staticmethod

@@ -63,12 +63,23 @@ def route_stream(envelopes: DataFrame, load_rules: Callable[[], DataFrame], path
     """Routes changes by the rules as they are when each batch starts; facts and dims go to one folder per table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        facts, dims, _ = changes.route_changes(changes.drop_deletes(batch), load_rules())
-        sinks.write_routed(changes.filter_columns(facts.unionByName(dims)), path, batch_id)
+        rows = changes.route(changes.drop_deletes(batch), load_rules()).where("route in ('fact', 'dim')")
+        sinks.write_routed(changes.filter_columns(rows), path, batch_id)
 
     return each_batch(envelopes, checkpoint, write, available)
 
 
+def dim_stream(rows: DataFrame, path: str, checkpoint: str, pk: str = "id", seq: str = "seq", null_overwrites: bool = False, available: bool = False) -> StreamingQuery:
+    """Upserts a dimension from a stream of its changed rows. Each batch writes the next snapshot from the one before, so a
+    batch that is done again gives the same one; snapshot=N is the state after batch N."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        old = batch.sparkSession.read.parquet(f"{path}/snapshot={n - 1}") if n else None
+        sinks.upsert_dim(old, batch, pk, seq, null_overwrites=null_overwrites).write.mode("overwrite").parquet(f"{path}/snapshot={n}")
+
+    return each_batch(rows, checkpoint, write, available)
+
+
 def stats_stream(df: DataFrame, dims: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, available: bool = False) -> StreamingQuery:
     """Writes aggregates with dimension columns; `dims` reads the dimensions anew for each batch, so changes are seen."""
     return each_batch(df, checkpoint, lambda batch, n: sinks.write_stats(dims(batch), path, n), available)

@@ -156,7 +156,9 @@ def test_sources_and_sinks(spark, tmp_path):
         sinks.write_stats(s, str(tmp_path / "stats"), batch, ["stt", "n"])
     stored = spark.read.parquet(str(tmp_path / "stats"))
     assert stored.count() == 2 and "hidden" not in stored.columns
-    sinks.write_topic(s, str(tmp_path / "topic"))
+    for _ in range(2):
+        sinks.write_topic(s, str(tmp_path / "topic"), 7)
+    assert io.read_topic(spark, "t", path=str(tmp_path / "topic")).count() == 1
     assert io.read_topic(spark, "t", path=str(tmp_path / "topic")).first().value == '{"stt":"2024-01-01 00:00:00","n":1,"hidden":2}'
 
 
@@ -165,3 +167,37 @@ def test_upsert_keeps_what_a_change_lacks(spark):
     new = spark.createDataFrame([(1, "1", "z", None), (2, "3", "n", "m")], "seq long, id string, x string, y string")
     assert sorted(tuple(r) for r in sinks.upsert_dim(old, new).collect()) == [("1", "z", "b"), ("2", "c", "d"), ("3", "n", "m")]
     assert ("1", "z", None) in [tuple(r) for r in sinks.upsert_dim(old, new, null_overwrites=True).collect()]
+
+
+def test_reports_read_only_their_day(spark, tmp_path):
+    s = spark.createDataFrame([(f"2024-01-0{d} 0{d}:00:00", "5.00") for d in (1, 2, 3)], "stt string, order_amount string")
+    sinks.write_stats(s, str(tmp_path / "stats"))
+    stored = reports.of_day(spark.read.parquet(str(tmp_path / "stats")), "2024-01-02")
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "dt#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert [float(r.order_amount) for r in reports.gmv(spark.read.parquet(str(tmp_path / "stats")), "2024-01-02").collect()] == [5.0]
+
+
+def test_jdbc_tables(spark, tmp_path):
+    """Written to and read from an embedded database, whole and by ranges of a column."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.createDataFrame([(k, f"n{k}", None if k % 2 else k * 1.5) for k in range(20)], "SKU_ID long, TM_NAME string, AMOUNT double")
+    for n in (0, 1):
+        sinks.write_stats_jdbc(df, url, "STATS", n, driver=driver)
+    found = io.read_table(spark, url, 'select "SKU_ID", "TM_NAME", "AMOUNT" from STATS where "batch_id" = 1', camel=True, driver=driver)
+    assert found.columns == ["skuId", "tmName", "amount"]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, df.collect()))
+    parts = io.read_table(spark, url, "select * from STATS", "SKU_ID", (0, 20), 4, driver=driver)
+    assert parts.count() == 40 and parts.rdd.getNumPartitions() == 4
+
+
+def test_a_batch_cannot_start_at_the_latest(spark):
+    with pytest.raises(ValueError, match="latest"):
+        io.read_topic(spark, "t", "localhost:1", starting="latest")
+
+
+def test_coalesce_fills_only_what_it_may(spark):
+    names = "detail_id long, order_id long, user_id long, sku_name string, split_total_amount double"
+    a = spark.createDataFrame([(1, None, None, "a", None), (2, 5, 6, None, 1.0)], names)
+    b = spark.createDataFrame([(1, 9, 8, "b", 7.0), (3, 9, 8, "c", 7.0)], names)
+    assert sorted(map(tuple, wide.coalesce_wide(a, b).collect())) == [(1, None, 8, "a", None), (2, 5, 6, None, 1.0), (3, None, 8, "c", None)]

@@ -31,6 +31,12 @@ def test_plans(spark):
 
     pages = inputs.page_log(spark, DATA)
     assert plan(visits.user_jumps(pages)).count("Exchange hashpartitioning(mid") == 1
+    # what runs in the end: statistics of visitors scan and shuffle the log once, routes come from one join over one scan
+    for name, exchanges in (("agg1_visitor_stats", 1), ("cdc2_route", 0), ("cdc3_filter_columns", 0)):
+        df = QUERIES[name](spark, DATA)
+        df.collect()
+        final = plan(df).split("== Initial Plan ==")[0]
+        assert final.count("FileScan parquet") == 1 and final.count("Exchange hashpartitioning(mid") == exchanges, final
     for name in QUERIES:
         if name in ("agg2_product_stats", "agg1_visitor_stats", "cdc2_route", "joi6_7_product_dims"):
             text = plan(QUERIES[name](spark, DATA))

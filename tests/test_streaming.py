@@ -118,3 +118,22 @@ def test_route_stream_restarts_and_sees_new_rules(spark, tmp_path):
 def test_payment_times(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00",), ("bad",)], "create_time string").withColumn("at", F.lit("2020-01-01").cast("timestamp"))
     assert [str(r.create_ts) for r in streams.payment_times(df, "at").collect()] == ["2024-01-01 00:00:00", "2020-01-01 00:00:00"]
+
+
+def test_dim_stream_restarts_on_its_snapshot(spark, tmp_path):
+    schema, path = "seq long, id string, x string, y string", tmp_path / "in"
+    files(path, [[{"seq": 1, "id": "a", "x": "1", "y": "1"}, {"seq": 2, "id": "b", "x": "2"}], [{"seq": 3, "id": "a", "x": "9"}]])
+
+    def go():
+        df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(path))
+        q = streams.dim_stream(df, str(tmp_path / "dim"), str(tmp_path / "c"), available=True)
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    go()
+    (path / "2.json").write_text(json.dumps({"seq": 4, "id": "c", "x": "3"}) + "\n" + json.dumps({"seq": 5, "id": "b", "y": "4"}))
+    go()
+    go()
+    state_at = lambda n: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/dim/snapshot={n}").select("id", "x", "y").collect()))
+    assert state_at(1) == [("a", "9", "1"), ("b", "2", None)]
+    assert state_at(2) == [("a", "9", "1"), ("b", "2", "4"), ("c", "3", None)]
