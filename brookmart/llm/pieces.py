@@ -38,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Segments and pairs that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Weight of one byte of a character without a piece, above that of any piece.
@@ -184,32 +184,31 @@ class Transducer:
             here = reached[i]
             if here is None:
                 continue
-            state, j = start, i
-            while j < n:
-                arc = state.get(segment[j])
-                if arc is None:
-                    break
+            prior = [(last << 32 if bpe and last >= 0 else -1, last, path[0]) for last, path in here.items()]
+            arc, j = start.get(segment[i]), i
+            if arc is None or arc[0] < 0:
+                more = (self.fallback.get(segment[i]) or self.bytes_of(segment[i]))[0]
+                there = reached[i + 1] = reached[i + 1] or {}
+                for _, last, cost in prior:
+                    if -1 not in there or cost + more < there[-1][0]:
+                        there[-1] = (cost + more, i, last, -1)
+            while arc is not None:
                 j += 1
                 piece, state = arc
-                if piece < 0:
-                    continue
-                for last, path in here.items():
-                    if bpe and last >= 0:
-                        ok = known(last << 32 | piece)
-                        if not (self.follows(last, piece) if ok is None else ok):
-                            continue
-                    total, to, there = path[0] + weight[piece], piece if bpe else -1, reached[j]
-                    if there is None:
-                        reached[j] = {to: (total, i, last, piece)}
-                    elif to not in there or total < there[to][0]:
-                        there[to] = (total, i, last, piece)
-            c = segment[i]
-            if c in self.fallback or start.get(c, (-1,))[0] < 0:
-                more = (self.fallback.get(c) or self.bytes_of(c))[0]
-                there = reached[i + 1] = reached[i + 1] or {}
-                for last, path in here.items():
-                    if -1 not in there or path[0] + more < there[-1][0]:
-                        there[-1] = (path[0] + more, i, last, -1)
+                if piece >= 0:
+                    for pair, last, cost in prior:
+                        if pair >= 0:
+                            ok = known(pair | piece)
+                            if ok is None:
+                                ok = self.follows(last, piece)
+                            if not ok:
+                                continue
+                        total, to, there = cost + weight[piece], piece if bpe else -1, reached[j]
+                        if there is None:
+                            reached[j] = {to: (total, i, last, piece)}
+                        elif to not in there or total < there[to][0]:
+                            there[to] = (total, i, last, piece)
+                arc = state.get(segment[j]) if j < n else None
         out: list[int] = []
         j, state = n, min(reached[n], key=lambda k: reached[n][k][0])
         while j:
