@@ -1,15 +1,15 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and scores of the hits' context windows.
 
-The lexicon has a few common insults and the words and word beginnings that the training documents mark: those found
-in a far larger share of toxic than of other documents; a word stands beside its beginning, since beginnings are taken
-as they are and only words with errors. It is compiled into a trie; the trie is intersected with the
+The lexicon has the words and word beginnings that the training documents mark, those found in a far larger share of
+toxic than of other documents, and the caller's own words, if any; a word stands beside its beginning, since beginnings
+are taken as they are and only words with errors. It is compiled into a trie; the trie is intersected with the
 Levenshtein automaton (one error for words of five letters or more) and made deterministic on demand, so that a word
 costs a few table steps. Every hit is weighed by its window: quotation marks and words of reporting, or direct address.
 A logistic regression on the whole text's hit counts gives the score.
 
 Training takes at most TRAINING_ROWS labelled rows (smallest id hash) of the training folds. Defined results: null text
 is empty text; texts without words have no hits and get the score of clean text; texts of any length are scored whole;
-without labels the insults alone decide; repeated rows and rows with null ids are scored alike; an empty table gives no
+without labels the caller's words alone decide, and without those all rows score alike; repeated rows and rows with null ids are scored alike; an empty table gives no
 rows; other columns, of whatever names, aren't read.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 TRAINING_ROWS = 8000
-#: Insults that need no label.
-INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
+#: Weight of the caller's words that no label speaks of.
+GIVEN = 6.0
 REPORTING = frozenset("said says wrote called quote quoted quotes according dijo dit sagte schrieb word term".split())
 ADDRESS = frozenset("you your youre du dein deine tu tes ton vous tú usted eres".split())
 #: Words to each side of a hit that are looked at.
@@ -204,7 +204,7 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
-    """Newton steps; the intercept is last. Without both labels: the insults' counts alone."""
+    """Newton steps; the intercept is last. Without both labels: the counts of strong hits alone."""
     if len(np.unique(y)) < 2:
         w = np.zeros(len(numbers(0, [0.0] * len(HITS))) + 1)
         w[0], w[1], w[-1] = 4.0, 3.0, -2.0
@@ -221,13 +221,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = TRAINING_ROWS, folds: int = 5, held: int = 0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = TRAINING_ROWS, folds: int = 5, held: int = 0, words: Iterable[str] = ()) -> Model:
+    """A model from the labelled rows of the folds but `held`, and the caller's words."""
     common.small_batches(docs.sparkSession)
     sample = common.labelled(docs, labels, "toxic", common.fold(key, folds) != held, rows, key).select("payload", F.col("label").cast("int").alias("label"))
     sample, path = common.stored(sample, "toxic-sample")  # texts are read once to learn, and once to score
     learned = learn_terms(sample)
     seen = {t.text for t in learned}
-    terms = learned + [Term(w, 6.0) for w in INSULTS if w not in seen]
+    terms = learned + [Term(w, GIVEN) for w in sorted({w.lower() for w in words if w} - seen)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, known = Lexicon(terms), {}

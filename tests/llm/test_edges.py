@@ -96,8 +96,9 @@ def test_empty_benchmark(spark, docs):
 def test_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {round(r.score, 9) for r in quality.score(docs, quality.train(docs, none)).collect()} == {0.7}
-    scored = toxicity.score(docs.select("doc_id", F.lit("you idiot, you scum").alias("text")), toxicity.train(docs, none)).collect()
-    assert all(r.score > 0.5 for r in scored)
+    rude = docs.select("doc_id", F.lit("you idiot, you scum").alias("text"))
+    assert all(r.score > 0.5 for r in toxicity.score(rude, toxicity.train(docs, none, words=("Idiot", "scum"))).collect())
+    assert len({r.score for df in (docs, rude) for r in toxicity.score(df, toxicity.train(docs, none)).collect()}) == 1
 
 
 def test_url_edges(spark):
