@@ -22,15 +22,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Folders of sessions without spark.checkpoint.dir, by application: the setting can't be changed in a running session.
+_own: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of spark.checkpoint.dir. Where none is set, a local folder serves sessions that run
     in one process; a cluster's session must set one, since executors don't see each other's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="brookmart-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="brookmart-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -64,6 +68,25 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(SENT_IDS + 1).count() <= SENT_IDS else ids
 
 
+def placed(rows: DataFrame, order: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """rows, which have a column `tree`, with `row`, a number of their own, `place`, from 0 in their tree by `order`, and `size`,
+    the number of rows in the tree; also the paths of scratch tables, to be discarded when the result has been written. No
+    tree meets in one task: a range sort deals the rows out, and those that lie before a partition are counted by partition."""
+    named = rows.withColumn("row", F.monotonically_increasing_id())  # written, so that it stays what it is
+    first, one = stored(named, "leaves")
+    by = ["tree", *order, "row"]
+    dealt = first.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id())
+    dealt, two = stored(dealt, "sorted")
+    part = F.shiftright("at", 33)
+    counts = dealt.groupBy("tree", part.alias("part")).agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n"))
+    # one row for each partition and tree in it, so never more than partitions and trees together
+    sums = counts.selectExpr("tree", "part", "least", "sum(n) over (partition by tree order by part) - n as before", "sum(n) over (partition by tree) as size")
+    sums = sums.select(F.col("tree").alias("_tree"), F.col("part").alias("_part"), "least", "before", "size")
+    on = F.col("tree").eqNullSafe(F.col("_tree")) & (part == F.col("_part"))
+    out = dealt.join(small(sums), on).withColumn("place", F.col("at") - F.col("least") + F.col("before"))
+    return out.drop("_tree", "_part", "least", "before", "at"), [one, two]
+
+
 def discard(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

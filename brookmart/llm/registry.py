@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, media, pieces, quality, simhash, suffixes, toxicity, urls, warc
+from . import bytepairs, decontamination, licenses, media, merkle, negatives, pieces, quality, simhash, suffixes, toxicity, urls, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_byte_bpe": bytepairs.op13_byte_bpe,
 }
 
 SQL = {**warc.SQL}
