@@ -93,6 +93,12 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return [next(t for k in range(len(taken) + 1) if (t := n + "_" * k).lower() not in taken) for n in names]
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of the id's text mod n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

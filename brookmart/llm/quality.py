@@ -176,6 +176,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier accepts."""
+    """Pipeline stage: documents that the classifier accepts. Columns of any name stay as they are."""
     model = train(docs, common.table(spark, sf_dir, "labels"))
-    return score(docs, model, name="_quality_score").where("_quality_score >= 0.7").select(docs.columns)
+    (name,) = common.fresh(docs, "score")
+    return score(docs, model, name=name).where(F.col(name) >= 0.7).select([F.col(f"`{c}`") for c in docs.columns])

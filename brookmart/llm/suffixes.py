@@ -434,19 +434,16 @@ def on_characters(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without their repeated passages; every document stays, cut between characters."""
+    """Pipeline stage: documents without their repeated passages; every document stays, cut between characters. Bytes that
+    aren't UTF-8 stay as they are, and so do columns of any name."""
     found = covered(docs.select("doc_id", "text")).where(F.size("spans") > 0)
 
-    @F.pandas_udf(T.StringType())
+    @F.pandas_udf(T.BinaryType())
     def cut(data: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([
-            "" if d is None else on_characters(bytes(d), [(s["start"], s["end"]) for s in runs]).decode() for d, runs in zip(data, spans, strict=True)
-        ], dtype=object)
-
-    fresh = found.select(F.col("id").alias("_cut_id"), F.col("digest").alias("_cut_digest"), cut("data", "spans").alias("_cut_text"))
-    same = docs["doc_id"].eqNullSafe(fresh["_cut_id"]) & (F.sha2(common.utf8(), 256) == fresh["_cut_digest"])
-    text = F.when(F.col("_cut_text").isNotNull(), F.col("_cut_text")).otherwise(F.col("text"))
-    joined = docs.join(fresh, same, "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_cut_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.select(docs.columns)
+        return pd.Series([b"" if d is None else on_characters(bytes(d), [(s["start"], s["end"]) for s in runs]) for d, runs in zip(data, spans, strict=True)], dtype=object)
+
+    id_, digest, short = common.fresh(docs, "cut_id", "cut_digest", "cut_text")
+    cuts = found.select(F.col("id").alias(id_), F.col("digest").alias(digest), cut("data", "spans").cast("string").alias(short))
+    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts[id_]) & (F.sha2(common.utf8(), 256) == cuts[digest]), "left")
+    new = {"text": F.coalesce(short, "text"), "n_chars": F.when(F.col(short).isNotNull(), F.length(short).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return joined.select([new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])

@@ -161,7 +161,7 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     n: Counter = Counter()
     for b in batches:
         for data, label in zip(b["payload"], b["label"], strict=True):
-            words = set(WORD.findall(bytes(data).decode().lower()))
+            words = set(WORD.findall(bytes(data).decode(errors="replace").lower()))
             n.update((w, False, int(label)) for w in words if len(w) >= LETTERS)
             n.update((p, True, int(label)) for p in {w[:k] for w in words for k in STEM if len(w) >= k})
             n[("", False, int(label))] += 1
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = T
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, known = Lexicon(terms), {}
         for b in batches:
-            yield pd.DataFrame({"x": [numbers(*hits(bytes(d).decode(), lexicon, known)) for d in b["payload"]], "label": b["label"].to_numpy()})
+            yield pd.DataFrame({"x": [numbers(*hits(bytes(d).decode(errors="replace"), lexicon, known)) for d in b["payload"]], "label": b["label"].to_numpy()})
 
     got = sample.mapInPandas(run, "x array<double>, label int").toPandas()
     common.discard(docs.sparkSession, path)

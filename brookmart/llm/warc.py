@@ -128,7 +128,7 @@ def write_bundles(pages: DataFrame, key: str = "page_id", payload: str = "html",
     common.small_batches(pages.sparkSession)
     again, repeated = revisits(pages, key, payload, least)
     text = lambda c: F.col(c).cast("string")
-    rows = pages.select(text(key).alias("id"), F.col(url).alias("url"), common.utf8(payload).alias("payload"), F.coalesce(text(date) if date else F.lit(DATE), F.lit(DATE)).alias("date"))
+    rows = pages.select(text(key).alias("id"), text(url).cast("binary").alias("url"), common.utf8(payload).alias("payload"), F.coalesce(text(date) if date else F.lit(DATE), F.lit(DATE)).cast("binary").alias("date"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("turn", F.lit(1))
     if not repeated.isEmpty():  # of rows that repeat, all but one revisit it
         rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("id", "digest").orderBy("url")))
@@ -141,6 +141,7 @@ def write_bundles(pages: DataFrame, key: str = "page_id", payload: str = "html",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames, frame, size, full = [], [], 0, 0
         first = None
+        plain = lambda raw: None if raw is None else bytes(raw).decode(errors="replace")  # noqa: E731  headers are text
 
         def close() -> pd.DataFrame:
             done = [*frames, frame] if frame else frames
@@ -151,7 +152,7 @@ def write_bundles(pages: DataFrame, key: str = "page_id", payload: str = "html",
                 i = None if i is None or pd.isna(i) else int(i)
                 to = None if to is None or pd.isna(to) else int(to)
                 first = f"bundle-{i}" if first is None else first
-                data = record(i, u, bytes(p), d, to, bool(revisit), day)
+                data = record(i, plain(u), bytes(p), d, to, bool(revisit), plain(day))
                 frame.append((i, data))
                 size, full = size + len(data), full + len(data)
                 if size >= frame_bytes:
