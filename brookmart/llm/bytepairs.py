@@ -11,6 +11,7 @@ import codecs
 import heapq
 import json
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ from . import common
 
 #: Fixed value: the splitting pattern of byte-level vocabularies. White space is the Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Bytes that a full window emits at least; words of up to KEPT bytes are remembered, at most MEMORY of them at a time.
-STEP, KEPT, MEMORY = 4096, 64, 200_000
+#: Bytes that a full window emits at least; words of up to KEPT letters are remembered, at most twice MEMORY of them at a time.
+STEP, KEPT, MEMORY = 4096, 64, 150_000
+#: Words of up to so many bytes need no heap; the rank of what is no merge.
+SHORT, NONE = 24, (2**31, -1)
 
 
 def byte_letters() -> list[str]:
@@ -33,6 +36,23 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
+class _Known(dict):
+    """Ids of words that came before; what is missing is made. When full, the words become the old ones, of which those that
+    come again are kept."""
+
+    def __init__(self, make: Callable[[str], list[int]]):
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> list[int]:
+        found = self.old.get(word) or self.make(word)
+        if len(word) <= KEPT:
+            if len(self) >= MEMORY:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Encoder:
     """Compiled merge list. `pairs` maps a pair of ids to (rank, id of the merged token)."""
 
@@ -66,7 +86,7 @@ class Encoder:
             self.bytes.setdefault(t["id"], bytes(byte_of[c] for c in t["content"]) if all(c in byte_of for c in t["content"]) else t["content"].encode())
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.known: dict[str, list[int]] = {}
+        self.known = _Known(self.word)
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -97,8 +117,8 @@ class Encoder:
         """Tokens of a bounded piece: the pair of the least rank first, the leftmost of equals."""
         pairs, tokens = self.pairs, [self.single[b] for b in piece]
         n = len(tokens)
-        if n < 2:
-            return tokens
+        if n <= SHORT:
+            return self._few(tokens)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(found[0], k, found[1]) for k in range(n - 1) if (found := pairs.get((tokens[k], tokens[k + 1])))]
         heapq.heapify(heap)
@@ -118,6 +138,20 @@ class Encoder:
                 heapq.heappush(heap, (found[0], left, found[1]))
         return [t for t in tokens if t >= 0]
 
+    def _few(self, tokens: list[int]) -> list[int]:
+        """The same for a few tokens: ranks of neighbours in a list."""
+        pairs = self.pairs.get
+        found = list(map(pairs, zip(tokens, tokens[1:]), repeat(NONE)))  # noqa: B905
+        while found and (least := min(found)) is not NONE:
+            k = found.index(least)
+            tokens[k : k + 2] = [least[1]]
+            del found[k]
+            if k:
+                found[k - 1] = pairs((tokens[k - 1], tokens[k]), NONE)
+            if k < len(found):
+                found[k] = pairs((tokens[k], tokens[k + 1]), NONE)
+        return tokens
+
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Tokens of one word that comes in pieces. What a window of lookahead + STEP bytes has fixed is emitted; the window
         goes on at the end of the last token emitted, and no token crosses that place, so it starts anew there."""
@@ -141,49 +175,32 @@ class Encoder:
 
     def word(self, word: str) -> list[int]:
         raw = word.encode()
-        if len(raw) > KEPT:
-            return list(self.stream(raw[k : k + STEP] for k in range(0, len(raw), STEP)))
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        found = self.known[word] = self.merged(raw)
-        return found
+        return self.merged(raw) if len(raw) <= STEP else list(self.stream(raw[k : k + STEP] for k in range(0, len(raw), STEP)))
 
     def encode(self, text: str, out: list[int]) -> None:
         """Appends the ids of a text; added tokens are found first, the longest at a place."""
         at = 0
-        for m in self.cut.finditer(text) if self.cut else ():
+        for m in self.cut.finditer(text) if any(t in text for t in self.added) else ():
             self._plain(text[at : m.start()], out)
             out.append(self.added[m[0]])
             at = m.end()
         self._plain(text[at:] if at else text, out)
 
     def _plain(self, text: str, out: list[int]) -> None:
-        known = self.known
-        for w in self.words.findall(text):
-            out += known.get(w) or self.word(w)
+        out.extend(chain.from_iterable(map(self.known.__getitem__, self.words.findall(text))))
 
 
 class Decoder:
-    """Text of token ids, fed one by one: whole characters go out, the bytes of an unfinished one wait. Bytes that are no
+    """Text of token ids, fed piece by piece: whole characters go out, the bytes of an unfinished one wait. Bytes that are no
     UTF-8 become U+FFFD, one for each maximal part; ids that the vocabulary lacks are skipped."""
 
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
-        self.whole: dict[int, str] = {}  # tokens that are characters by themselves
-        for n, raw in tokens.items():
-            try:
-                self.whole[n] = raw.decode()
-            except UnicodeDecodeError:
-                pass
 
     def feed(self, ids: Iterable[int]) -> Iterator[str]:
-        machine, waiting = codecs.getincrementaldecoder("utf-8")("replace"), False
-        for n in ids:
-            if not waiting and n in self.whole:
-                yield self.whole[n]
-            elif n in self.tokens:
-                yield machine.decode(self.tokens[n])
-                waiting = bool(machine.getstate()[0])
+        machine, known, none, ids = codecs.getincrementaldecoder("utf-8")("replace"), self.tokens.get, repeat(b""), iter(ids)
+        while part := list(islice(ids, STEP)):
+            yield machine.decode(b"".join(map(known, part, none)))
         yield machine.decode(b"", True)
 
 
@@ -249,8 +266,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
     sent = vocabulary(df.sparkSession, path)
 
     def run(lists: pa.Array) -> pa.Array:
-        decoder = _decoder(sent)
-        return pa.array(["".join(decoder.feed(row.as_py() or ())) for row in lists], pa.string())
+        decoder, values, ends = _decoder(sent), lists.values.to_pylist(), lists.offsets.to_pylist()
+        return pa.array(["".join(decoder.feed(values[a:b])) for a, b in zip(ends, ends[1:])], pa.string())  # noqa: B905
 
     return _extended(df, ids, out, "string", run)
 
