@@ -55,15 +55,19 @@ def write_stats(df: DataFrame, path: str, batch_id: int = 0, columns: list[str]
 
 
 def upsert_dim(snapshot: DataFrame | None, changes: DataFrame, pk: str = "id", seq: Column | str = "seq", columns: list[str] | None = None, null_overwrites: bool = False) -> DataFrame:
-    """New snapshot of a dimension: per key the latest value of each column; columns that a change lacks keep theirs."""
+    """New snapshot of a dimension: per key the latest value of each column; columns that a change lacks keep theirs, and
+    columns that only the changes have are added."""
     fresh = latest_by_key(changes, pk, seq, columns, null_overwrites)
     if snapshot is None:
         return fresh
-    keep = [c for c in fresh.columns if c != pk]
+    keep = [c for c in snapshot.columns if c != pk]
     old = snapshot.select(F.col(pk).alias("_pk"), *(F.col(c).alias(f"_{c}") for c in keep))
     both = old.join(fresh, F.col("_pk") == F.col(pk), "full")
-    if null_overwrites:
-        value = lambda c: F.when(F.col(pk).isNotNull(), F.col(c)).otherwise(F.col(f"_{c}"))
-    else:
-        value = lambda c: F.coalesce(F.col(c), F.col(f"_{c}"))
-    return both.select(F.coalesce(pk, "_pk").alias(pk), *(value(c).alias(c) for c in keep))
+
+    def value(c: str) -> Column:
+        if c not in keep or c not in fresh.columns:
+            return F.col(c) if c in fresh.columns else F.col(f"_{c}")
+        return F.when(F.col(pk).isNotNull(), F.col(c)).otherwise(F.col(f"_{c}")) if null_overwrites else F.coalesce(F.col(c), F.col(f"_{c}"))
+
+    names = keep + [c for c in fresh.columns if c != pk and c not in keep]
+    return both.select(F.coalesce(pk, "_pk").alias(pk), *(value(c).alias(c) for c in names))

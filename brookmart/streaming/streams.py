@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import tokenize
 from ..operators import changes, logs, stats, wide
 from ..sources import sinks
+from ..sources.versions import DimStore
 from . import state
 
 
@@ -69,17 +70,18 @@ def route_stream(envelopes: DataFrame, load_rules: Callable[[], DataFrame], path
     return each_batch(envelopes, checkpoint, write, available)
 
 
-def dim_stream(rows: DataFrame, path: str, checkpoint: str, pk: str = "id", seq: str = "seq", null_overwrites: bool = False, available: bool = False) -> StreamingQuery:
-    """Upserts a dimension from a stream of its changed rows. Each batch writes the next snapshot from the one before, so a
-    batch that is done again gives the same one; snapshot=N is the state after batch N."""
+def dim_stream(rows: DataFrame, path: str, checkpoint: str, pk: str = "id", seq: str = "seq", null_overwrites: bool = False, buckets: int = 64, keep: int | None = 3,
+               available: bool = False) -> StreamingQuery:
+    """Upserts a dimension store from a stream of its changed rows; version N is the state after batch N. A batch rewrites the
+    buckets of its keys only, and done again it changes nothing; `keep` versions stay for readers."""
 
     def write(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{path}/snapshot={n - 1}") if n else None
-        sinks.upsert_dim(old, batch, pk, seq, null_overwrites=null_overwrites).write.mode("overwrite").parquet(f"{path}/snapshot={n}")
+        DimStore(batch.sparkSession, path, pk, buckets).upsert(batch, n, seq, null_overwrites=null_overwrites, keep=keep)
 
     return each_batch(rows, checkpoint, write, available)
 
 
 def stats_stream(df: DataFrame, dims: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, available: bool = False) -> StreamingQuery:
-    """Writes aggregates with dimension columns; `dims` reads the dimensions anew for each batch, so changes are seen."""
+    """Writes aggregates with dimension columns. `dims` is called for each batch: with DimStore.dim() in it, a batch sees the
+    newest version that was published when it began, whole, and never one that is being written."""
     return each_batch(df, checkpoint, lambda batch, n: sinks.write_stats(dims(batch), path, n), available)

@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from brookmart.operators import logs, stats, visits, wide
+from brookmart.sources.versions import DimStore
 from brookmart.streaming import state, streams
 
 SCHEMA = "mid string, ts long, seq long, last_page_id string, is_new string, vc string, ch string, ar string, item string, item_type string"
@@ -134,6 +135,6 @@ def test_dim_stream_restarts_on_its_snapshot(spark, tmp_path):
     (path / "2.json").write_text(json.dumps({"seq": 4, "id": "c", "x": "3"}) + "\n" + json.dumps({"seq": 5, "id": "b", "y": "4"}))
     go()
     go()
-    state_at = lambda n: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/dim/snapshot={n}").select("id", "x", "y").collect()))
+    state_at = lambda n: sorted(map(tuple, DimStore(spark, f"{tmp_path}/dim").dim(n).select("id", "x", "y").collect()))
     assert state_at(1) == [("a", "9", "1"), ("b", "2", None)]
     assert state_at(2) == [("a", "9", "1"), ("b", "2", "4"), ("c", "3", None)]
