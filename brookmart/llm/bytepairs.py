@@ -24,9 +24,9 @@ from . import common
 #: Fixed value: the splitting pattern of byte-level vocabularies. White space is the Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Bytes that a full window emits at least; words of up to KEPT letters are remembered, at most twice MEMORY of them at a time.
-STEP, KEPT, MEMORY = 4096, 64, 150_000
+STEP, KEPT, MEMORY = 4096, 64, 400_000
 #: Words of up to so many bytes need no heap; the rank of what is no merge.
-SHORT, NONE = 24, (2**31, -1)
+SHORT, NONE = 24, 2**31
 
 
 def byte_letters() -> list[str]:
@@ -78,6 +78,8 @@ class Encoder:
                 raise ValueError(f"merge {rank} comes before one that makes its parts")
             self.pairs.setdefault((left, right), (rank, self.ids[a + b]))
             made.add(self.ids[a + b])
+        self.ranks = {pair: rank for pair, (rank, _) in self.pairs.items()}
+        self.made = dict(self.pairs.values())
         self.added: dict[str, int] = {}
         for t in spec.get("added_tokens") or []:
             if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
@@ -140,16 +142,16 @@ class Encoder:
 
     def _few(self, tokens: list[int]) -> list[int]:
         """The same for a few tokens: ranks of neighbours in a list."""
-        pairs = self.pairs.get
-        found = list(map(pairs, zip(tokens, tokens[1:]), repeat(NONE)))  # noqa: B905
-        while found and (least := min(found)) is not NONE:
+        ranks = self.ranks.get
+        found = list(map(ranks, zip(tokens, tokens[1:]), repeat(NONE)))  # noqa: B905
+        while found and (least := min(found)) < NONE:
             k = found.index(least)
-            tokens[k : k + 2] = [least[1]]
-            del found[k]
+            made = tokens[k] = self.made[least]
+            del found[k], tokens[k + 1]
             if k:
-                found[k - 1] = pairs((tokens[k - 1], tokens[k]), NONE)
+                found[k - 1] = ranks((tokens[k - 1], made), NONE)
             if k < len(found):
-                found[k] = pairs((tokens[k], tokens[k + 1]), NONE)
+                found[k] = ranks((made, tokens[k + 1]), NONE)
         return tokens
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
