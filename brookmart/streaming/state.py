@@ -37,22 +37,22 @@ def repair_is_new(df: DataFrame, mid: str = "mid") -> DataFrame:
     return df.groupBy(mid).transformWithStateInPandas(FirstNew(), df.schema, "Append", "None")
 
 
-class Jumps(StatefulProcessor):
-    """Entries whose strict next row (in event time) is an entry, comes `within` later, or does not come.
-
-    Rows wait until the watermark passes them and are then taken in order of (ts, seq), all at once; one entry may be
-    pending, and goes out when the watermark is `within` behind it and nothing came. A device has one timer, at the least
-    time at which something can happen. Rows behind the watermark are dropped."""
-
-    def __init__(self, within_ms: int):
-        self.within = within_ms
+class InOrder(StatefulProcessor):
+    """Takes the rows of a device in event time: rows wait until the watermark passes them, then take() sees them one by one in
+    order of (ts, seq). Rows behind the watermark are dropped. A device has one timer, at the least time at which something
+    can happen."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "ts bigint, seq bigint", "entry boolean, payload string")
-        self.pending = handle.getValueState("pending", "ts bigint, seq bigint, payload string")
         self.next = handle.getValueState("next", "at bigint")
 
+    def take(self, row: tuple[int, int, str], entry: bool, out: list) -> None:
+        raise NotImplementedError
+
+    def settle(self, now: int, out: list) -> int | None:
+        """After the rows that are due: what the time alone decides, and when to look again."""
+
     def _timer(self, at: int) -> None:
         """The timer goes to `at` unless it is set for an earlier time."""
         if self.next.exists():
@@ -86,20 +86,10 @@ class Jumps(StatefulProcessor):
         for k in sorted(due):
             entry, payload = self.waiting.getValue(k)
             self.waiting.removeKey(k)
-            if self.pending.exists():
-                p = self.pending.get()
-                if entry or k[0] - p[0] >= self.within:
-                    out.append(p)
-                self.pending.clear()
-            if entry:
-                self.pending.update((k[0], k[1], payload))
-        if self.pending.exists():
-            p = self.pending.get()
-            if now >= p[0] + self.within:
-                out.append(p)
-                self.pending.clear()
-            else:
-                self._timer(p[0] + self.within)
+            self.take((k[0], k[1], payload), entry, out)
+        again = self.settle(now, out)
+        if again is not None:
+            self._timer(again)
         if later is not None:
             self._timer(later + 1)
         yield self._frame(key, out)
@@ -112,10 +102,105 @@ class Jumps(StatefulProcessor):
         pass
 
 
-def user_jumps(pages: DataFrame, within_ms: int = 10_000, delay: str = "2 seconds", carry: tuple[str, ...] = ("vc", "ch", "ar", "is_new")) -> DataFrame:
-    """Streaming form; pages have mid, ts, seq, event_time, last_page_id and the carried columns."""
+class Jumps(InOrder):
+    """Entries whose strict next row is an entry, comes `within` later, or does not come. One entry may be pending; it goes out
+    when the watermark is `within` behind it and nothing came."""
+
+    def __init__(self, within_ms: int):
+        self.within = within_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.pending = handle.getValueState("pending", "ts bigint, seq bigint, payload string")
+
+    def take(self, row: tuple[int, int, str], entry: bool, out: list) -> None:
+        if self.pending.exists():
+            p = self.pending.get()
+            if entry or row[0] - p[0] >= self.within:
+                out.append(p)
+            self.pending.clear()
+        if entry:
+            self.pending.update(row)
+
+    def settle(self, now: int, out: list) -> int | None:
+        if not self.pending.exists():
+            return None
+        p = self.pending.get()
+        if now < p[0] + self.within:
+            return p[0] + self.within
+        out.append(p)
+        self.pending.clear()
+        return None
+
+
+class Visits(InOrder):
+    """The first entry of each day. As rows come in event time, the last day seen is all that is remembered."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.day = handle.getValueState("day", "day bigint")
+
+    def take(self, row: tuple[int, int, str], entry: bool, out: list) -> None:
+        day = row[0] // 86_400_000
+        if entry and not (self.day.exists() and self.day.get()[0] == day):
+            self.day.update((day,))
+            out.append(row)
+
+
+def _in_order(pages: DataFrame, processor: InOrder, delay: str, carry: tuple[str, ...]) -> DataFrame:
     rows = pages.withWatermark("event_time", delay).select(
         "mid", "event_time", "ts", "seq", F.col("last_page_id").isNull().alias("entry"), F.to_json(F.struct(*carry)).alias("payload"))
-    found = rows.groupBy("mid").transformWithStateInPandas(Jumps(within_ms), "mid string, ts bigint, seq bigint, payload string", "Append", "EventTime")
+    found = rows.groupBy("mid").transformWithStateInPandas(processor, "mid string, ts bigint, seq bigint, payload string", "Append", "EventTime")
     back = F.from_json("payload", ", ".join(f"{c} string" for c in carry))
     return found.select("mid", "ts", "seq", F.timestamp_millis("ts").alias("event_time"), back.alias("p")).select("mid", "ts", "seq", "event_time", "p.*")
+
+
+CARRIED = ("vc", "ch", "ar", "is_new")
+
+
+def user_jumps(pages: DataFrame, within_ms: int = 10_000, delay: str = "2 seconds", carry: tuple[str, ...] = CARRIED) -> DataFrame:
+    """Streaming form; pages have mid, ts, seq, event_time, last_page_id and the carried columns."""
+    return _in_order(pages, Jumps(within_ms), delay, carry)
+
+
+def first_visits(pages: DataFrame, delay: str = "2 seconds", carry: tuple[str, ...] = CARRIED) -> DataFrame:
+    """First entry of each device and UTC day in event time, whatever the order of arrival."""
+    return _in_order(pages, Visits(), delay, carry)
+
+
+class Changelog(StatefulProcessor):
+    """Settles the changes of a key by their sequence. A change behind the last one taken is stale and goes; any other takes
+    back the row that was sent before and sends the new one, unless it deletes. Deleted keys keep their sequence, so that a
+    stale change can't bring them back."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seq bigint, row string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = sorted((int(s), k, d, r) for b in rows for k, (s, d, r) in enumerate(zip(b["seq"], b["deleted"], b["row"], strict=True)))
+        seen, sent = self.last.get() if self.last.exists() else (None, None)
+        before, out = (seen, sent), []
+        for seq, _, deleted, row in batch:
+            if seen is not None and seq <= seen:
+                continue
+            now = None if deleted else row
+            if sent is not None:
+                out.append((key[0], seq, 0, False, sent))
+            if now is not None:
+                out.append((key[0], seq, 1, True, now))
+            seen, sent = seq, now
+        if (seen, sent) != before:
+            self.last.update((seen, sent))
+        yield pd.DataFrame(out, columns=["key", "seq", "step", "flag", "row"]).astype({"seq": "int64", "step": "int32", "flag": "bool"})
+
+    def close(self) -> None:
+        pass
+
+
+def retractions(log: DataFrame, pk: str = "id") -> DataFrame:
+    """(key, seq, step, flag, row) of a stream of change envelopes with `seq`: a retract stream in which every row that is
+    taken back was sent before with the same content, whatever the order of arrival."""
+    value = F.coalesce(F.col("after")[pk], F.col("before")[pk])
+    rows = log.select(value.alias("key"), "seq", F.col("type").eqNullSafe("delete").alias("deleted"), F.to_json("after").alias("row")).where(F.col("key").isNotNull() & F.col("seq").isNotNull())
+    found = rows.groupBy("key").transformWithStateInPandas(Changelog(), "key string, seq bigint, step int, flag boolean, row string", "Update", "None")
+    return found.withColumn("row", F.from_json("row", "map<string,string>"))

@@ -36,6 +36,31 @@ def user_jumps(pages: DataFrame, within_ms: int = 10_000, delay: str = "2 second
     return state.user_jumps(pages, within_ms, delay)
 
 
+def first_visits(pages: DataFrame, delay: str = "2 seconds") -> DataFrame:
+    """As unique_visits, but the first in event time, whatever comes first."""
+    return state.first_visits(pages, delay)
+
+
+def to_topic(df: DataFrame, path: str, checkpoint: str, available: bool = False) -> StreamingQuery:
+    """Rows of a stream as Parquet files, each exactly once; streams that read the folder see finished batches only."""
+    writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if available else writer).start()
+
+
+def visitor_stats(pages: DataFrame, visits: DataFrame, jumps: DataFrame, window: str = "10 seconds", delay: str = "13 seconds") -> DataFrame:
+    """Windows over pages, unique visits and bounces. The three come from topics: a bounce is known only `within` after its
+    page, when the page's window is closed for a query that has but one watermark."""
+    return stats.visitor_stats(pages, visits, jumps, window, delay)
+
+
+def product_stats(parts: dict[str, tuple[DataFrame, str]], window: str = "10 seconds") -> DataFrame:
+    """Sums over the product rows of several inputs, each with its own delay: (rows, delay) by name. The least watermark closes
+    windows. Orders are counted exactly across batches: the first level holds a row for each order until its window is
+    closed, the second sums what the first has closed. Dimensions are joined per batch (stats_stream)."""
+    marked = [rows.withWatermark("event_time", delay) for rows, delay in parts.values()]
+    return stats.sum_products(stats.union_products(marked), window, None)
+
+
 def payment_times(payments: DataFrame, record_time: str | None = None, delay: str = "0 seconds") -> DataFrame:
     """Event time of payments, by default with rows in ascending order; unparsable times fall back to the record's."""
     parsed = F.try_to_timestamp(F.col("create_time").cast("string"), F.lit("yyyy-MM-dd HH:mm:ss"))
@@ -47,6 +72,31 @@ def order_wide(info: DataFrame, detail: DataFrame, delay: str = "2 seconds", **i
     return wide.order_wide(info, detail, delay=delay, **interval)
 
 
+def payment_wide(info: DataFrame, detail: DataFrame, payments: DataFrame, delay: str = "2 seconds", payment_delay: str = "0 seconds", record_time: str | None = None,
+                 order_interval: tuple[str, str] = ("-2 seconds", "2 seconds"), payment_interval: tuple[str, str] = ("-5 seconds", "15 minutes")) -> DataFrame:
+    """Payments joined to a stream that is a join itself: its rows carry the order's event time, so the watermark comes through
+    and both joins forget what can't match any more. Payment times that can't be read fall back to `record_time`."""
+    orders = order_wide(info, detail, delay, lower=order_interval[0], upper=order_interval[1])
+    return wide.payment_wide(orders, payment_times(payments, record_time, payment_delay), *payment_interval)
+
+
+def retract_stream(log: DataFrame, pk: str = "id") -> DataFrame:
+    return state.retractions(log, pk)
+
+
+def table_stream(log: DataFrame, path: str, checkpoint: str, pk: str = "id", buckets: int = 64, available: bool = False) -> StreamingQuery:
+    """Keeps the current table of a change log as a versioned store: of each batch's retract stream the last row of a key
+    counts; keys that were taken back and not sent again are gone from dim()."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        last = batch.groupBy("key").agg(F.max_by(F.struct("flag", "row"), F.struct("seq", "step")).alias("r"), F.max("seq").alias("seq"))
+        rows = last.select("seq", F.col("key").alias(pk), F.when(F.col("r.flag"), F.to_json("r.row")).alias("row"))
+        DimStore(batch.sparkSession, path, pk, buckets).upsert(rows, n, null_overwrites=True)
+
+    writer = state.retractions(log, pk).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
+    return (writer.trigger(availableNow=True) if available else writer).start()
+
+
 def province_stats(orders: DataFrame, window: str = "10 seconds", delay: str = "2 seconds") -> DataFrame:
     return stats.province_stats(orders, window, delay)
 

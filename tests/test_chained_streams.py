@@ -1,0 +1,189 @@
+"""Statistics and joins over several streams: equal to batch on closed windows, over restarts and rows out of order."""
+
+from __future__ import annotations
+
+import json
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from brookmart.operators import changes, stats, visits, wide
+from brookmart.sources.versions import DimStore
+from brookmart.streaming import streams
+
+PAGE = "mid string, ts long, seq long, last_page_id string, is_new string, vc string, ch string, ar string, during_time long"
+
+
+def put(path, n, rows):
+    path.mkdir(exist_ok=True, parents=True)
+    (path / f"{n}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    os.utime(path / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+
+
+def read(spark, path, schema, stream=True, time="event_time"):
+    reader = spark.readStream.option("maxFilesPerTrigger", 1) if stream else spark.read
+    return reader.schema(schema).json(str(path)).withColumn(time, F.timestamp_millis("ts"))
+
+
+def done(q):
+    q.awaitTermination(180)
+    assert q.exception() is None
+    return q
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_visitor_stats_from_three_inputs(spark, tmp_path):
+    """Pages out of order by up to 2 s, visits and bounces from them, sums over all three; stopped after every batch."""
+    rng, pages = random.Random(4), []
+    for k in range(300):
+        ts = 1000 + k * 700 + rng.choice([0, 0, 3000])
+        pages.append({"mid": f"m{rng.randint(0, k // 6 + 3)}", "ts": ts, "seq": k, "last_page_id": rng.choice([None, None, "home"]), "is_new": "1", "vc": "v", "ch": rng.choice("ab"), "ar": "r", "during_time": 10})
+    pages = [p | {"ch": "ab"[int(p["mid"][1]) % 2]} for p in pages]
+    order = sorted(pages, key=lambda p: p["ts"] + rng.randint(0, 1900))
+    for n in range(5):
+        put(tmp_path / "pages", n, order[n * 60 : n * 60 + 60])
+        topic = lambda name: str(tmp_path / name)
+        done(streams.to_topic(streams.first_visits(read(spark, tmp_path / "pages", PAGE)), topic("uv"), topic("c-uv"), True))
+        done(streams.to_topic(streams.user_jumps(read(spark, tmp_path / "pages", PAGE)), topic("uj"), topic("c-uj"), True))
+        if n < 1:
+            continue
+        carried = [spark.readStream.schema("mid string, ts long, seq long, event_time timestamp, vc string, ch string, ar string, is_new string").parquet(topic(t)) for t in ("uv", "uj")]
+        sums = streams.visitor_stats(read(spark, tmp_path / "pages", PAGE), *carried)
+        done(streams.stats_stream(sums, lambda b: b, topic("stats"), topic("c-stats"), True))
+    got = spark.read.parquet(topic("stats")).drop("dt", "batch_id")
+    every = read(spark, tmp_path / "pages", PAGE, False)
+    want = stats.visitor_stats(every, visits.unique_visits(every).drop("visit_date"), visits.user_jumps(every), delay=None)
+    least = min(max(r.ts for r in spark.read.parquet(topic(t)).collect()) for t in ("uv", "uj"))  # the input that is behind closes windows
+    last = max(r.edt for r in got.collect())
+    assert least > 150_000 and last >= "1970-01-01 00:02:00"
+    assert rows_of(got) == rows_of(want.where(F.col("edt") <= last).select(got.columns))
+    assert sum(r.uj_ct for r in got.collect()) > 5 and sum(r.uv_ct for r in got.collect()) > 20
+
+
+PARTS = ("click", "display", "favor", "cart", "order", "pay", "refund", "comment")
+
+
+def product_parts(spark, root, stream):
+    schema = "sku_id long, order_id long, n long, amount string, item string, appraise string, ts long"
+    get = lambda name, time="create_ts": read(spark, root / name, schema, stream, time)
+    pages = get("click", "event_time").select("event_time", F.lit("good_detail").alias("page_id"), F.lit("sku_id").alias("item_type"), "item")
+    shown = get("display", "event_time").select("event_time", F.array(F.struct("item", F.lit("sku_id").alias("item_type"))).alias("displays"))
+    lines = lambda df: df.select("sku_id", "order_id", F.col("n").alias("sku_num"), F.col("amount").alias("split_total_amount"), *[c for c in df.columns if c.endswith("_ts") or c.endswith("_time")])
+    return {
+        "click": stats.product_rows_click(pages), "display": stats.product_rows_display(shown), "favor": stats.product_rows_favor(get("favor")), "cart": stats.product_rows_cart(get("cart")),
+        "order": stats.product_rows_order(lines(get("order"))), "pay": stats.product_rows_pay(lines(get("pay", "payment_create_time"))),
+        "refund": stats.product_rows_refund(get("refund").withColumn("refund_amount", F.col("amount"))), "comment": stats.product_rows_comment(get("comment"))}
+
+
+def test_product_stats_from_all_inputs(spark, tmp_path):
+    """Orders whose lines come in different batches count once; dimension versions are looked up per batch."""
+    rng = random.Random(8)
+    for n in range(3):
+        for name in PARTS:
+            rows = []
+            for k in range(30):
+                ts = n * 40_000 + k * 1300 + rng.randint(-1500, 0)
+                rows.append({"sku_id": 1 + k % 3, "order_id": (n * 40_000 + k * 1300) // 5000, "n": 1, "amount": "1.25", "item": str(1 + k % 3), "appraise": rng.choice(["1201", "1202"]), "ts": max(0, ts)})
+            put(tmp_path / name, n, rows[::2])
+            put(tmp_path / name, n + 0.5, rows[1::2])  # the other lines of the same orders, a batch later
+    store = DimStore(spark, str(tmp_path / "dim"), buckets=2)
+    dim = "seq long, id long, sku_name string, price string, category3_id long, spu_id long, tm_id long"
+    store.upsert(spark.createDataFrame([(1, k, f"sku{k}", "9.00", k, k, k) for k in (1, 2, 3)], dim), 0)
+    lookup = lambda b: wide.join_sku(b, store.dim(), price=True)
+
+    def go():
+        parts = product_parts(spark, tmp_path, True)
+        sums = streams.product_stats({k: (df, "30 seconds" if k in ("order", "pay") else "25 seconds") for k, df in parts.items()})
+        return done(streams.stats_stream(sums, lookup, str(tmp_path / "out"), str(tmp_path / "c"), True))
+
+    go()
+    for name in PARTS:
+        put(tmp_path / name, 9, [{"sku_id": 1, "order_id": 99, "n": 1, "amount": "1.00", "item": "1", "appraise": "1201", "ts": 300_000}])
+    go()
+    got = spark.read.parquet(str(tmp_path / "out")).drop("dt", "batch_id")
+    want = wide.join_sku(stats.sum_products(stats.union_products(list(product_parts(spark, tmp_path, False).values())), delay=None), store.dim(), price=True)
+    assert rows_of(got) == rows_of(want.where("stt < '1970-01-01 00:04:00'").select(got.columns))
+    assert {r.sku_name for r in got.collect()} == {"sku1", "sku2", "sku3"} and max(r.order_ct for r in got.collect()) > 1
+
+
+INFO = "id long, user_id long, province_id string, total_amount string, ts long"
+DETAIL = "id long, order_id long, sku_id long, split_total_amount string, ts long"
+PAY = "id long, order_id long, user_id long, total_amount string, create_time string, ts long"
+
+
+def stamp(ms):
+    from datetime import UTC, datetime
+
+    return datetime.fromtimestamp(ms / 1000, UTC).strftime("%Y-%m-%d %H:%M:%S")
+
+
+def test_payments_joined_to_a_join(spark, tmp_path):
+    """Bounds of both intervals, fallback times, and state that shrinks as the watermark comes through the first join."""
+    base = 1_700_000_000_000
+    at = {1: 0, 2: 10_000, 3: 20_000, 4: 30_000, 5: 40_000}
+    put(tmp_path / "info", 0, [{"id": k, "user_id": k, "province_id": "p", "total_amount": "5.00", "ts": base + t} for k, t in at.items()])
+    put(tmp_path / "detail", 0, [{"id": 10 * k, "order_id": k, "sku_id": k, "split_total_amount": "5.00", "ts": base + t + 2000} for k, t in at.items()] + [{"id": 99, "order_id": 1, "sku_id": 1, "split_total_amount": "1.00", "ts": base + 2001}])
+    pay = lambda k, off, readable: {"id": 100 + k, "order_id": k, "user_id": 7, "total_amount": "6.00", "create_time": stamp(base + at[k] + off) if readable else "no time", "ts": base + at[k] + off}
+    put(tmp_path / "pay", 0, [pay(1, -5000, True), pay(2, 900_000, True), pay(3, -5001, False), pay(4, 900_001, False), pay(5, 60_000, False)])
+
+    def source(name, schema, time):
+        return read(spark, tmp_path / name, schema, True, time)
+
+    def go():
+        got = streams.payment_wide(
+            source("info", INFO, "create_ts").drop("ts"), source("detail", DETAIL, "create_ts").drop("ts"), source("pay", PAY, "at").drop("ts"), record_time="at")
+        return done(streams.to_topic(got.select("payment_id", "detail_id", "order_id", "user_id", "total_amount", "payment_create_time"), str(tmp_path / "out"), str(tmp_path / "c"), True))
+
+    kept = lambda q: [[o["numRowsTotal"] for o in p["stateOperators"]] for p in q.recentProgress]
+    first = kept(go())
+    assert rows_of(spark.read.parquet(str(tmp_path / "out")).select("payment_id", "detail_id", "user_id", "total_amount")) == [(101, 10, 7, "6.00"), (102, 20, 7, "6.00"), (105, 50, 7, "6.00")]
+    late = base + 4_000_000
+    for name, row in (("info", {"id": 8, "user_id": 8, "province_id": "p", "total_amount": "1.00", "ts": late}), ("detail", {"id": 80, "order_id": 8, "sku_id": 8, "split_total_amount": "1.00", "ts": late}),
+                      ("pay", {"id": 108, "order_id": 8, "user_id": 7, "total_amount": "1.00", "create_time": "no time", "ts": late})):
+        put(tmp_path / name, 1, [row])
+    second = kept(go())
+    most, last = [max(x) for x in zip(*first, strict=True)], second[-1]
+    assert sum(most) >= 14 and len(last) == 2 and all(b < a for a, b in zip(most, last, strict=True)), (first, second)
+    assert (108, 80) in rows_of(spark.read.parquet(str(tmp_path / "out")).select("payment_id", "detail_id"))
+    go()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+CHANGE = "seq long, before map<string,string>, after map<string,string>, type string"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_changes_out_of_order(spark, tmp_path, seed):
+    """Any order of arrival gives the table of replay(); each retraction takes back what was sent before."""
+    rng = random.Random(seed)
+    log, image = [], lambda k, v: {"id": f"k{k}", "x": v}
+    for s in range(120):
+        k, kind = rng.randint(0, 9), rng.choice(["insert", "update", "update", "delete"])
+        log.append({"seq": s, "before": image(k, "?") if kind != "insert" else None, "after": None if kind == "delete" else image(k, f"v{s}"), "type": kind})
+    arrival = sorted(log, key=lambda e: e["seq"] + rng.randint(0, 40))
+
+    def source():
+        return spark.readStream.option("maxFilesPerTrigger", 1).schema(CHANGE).json(str(tmp_path / "in"))
+
+    for n in range(4):
+        put(tmp_path / "in", n, arrival[n * 30 : n * 30 + 30])
+        done(streams.table_stream(source(), str(tmp_path / "table"), str(tmp_path / "c"), buckets=4, available=True))
+        sent = source().transform(streams.retract_stream)
+        q = sent.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={i}"))).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+        done(q)
+    want = sorted((r.id, r.row["x"]) for r in changes.replay(spark.createDataFrame([(e["seq"], e["before"], e["after"], e["type"]) for e in log], CHANGE)).collect())
+    table = DimStore(spark, str(tmp_path / "table"), buckets=4).dim().where("row is not null")
+    assert sorted((r.id, json.loads(r.row)["x"]) for r in table.collect()) == want
+    held = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch", "key", "seq", "step").collect():
+        if r.flag:
+            assert r.key not in held
+            held[r.key] = r.row["x"]
+        else:
+            assert held.pop(r.key) == r.row["x"]
+    assert sorted(held.items()) == want
