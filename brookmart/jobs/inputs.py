@@ -9,8 +9,16 @@ from ..operators import changes, logs, visits, wide
 from ..schemas import MONEY
 
 
+class Streamed(str):
+    """A folder whose tables are read as streams; the mappings below are the same."""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if isinstance(sf_dir, Streamed):
+        # a table may be one file; a stream takes it by a pattern only, since it expects a path to be a folder
+        return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.read.parquet(path)
 
 
 def text(*parts: Column | str) -> Column:
@@ -114,10 +122,10 @@ def order_detail_flag(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"), F.col("l_extendedprice").cast(MONEY).alias("split_total_amount"), F.col("l_shipdate").cast("timestamp").alias("create_ts"))
 
 
-def actions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def actions(spark: SparkSession, sf_dir: str, kind: str, *more: str) -> DataFrame:
     """Favours (purchase), cart entries (click) and comments (view)."""
     e = events(spark, sf_dir).where(F.col("event_type") == kind)
-    return e.select(F.col("k").cast("bigint").alias("sku_id"), F.col("time").alias("create_ts"), F.when(F.col("k") % 4 == 0, "1201").otherwise("1202").alias("appraise"))
+    return e.select(F.col("k").cast("bigint").alias("sku_id"), F.col("time").alias("create_ts"), F.when(F.col("k") % 4 == 0, "1201").otherwise("1202").alias("appraise"), *more)
 
 
 def dim_user(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -471,3 +471,6 @@ def rpt10_visitor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(KEYWORDS + f"SELECT keyword, CAST(sum(ct * 10) AS BIGINT) AS ct FROM ks {_OF_EVENT} GROUP BY keyword ORDER BY sum(ct) DESC, keyword LIMIT 20")
 def rpt11_keyword_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.keyword_ranking(_keyword_stats(spark, sf_dir), EVENT_DAY)
+
+
+from . import streamed  # noqa: E402, F401  registers its queries too

@@ -53,11 +53,12 @@ def visitor_stats(pages: DataFrame, visits: DataFrame, jumps: DataFrame, window:
     return stats.visitor_stats(pages, visits, jumps, window, delay)
 
 
-def product_stats(parts: dict[str, tuple[DataFrame, str]], window: str = "10 seconds") -> DataFrame:
-    """Sums over the product rows of several inputs, each with its own delay: (rows, delay) by name. The least watermark closes
+def product_stats(parts: dict[str, tuple[DataFrame, str | None]], window: str = "10 seconds") -> DataFrame:
+    """Sums over the product rows of several inputs, each with its own delay: (rows, delay) by name, None for rows of a join,
+    which have the watermark of what was joined. The least watermark closes
     windows. Orders are counted exactly across batches: the first level holds a row for each order until its window is
     closed, the second sums what the first has closed. Dimensions are joined per batch (stats_stream)."""
-    marked = [rows.withWatermark("event_time", delay) for rows, delay in parts.values()]
+    marked = [rows.withWatermark("event_time", delay) if delay else rows for rows, delay in parts.values()]
     return stats.sum_products(stats.union_products(marked), window, None)
 
 
