@@ -25,6 +25,8 @@ from . import common
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Bytes that a full window emits at least; words of up to KEPT letters are remembered, at most twice MEMORY of them at a time.
 STEP, KEPT, MEMORY = 4096, 64, 400_000
+#: Letters of the texts whose new words are merged together.
+TOGETHER = 2**20
 #: Words of up to so many bytes need no heap; the rank of what is no merge.
 SHORT, NONE = 24, 2**31
 
@@ -40,18 +42,21 @@ class _Known(dict):
     """Ids of words that came before; what is missing is made. When full, the words become the old ones, of which those that
     come again are kept."""
 
-    def __init__(self, make: Callable[[str], list[int]]):
+    def __init__(self, make: Callable[[str], Iterable[int]]):
         self.make, self.old = make, {}
 
-    def __missing__(self, word: str) -> list[int]:
-        found = self.old.get(word) or self.make(word)
+    def __missing__(self, word: str) -> Iterable[int]:
+        found = self.old.get(word) or tuple(self.make(word))  # tuples of numbers cost the garbage collector nothing
         if len(word) <= KEPT:
-            if len(self) >= MEMORY:
-                self.old = dict(self)
-                self.clear()
-            self[word] = found
+            self.add([word], [found])
         return found
 
+    def add(self, words: list[str], found: list[Iterable[int]]) -> None:
+        if len(self) >= MEMORY:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(words, found, strict=True))
+
 
 class Encoder:
     """Compiled merge list. `pairs` maps a pair of ids to (rank, id of the merged token)."""
@@ -80,6 +85,11 @@ class Encoder:
             made.add(self.ids[a + b])
         self.ranks = {pair: rank for pair, (rank, _) in self.pairs.items()}
         self.made = dict(self.pairs.values())
+        keys = np.array([a << 20 | b for a, b in self.ranks] or [-1], "int64")
+        order = np.argsort(keys)
+        self.keys, self.key_ranks = keys[order], np.array([*self.ranks.values()] or [NONE], "int64")[order]
+        self.made_by_rank = np.zeros(len(model["merges"]) + 1, "int64")
+        self.made_by_rank[list(self.made)] = list(self.made.values())
         self.added: dict[str, int] = {}
         for t in spec.get("added_tokens") or []:
             if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
@@ -154,6 +164,55 @@ class Encoder:
                 found[k] = ranks((made, tokens[k + 1]), NONE)
         return tokens
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens; NONE where they don't merge."""
+        pair = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.key_ranks[at], NONE)
+
+    def merged_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """merged() of many short pieces, a merge of every piece at a time."""
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
+        single = np.array(self.single, "int64")
+        for start in range(0, len(order), 4096):  # of similar length
+            rows = np.array(order[start : start + 4096])
+            width = max(len(pieces[k]) for k in rows)
+            if not width:
+                continue
+            raw = np.frombuffer(b"".join(pieces[k].ljust(width, b"\0") for k in rows), np.uint8).reshape(len(rows), width)
+            sizes = np.array([len(pieces[k]) for k in rows])
+            tokens = np.where(np.arange(width) < sizes[:, None], single[raw], -1)
+            ranks = np.full((len(rows), width), NONE)
+            ranks[:, :-1] = np.where(tokens[:, 1:] >= 0, self._rank(tokens[:, :-1], tokens[:, 1:]), NONE)
+            place = np.arange(width)
+            while len(rows):
+                k = ranks.argmin(axis=1)  # the leftmost of the least
+                line = np.arange(len(rows))
+                least = ranks[line, k]
+                done = least == NONE
+                if done.any():
+                    for row, found, n in zip(rows[done].tolist(), tokens[done].tolist(), sizes[done].tolist(), strict=True):
+                        out[row] = tuple(found[:n])
+                    go = ~done
+                    rows, tokens, ranks, sizes, k, least = rows[go], tokens[go], ranks[go], sizes[go], k[go], least[go]
+                    line = np.arange(len(rows))
+                    if not len(rows):
+                        break
+                later = np.minimum(place + (place > k[:, None]), width - 1)
+                tokens = np.take_along_axis(tokens, later, 1)
+                ranks = np.take_along_axis(ranks, np.minimum(place + (place >= k[:, None]), width - 1), 1)
+                sizes -= 1
+                tokens[line, k] = self.made_by_rank[least]
+                ranks[:, -1] = NONE
+                left = line[k > 0]
+                ranks[left, k[left] - 1] = self._rank(tokens[left, k[left] - 1], tokens[left, k[left]])
+                right = line[k + 1 < sizes]
+                ranks[right, k[right]] = self._rank(tokens[right, k[right]], tokens[right, k[right] + 1])
+                last = line[k + 1 >= sizes]
+                ranks[last, k[last]] = NONE
+        return out
+
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Tokens of one word that comes in pieces. What a window of lookahead + STEP bytes has fixed is emitted; the window
         goes on at the end of the last token emitted, and no token crosses that place, so it starts anew there."""
@@ -179,6 +238,13 @@ class Encoder:
         raw = word.encode()
         return self.merged(raw) if len(raw) <= STEP else list(self.stream(raw[k : k + STEP] for k in range(0, len(raw), STEP)))
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Makes the short ones of these words known together."""
+        new = [w for w in set(words) - self.known.keys() if w not in self.known.old and len(w) <= SHORT]
+        if len(new) >= 64:
+            raws = [w.encode() for w in new]
+            self.known.add(new, self.merged_many(raws))
+
     def encode(self, text: str, out: list[int]) -> None:
         """Appends the ids of a text; added tokens are found first, the longest at a place."""
         at = 0
@@ -188,6 +254,19 @@ class Encoder:
             at = m.end()
         self._plain(text[at:] if at else text, out)
 
+    def encode_all(self, texts: list[str], out: list[int]) -> list[int]:
+        """encode() of some texts; the length of `out` after each. Words that are new to them are merged together."""
+        plain = [None if any(a in t for a in self.added) else self.words.findall(t) for t in texts]
+        self.learn(chain.from_iterable(filter(None, plain)))
+        ends = []
+        for t, words in zip(texts, plain, strict=True):
+            if words is None:
+                self.encode(t, out)
+            else:
+                out.extend(chain.from_iterable(map(self.known.__getitem__, words)))
+            ends.append(len(out))
+        return ends
+
     def _plain(self, text: str, out: list[int]) -> None:
         out.extend(chain.from_iterable(map(self.known.__getitem__, self.words.findall(text))))
 
@@ -251,12 +330,13 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     sent = vocabulary(df.sparkSession, path)
 
     def run(texts: pa.Array) -> pa.Array:
-        encoder, ids, ends = _encoder(sent), [], [0]
-        for raw in texts.cast(pa.binary()):
-            payload = raw.as_py()
-            if payload:
-                encoder.encode(payload.decode("utf-8", "replace"), ids)
-            ends.append(len(ids))
+        encoder, ids, ends, batch = _encoder(sent), [], [0], []
+        for raw in [*texts.cast(pa.binary()), None]:
+            if raw is not None:
+                batch.append((raw.as_py() or b"").decode("utf-8", "replace"))
+            if batch and (raw is None or sum(map(len, batch)) >= TOGETHER):
+                ends += encoder.encode_all(batch, ids)
+                batch = []
         return pa.ListArray.from_arrays(pa.array(np.array(ends, "int32")), pa.array(np.array(ids, "int32")))
 
     return _extended(df, text, out, "array<int>", run)

@@ -114,3 +114,11 @@ def test_query(spark, tmp_path, library):
         text = dict(texts)[r.doc_id] or ""
         want = library.encode(text, add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want), sha(",".join(map(str, want))), sha(text))
+
+
+def test_many_words_at_once(own):
+    """The merges of many words together are those of each."""
+    rng = random.Random(11)
+    tokens = list(own.bytes.values())
+    words = [b"", b"a", b"zz", *(b"".join(rng.choices(tokens, k=rng.randint(1, 4)))[:24] for _ in range(9000)), *(rng.randbytes(rng.randint(1, 24)) for _ in range(500))]
+    assert own.merged_many(words) == [tuple(own.merged(w)) for w in words]
