@@ -34,6 +34,15 @@ def split_displays(pages: DataFrame) -> DataFrame:
     return rows.select(*keep, "pos", "display.*", "page_id")
 
 
+def repair_is_new_by_first(df: DataFrame, mid: str = "mid", is_new: str = "is_new", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """repair_is_new() for logs in which one device may hold most rows: the least place that says new comes from an aggregation
+    with partial sums, and goes back by a join, whose hot keys Spark splits (or broadcasts away). The order must be unique."""
+    new = F.col(is_new) == "1"
+    first = df.where(new).groupBy(F.col(mid).alias("_mid")).agg(F.min(F.struct(*order)).alias("_first"))
+    rows = df.join(first, F.col(mid) == F.col("_mid"), "left")
+    return rows.withColumn(is_new, F.when(new & (F.struct(*order) != F.col("_first")), "0").otherwise(F.col(is_new))).drop("_mid", "_first")
+
+
 def repair_is_new(df: DataFrame, mid: str = "mid", is_new: str = "is_new", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """Of a device's rows that say new, only the first keeps it. One exchange by device, which visits reuse."""
     w = Window.partitionBy(mid).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

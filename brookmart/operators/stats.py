@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import MONEY
+from .visits import followed, jumps
 from .wide import join_category3, join_sku, join_spu, join_trademark
 
 #: Fixed value: the code of a good appraisal.
@@ -47,17 +49,20 @@ def visitor_rows_page(pages: DataFrame) -> DataFrame:
     return _visitor_rows(pages, pv_ct=F.lit(1), sv_ct=entry, dur_sum=F.coalesce("during_time", F.lit(0)))
 
 
-def visitor_rows(pages: DataFrame, within: str = "10 seconds", mid: str = "mid", time: str = "event_time", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+def visitor_rows(pages: DataFrame, within: str = "10 seconds", mid: str = "mid", time: str = "event_time", order: tuple[str, ...] = ("ts", "seq"), slice: str | None = None) -> DataFrame:
     """Batch form: one row per page with all measures. The device's first entry of the day and its bounces come from
-    windows over the device, for which one exchange is enough, and rows aren't multiplied."""
+    windows over the device, for which one exchange is enough, and rows aren't multiplied. With `slice` no device is a hot
+    key: bounces come from slices of its time, first entries from an aggregation that is joined back."""
     entry, day = F.col("last_page_id").isNull(), F.to_date(time)
-    first = F.min(F.when(entry, F.struct(*order))).over(Window.partitionBy(mid, day))
-    device = Window.partitionBy(mid).orderBy(*order)
-    then, then_entry = F.lead(time).over(device), F.lead(entry).over(device)
-    jump = then.isNull() | then_entry | (then >= F.col(time) + F.expr(f"interval {within}"))
-    marked = pages.withColumn("_jump", entry & jump).withColumn("_first", entry & (first == F.struct(*order)))
+    place = F.struct(*order)
+    marked = followed(pages, slice, mid, time, order).withColumn("_jump", jumps(within, time))
+    if slice is None:
+        marked = marked.withColumn("_first", entry & (F.min(F.when(entry, place)).over(Window.partitionBy(mid, day)) == place))
+    else:
+        firsts = pages.where(entry).groupBy(F.col(mid).alias("_mid"), day.alias("_day")).agg(F.min(place).alias("_least"))
+        marked = marked.join(firsts, F.col(mid).eqNullSafe(F.col("_mid")) & (day == F.col("_day")), "left").withColumn("_first", entry & (F.col("_least") == place))
     return _visitor_rows(
-        marked, uv_ct=F.col("_first").cast("int"), pv_ct=F.lit(1), sv_ct=entry.cast("int"), uj_ct=F.col("_jump").cast("int"), dur_sum=F.coalesce("during_time", F.lit(0)))
+        marked, uv_ct=F.coalesce(F.col("_first"), F.lit(False)).cast("int"), pv_ct=F.lit(1), sv_ct=entry.cast("int"), uj_ct=F.col("_jump").cast("int"), dur_sum=F.coalesce("during_time", F.lit(0)))
 
 
 def visitor_stats(pages: DataFrame, visits: DataFrame, jumps: DataFrame, window: str = "10 seconds", delay: str | None = "13 seconds") -> DataFrame:
@@ -148,14 +153,21 @@ def product_stats(parts: list[DataFrame], sku: DataFrame, spu: DataFrame, tradem
 PROVINCE_KEYS = ("province_id", "province_name", "province_area_code", "province_iso_code", "province_3166_2_code")
 
 
-def province_stats(wide: DataFrame, window: str = "10 seconds", delay: str | None = "2 seconds", scale: int = 2) -> DataFrame:
+def stamped(rows: DataFrame, as_of: datetime | Column | None) -> DataFrame:
+    """rows with `ts`, the milliseconds of the time at which they are computed, which the caller names; without one as they are."""
+    if as_of is None:
+        return rows
+    return rows.withColumn("ts", F.unix_millis(as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")))
+
+
+def province_stats(wide: DataFrame, window: str = "10 seconds", delay: str | None = "2 seconds", scale: int = 2, as_of: datetime | Column | None = None) -> DataFrame:
     """Orders and revenue by province: by order first (exact count, a hot province spread over its orders), then by
-    province. scale=0 rounds each amount to whole units."""
+    province. scale=0 rounds each amount to whole units. With `as_of` there is a tenth column `ts`."""
     rows = wide.withWatermark("create_ts", delay) if delay else wide
     amount = F.col("split_total_amount").cast(f"decimal(16,{scale})")
     orders = rows.groupBy(F.window("create_ts", window), *PROVINCE_KEYS, "order_id").agg(F.sum(amount).alias("order_amount"))
     out = orders.groupBy("window", *PROVINCE_KEYS).agg(F.sum("order_amount").cast(f"decimal(16,{scale})").alias("order_amount"), F.count("order_id").alias("order_count"))
-    return out.select(*bounds(), *PROVINCE_KEYS, "order_amount", "order_count")
+    return stamped(out.select(*bounds(), *PROVINCE_KEYS, "order_amount", "order_count"), as_of)
 
 
 def province_rows(wide: DataFrame) -> DataFrame:
@@ -163,8 +175,8 @@ def province_rows(wide: DataFrame) -> DataFrame:
     return wide.select(*PROVINCE_KEYS, F.col("split_total_amount").alias("order_amount"), F.lit(1).cast("long").alias("order_count"), F.col("create_ts").alias("event_time"))
 
 
-def keyword_stats(words: DataFrame, window: str = "10 seconds", delay: str | None = "2 seconds", source: str = "search") -> DataFrame:
-    """Counts of (keyword, rt) rows by word and window."""
+def keyword_stats(words: DataFrame, window: str = "10 seconds", delay: str | None = "2 seconds", source: str = "search", as_of: datetime | Column | None = None) -> DataFrame:
+    """Counts of (keyword, rt) rows by word and window; with `as_of` there is a sixth column `ts`."""
     rows = words.withWatermark("rt", delay) if delay else words
     out = rows.groupBy(F.window("rt", window), "keyword").agg(F.count(F.lit(1)).alias("ct"))
-    return out.select(*bounds(), "keyword", F.lit(source).alias("source"), "ct")
+    return stamped(out.select(*bounds(), "keyword", F.lit(source).alias("source"), "ct"), as_of)
