@@ -348,7 +348,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
     sent = vocabulary(df.sparkSession, path)
 
     def run(lists: pa.Array) -> pa.Array:
-        decoder, values, ends = _decoder(sent), lists.values.to_pylist(), lists.offsets.to_pylist()
+        decoder, values, ends = _decoder(sent), lists.values, lists.offsets.to_pylist()
+        values = values.to_pylist() if values.null_count else values.to_numpy().tolist()  # the latter is ten times as fast
         return pa.array(["".join(decoder.feed(values[a:b])) for a, b in zip(ends, ends[1:])], pa.string())  # noqa: B905
 
     return _extended(df, ids, out, "string", run)
