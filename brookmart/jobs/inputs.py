@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +23,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Range of event times that a caller needs, the end left out; None for all.
+Days = tuple[datetime, datetime] | None
+
+
+def within(df: DataFrame, column: str, days: Days, before: int = 0, after: int = 0) -> DataFrame:
+    """Rows of a range of days, widened by days before and after it. The comparison is with the stored column, so that it
+    reaches the scan."""
+    if days is None:
+        return df
+    low, high = (F.lit((d + timedelta(days=n)).isoformat(" ")).cast("timestamp_ntz") for d, n in zip(days, (-before, after), strict=True))
+    return df.where((F.col(column) >= low) & (F.col(column) < high))
+
+
 def text(*parts: Column | str) -> Column:
     return F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def events(spark: SparkSession, sf_dir: str, days: Days = None) -> DataFrame:
+    return within(table(spark, sf_dir, "events"), "ts", days).select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("time"), "user_id", "event_type",
         F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_log(spark: SparkSession, sf_dir: str, days: Days = None) -> DataFrame:
     """(seq, value): one JSON text per event; errors are cut short."""
-    e = events(spark, sf_dir)
+    e = events(spark, sf_dir, days)
     kind, k = F.col("event_type"), F.col("k")
     common = F.struct(
         text("m", F.col("user_id")).alias("mid"), F.when(F.col("seq") % 3 == 0, "1").otherwise("0").alias("is_new"), text("v", F.col("user_id") % 3).alias("vc"),
@@ -57,6 +72,12 @@ def good_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.repair_is_new(good.select("seq", "common.*", "start", "page", "displays", "ts", "event_time"))
 
 
+def plain_pages(spark: SparkSession, sf_dir: str, days: Days = None) -> DataFrame:
+    """Pages with the flag as it was logged: its repair needs a device's whole history and a shuffle, and many don't use it."""
+    good, _ = logs.parse_log(raw_log(spark, sf_dir, days))
+    return logs.split_page(good).select("seq", "common.*", "page.*", "displays", "ts", "event_time")
+
+
 def page_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = logs.split_page(good_log(spark, sf_dir))
     return pages.select("seq", "mid", "is_new", "vc", "ch", "ar", "page.*", "displays", "ts", "event_time")
@@ -85,46 +106,54 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*dims, ("order_info", "insert", "kafka", "dwd_order_info", "id,tm_name", "id", None)], names)
 
 
-def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+def order_info(spark: SparkSession, sf_dir: str, days: Days = None, before: int = 0, after: int = 0) -> DataFrame:
+    return within(table(spark, sf_dir, "orders"), "o_orderdate", days, before, after).select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), (F.col("o_custkey") % 25).alias("province_id"), F.col("o_orderstatus").alias("order_status"),
         F.col("o_totalprice").cast(MONEY).alias("total_amount"), F.col("o_orderdate").cast("timestamp").alias("create_ts"))
 
 
-def order_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+def order_detail(spark: SparkSession, sf_dir: str, days: Days = None, before: int = 0, after: int = 0) -> DataFrame:
+    return within(table(spark, sf_dir, "lineitem"), "l_shipdate", days, before, after).select(
         F.col("l_orderkey").alias("order_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("sku_id"),
         F.col("l_quantity").cast("bigint").alias("sku_num"), F.col("l_extendedprice").cast(MONEY).alias("split_total_amount"), F.col("l_shipdate").cast("timestamp").alias("create_ts"))
 
 
-def payment_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+def payment_info(spark: SparkSession, sf_dir: str, days: Days = None) -> DataFrame:
+    """Payments come from 10 days before to 29 days after the order."""
+    o = within(table(spark, sf_dir, "orders"), "o_orderdate", days, 30, 11).where("o_orderstatus = 'F'")
     at = F.col("o_orderdate").cast("timestamp") + F.make_interval(days=(F.col("o_orderkey") % 40 - 10).cast("int"))
     return o.select(
         F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), F.col("o_totalprice").cast(MONEY).alias("total_amount"),
         text("110", 1 + F.col("o_orderkey") % 3).alias("payment_type"), at.alias("create_ts"))
 
 
-def order_wide(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFrame:
-    return wide.order_wide(order_info(spark, sf_dir), order_detail(spark, sf_dir), f"-{days} days", f"{days} days")
+#: Days between an order and its lines, at most.
+APART = 30
+
+
+def order_wide(spark: SparkSession, sf_dir: str, days: Days = None, before: int = 0, after: int = 0) -> DataFrame:
+    """Wide orders made in the range; lines are read as far around it as the interval reaches."""
+    info, detail = order_info(spark, sf_dir, days, before, after), order_detail(spark, sf_dir, days, before + APART, after + APART + 1)
+    return wide.order_wide(info, detail, f"-{APART} days", f"{APART} days")
 
 
-def payment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide.payment_wide(order_wide(spark, sf_dir), payment_info(spark, sf_dir), "-5 days", "15 days")
+def payment_wide(spark: SparkSession, sf_dir: str, days: Days = None) -> DataFrame:
+    """Wide payments made in the range, and some around it; orders are read as far as the interval reaches."""
+    return wide.payment_wide(order_wide(spark, sf_dir, days, 16, 6), payment_info(spark, sf_dir, days), "-5 days", "15 days")
 
 
-def refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_detail_flag(spark, sf_dir, "R").withColumnRenamed("split_total_amount", "refund_amount")
+def refunds(spark: SparkSession, sf_dir: str, days: Days = None) -> DataFrame:
+    return order_detail_flag(spark, sf_dir, "R", days).withColumnRenamed("split_total_amount", "refund_amount")
 
 
-def order_detail_flag(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
+def order_detail_flag(spark: SparkSession, sf_dir: str, flag: str, days: Days = None) -> DataFrame:
+    rows = within(table(spark, sf_dir, "lineitem"), "l_shipdate", days).where(F.col("l_returnflag") == flag)
     return rows.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"), F.col("l_extendedprice").cast(MONEY).alias("split_total_amount"), F.col("l_shipdate").cast("timestamp").alias("create_ts"))
 
 
-def actions(spark: SparkSession, sf_dir: str, kind: str, *more: str) -> DataFrame:
+def actions(spark: SparkSession, sf_dir: str, kind: str, *more: str, days: Days = None) -> DataFrame:
     """Favours (purchase), cart entries (click) and comments (view)."""
-    e = events(spark, sf_dir).where(F.col("event_type") == kind)
+    e = events(spark, sf_dir, days).where(F.col("event_type") == kind)
     return e.select(F.col("k").cast("bigint").alias("sku_id"), F.col("time").alias("create_ts"), F.when(F.col("k") % 4 == 0, "1201").otherwise("1202").alias("appraise"), *more)
 
 

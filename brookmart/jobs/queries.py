@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -337,12 +337,17 @@ def agg1_visitor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _visitor_stats(spark, sf_dir, "1 day")
 
 
-def _product_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = i.page_log(spark, sf_dir)
-    parts = [
-        stats.product_rows_click(pages), stats.product_rows_display(pages), stats.product_rows_favor(i.actions(spark, sf_dir, "purchase")),
-        stats.product_rows_cart(i.actions(spark, sf_dir, "click")), stats.product_rows_comment(i.actions(spark, sf_dir, "view")),
-        stats.product_rows_order(i.order_wide(spark, sf_dir)), stats.product_rows_pay(i.payment_wide(spark, sf_dir)), stats.product_rows_refund(i.refunds(spark, sf_dir))]
+def _product_parts(spark: SparkSession, sf_dir: str, days: i.Days = None) -> list[DataFrame]:
+    pages, acts = i.plain_pages(spark, sf_dir, days), lambda kind: i.actions(spark, sf_dir, kind, days=days)
+    return [
+        stats.product_rows_click(pages), stats.product_rows_display(pages), stats.product_rows_favor(acts("purchase")), stats.product_rows_cart(acts("click")), stats.product_rows_comment(acts("view")),
+        stats.product_rows_order(i.order_wide(spark, sf_dir, days)), stats.product_rows_pay(i.payment_wide(spark, sf_dir, days)), stats.product_rows_refund(i.refunds(spark, sf_dir, days))]
+
+
+def _product_stats(spark: SparkSession, sf_dir: str, days: i.Days = None, orders_only: bool = False) -> DataFrame:
+    """Windows that lie in the range of days are whole, others may not be. Reports of products with revenue need the rows of
+    orders only."""
+    parts = [stats.product_rows_order(i.order_wide(spark, sf_dir, days))] if orders_only else _product_parts(spark, sf_dir, days)
     dims = (i.dim_sku, i.dim_spu, i.dim_trademark, i.dim_category3)
     return stats.product_stats(parts, *(d(spark, sf_dir) for d in dims), window="30 days", delay=None)
 
@@ -354,8 +359,8 @@ def agg2_product_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(_product_stats(spark, sf_dir))
 
 
-def _province_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.province_stats(wide.join_province(i.order_wide(spark, sf_dir), i.dim_province(spark, sf_dir)), "30 days", None)
+def _province_stats(spark: SparkSession, sf_dir: str, days: i.Days = None) -> DataFrame:
+    return stats.province_stats(wide.join_province(i.order_wide(spark, sf_dir, days), i.dim_province(spark, sf_dir)), "30 days", None)
 
 
 @query(PROVINCES + "SELECT stt, edt, province_id, province_name, province_area_code, province_iso_code, province_3166_2_code, CAST(order_amount AS DOUBLE) AS order_amount, order_count FROM pv")
@@ -363,8 +368,8 @@ def agg3_province_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(_province_stats(spark, sf_dir))
 
 
-def _keyword_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.keyword_stats(tokenize(stats.keyword_pages(i.page_log(spark, sf_dir)), "full_word"), "1 day", None)
+def _keyword_stats(spark: SparkSession, sf_dir: str, days: i.Days = None) -> DataFrame:
+    return stats.keyword_stats(tokenize(stats.keyword_pages(i.plain_pages(spark, sf_dir, days)), "full_word"), "1 day", None)
 
 
 @query(KEYWORDS + "SELECT * FROM ks")
@@ -381,7 +386,7 @@ def agg5_province_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(KEYWORDS + "SELECT seq, keyword FROM wd")
 def udt1_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = i.page_log(spark, sf_dir).where("item_type = 'keyword'").select("seq", "item")
+    pages = i.plain_pages(spark, sf_dir).where("item_type = 'keyword'").select("seq", "item")
     return tokenize(pages, "item").select("seq", "keyword")
 
 
@@ -391,6 +396,17 @@ _OF_ORDER = f"WHERE stt BETWEEN '{ORDER_DAY} 00:00:00' AND '{ORDER_DAY} 23:59:59
 _OF_EVENT = f"WHERE stt BETWEEN '{EVENT_DAY} 00:00:00' AND '{EVENT_DAY} 23:59:59'"
 
 
+
+
+def _days(day: str, window: int) -> i.Days:
+    """Event times of the windows, so many days long, that start on the day."""
+    start = datetime.fromisoformat(day)
+    return start, start + timedelta(days=window + 1)
+
+
+_ORDERS, _EVENTS = _days(ORDER_DAY, 30), _days(EVENT_DAY, 1)
+
+
 def _top(keys: str, limit: int, positive: bool = True, more: str = "") -> str:
     having = "HAVING sum(order_amount) > 0" if positive else ""
     return PRODUCTS + f"SELECT {keys}, CAST(sum(order_amount) AS DOUBLE) AS order_amount{more} FROM ps {_OF_ORDER} GROUP BY {keys} {having} ORDER BY order_amount DESC, {keys} LIMIT {limit}"
@@ -398,32 +414,32 @@ def _top(keys: str, limit: int, positive: bool = True, more: str = "") -> str:
 
 @query(PRODUCTS + f"SELECT CAST(sum(order_amount) AS DOUBLE) AS order_amount FROM ps {_OF_ORDER}")
 def rpt1_gmv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(reports.gmv(_product_stats(spark, sf_dir), ORDER_DAY))
+    return doubles(reports.gmv(_product_stats(spark, sf_dir, _ORDERS), ORDER_DAY))
 
 
 @query(_top("tm_id, tm_name", 10))
 def rpt2_gmv_by_trademark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(reports.gmv_by_trademark(_product_stats(spark, sf_dir), ORDER_DAY))
+    return doubles(reports.gmv_by_trademark(_product_stats(spark, sf_dir, _ORDERS, True), ORDER_DAY))
 
 
 @query(_top("category3_id, category3_name", 10))
 def rpt3_gmv_by_category3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(reports.gmv_by_category3(_product_stats(spark, sf_dir), ORDER_DAY))
+    return doubles(reports.gmv_by_category3(_product_stats(spark, sf_dir, _ORDERS, True), ORDER_DAY))
 
 
 @query(_top("spu_id, spu_name", 10, more=", CAST(sum(order_ct) AS BIGINT) AS order_ct"))
 def rpt4_gmv_by_spu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(reports.gmv_by_spu(_product_stats(spark, sf_dir), ORDER_DAY))
+    return doubles(reports.gmv_by_spu(_product_stats(spark, sf_dir, _ORDERS, True), ORDER_DAY))
 
 
 @query(_top("tm_name", 5, positive=False))
 def rpt5_gmv_by_tm_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(reports.gmv_by_tm_name(_product_stats(spark, sf_dir), ORDER_DAY))
+    return doubles(reports.gmv_by_tm_name(_product_stats(spark, sf_dir, _ORDERS), ORDER_DAY))
 
 
 @query(PROVINCES + f"SELECT province_id, province_name, CAST(sum(order_amount) AS DOUBLE) AS order_amount FROM pv {_OF_ORDER} GROUP BY ALL")
 def rpt6_amount_by_province(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(reports.amount_by_province(_province_stats(spark, sf_dir), ORDER_DAY))
+    return doubles(reports.amount_by_province(_province_stats(spark, sf_dir, _ORDERS), ORDER_DAY))
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,7 +486,7 @@ def rpt10_visitor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(KEYWORDS + f"SELECT keyword, CAST(sum(ct * 10) AS BIGINT) AS ct FROM ks {_OF_EVENT} GROUP BY keyword ORDER BY sum(ct) DESC, keyword LIMIT 20")
 def rpt11_keyword_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.keyword_ranking(_keyword_stats(spark, sf_dir), EVENT_DAY)
+    return reports.keyword_ranking(_keyword_stats(spark, sf_dir, _EVENTS), EVENT_DAY)
 
 
 from . import streamed  # noqa: E402, F401  registers its queries too

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import logs, stats, wide
+from ..operators import logs, reports, stats, visits, wide
 from ..session import scratch
-from ..sources.versions import DimStore
+from ..sources.versions import DimStore, Rollup
 from ..streaming import state, streams
 from . import inputs as i
-from .queries import _LATEST, CHANGES, PRODUCTS, SQL, _trademarks, _visitors, doubles, query
+from .queries import _LATEST, CHANGES, EVENT_DAY, ORDER_DAY, PRODUCTS, SQL, _product_parts, _trademarks, _visitors, doubles, query
 
 
 @contextmanager
@@ -152,6 +152,55 @@ def agg2_product_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(spark.read.parquet(out).where(F.col("edt") <= ORDERS_CLOSED))
 
 
+# Hot devices
+
+
+@query(SQL["win1_repair_is_new"])
+def win1_first_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flag without a window: no device is a hot key."""
+    good, _ = logs.parse_log(i.raw_log(spark, sf_dir))
+    return logs.repair_is_new_by_first(good.select("seq", "common.mid", "common.is_new", "ts"))
+
+
+@query(SQL["win3_user_jumps"])
+def win3_jumps_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visits.user_jumps(i.plain_pages(spark, sf_dir), "6 hours", slice="3 hours").select("seq", "mid", "ts")
+
+
+@query(SQL["agg1_visitor_stats"])
+def agg1_visitor_stats_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = logs.parse_log(i.raw_log(spark, sf_dir))
+    flat = logs.repair_is_new_by_first(good.select("seq", "common.*", "start", "page", "ts", "event_time"))
+    pages = logs.split_page(flat).select("seq", "mid", "is_new", "vc", "ch", "ar", "page.*", "ts", "event_time")
+    return stats.sum_visitors(stats.visitor_rows(pages, "6 hours", slice="3 hours"), "1 day", None)
+
+
+# Reports of stored statistics
+
+
+@query(SQL["rpt2_gmv_by_trademark"])
+def rpt2_gmv_of_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order states that came in two batches, lines of one order in both, merged by day; the report reads its day alone."""
+    states = stats.product_states(stats.union_products([p.where(F.col("order_id").isNotNull()) for p in _product_parts(spark, sf_dir)[5:]]), "30 days")
+    line = F.pmod(F.xxhash64("order_id", "order_amount"), F.lit(2))
+    roll = Rollup(spark, scratch(spark, "rollup"), list(stats.STATE_KEYS), dict.fromkeys(stats.PRODUCT_SUMS, "sum"))
+    for n in (0, 1):
+        roll.add(states.where(line == n), n)
+    day = stats.products_of_states(reports.of_day(roll.read(), ORDER_DAY))
+    sku = wide.join_sku(day, i.dim_sku(spark, sf_dir))
+    return doubles(reports.gmv_by_trademark(wide.join_trademark(sku, i.dim_trademark(spark, sf_dir)), ORDER_DAY))
+
+
+@query(SQL["rpt7_visitors_by_new_flag"])
+def rpt7_visitors_of_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visitor windows of an hour that came in two batches, merged by day; the report reads its day alone."""
+    rows = stats.visitor_rows(i.page_log(spark, sf_dir), "6 hours")
+    roll = Rollup(spark, scratch(spark, "rollup"), ["stt", "edt", *stats.VISITOR_KEYS], dict.fromkeys(stats.VISITOR_SUMS, "sum") | {"ts": "min"})
+    for n in (0, 1):
+        roll.add(stats.sum_visitors(rows.where(F.col("ts") % 2 == n), "1 day", None), n)
+    return reports.visitors_by_new_flag(roll.read(), EVENT_DAY)
+
+
 # Changes as streams
 
 _OF_TRADEMARK = """, k AS (SELECT *, CASE WHEN type <> 'delete' THEN tm_name END AS now, lag(CASE WHEN type <> 'delete' THEN tm_name END) OVER (PARTITION BY id ORDER BY seq) AS sent FROM ch WHERE "tableName" = 'base_trademark')"""

@@ -143,6 +143,22 @@ def sum_products(rows: DataFrame, window: str = "10 seconds", delay: str | None
     ).select(*bounds(), "sku_id", *PRODUCT_SUMS, *PRODUCT_ORDERS)
 
 
+def product_states(rows: DataFrame, window: str = "10 seconds") -> DataFrame:
+    """The first level of sum_products() as rows that can be stored and merged: sums by window, product, kind and order. Lines
+    of one order that come later add to its row, so orders are never counted twice."""
+    orders = rows.groupBy(F.window("event_time", window), "sku_id", "kind", "order_id").agg(*(F.sum(c).cast(t).alias(c) for c, t in PRODUCT_SUMS.items()))
+    return orders.select(*bounds(), *STATE_KEYS[2:], *PRODUCT_SUMS)
+
+
+STATE_KEYS = ("stt", "edt", "sku_id", "kind", "order_id")
+
+
+def products_of_states(states: DataFrame) -> DataFrame:
+    counted = lambda kind: F.sum(((F.col("kind") == kind) & F.col("order_id").isNotNull()).cast("long"))
+    return states.groupBy("stt", "edt", "sku_id").agg(
+        *(F.sum(c).cast(t).alias(c) for c, t in PRODUCT_SUMS.items()), *(counted(k).alias(c) for c, k in PRODUCT_ORDERS.items()))
+
+
 def product_stats(parts: list[DataFrame], sku: DataFrame, spu: DataFrame, trademark: DataFrame, category3: DataFrame, window: str = "10 seconds",
                   delay: str | None = "2 seconds", how: str = "inner") -> DataFrame:
     """Dimensions are joined to the aggregated rows, which are far fewer than the facts."""

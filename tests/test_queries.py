@@ -43,3 +43,21 @@ def test_plans(spark):
             assert "Python" not in text and "Pandas" not in text
     assert "Broadcast" in plan(QUERIES["joi5_province_dim"](spark, DATA))
     assert "ReadSchema: struct<event_id" in plan(inputs.events(spark, DATA).where(F.col("seq") > 5))
+
+
+def test_reports_read_their_days_only(spark):
+    """The range of days reaches the scans; revenue by product reads orders and lines once each."""
+    def scans(name):
+        df = QUERIES[name](spark, DATA)
+        df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return [line for line in text.splitlines() if "FileScan parquet" in line]
+
+    for name in ("rpt2_gmv_by_trademark", "rpt3_gmv_by_category3", "rpt4_gmv_by_spu", "rpt6_amount_by_province"):
+        found = scans(name)
+        for table, column in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")):
+            one = [s for s in found if f"/{table}.parquet" in s]
+            assert len(one) == 1 and f"GreaterThanOrEqual({column}" in one[0] and f"LessThan({column}" in one[0], (name, one)
+    assert all("GreaterThanOrEqual(ts" in s for s in scans("rpt11_keyword_ranking"))
+    for s in scans("rpt1_gmv"):
+        assert "GreaterThanOrEqual(" in s or not any(f"/{t}.parquet" in s for t in ("orders", "lineitem", "events")), s
