@@ -7,12 +7,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .segments import read_segments
 
-def read_topic(spark: SparkSession, topic: str, servers: str | None = None, starting: str | None = None, stream: bool = False, path: str | None = None) -> DataFrame:
-    """value STRING of each record of a topic. With `path`, the topic is a folder of text files, one record per line.
-    Without `starting`, streams begin at the latest record and batches at the earliest; a batch can't begin at the latest."""
+
+def read_topic(spark: SparkSession, topic: str, servers: str | None = None, starting: str | None = None, stream: bool = False, path: str | None = None, segments: bool = False) -> DataFrame:
+    """value STRING of each record of a topic. With `path`, the topic is a folder of text files, one record per line, or, with
+    `segments`, of records with partition, offset and timestamp as a broker has them (see segments.py). Without `starting`, streams begin at the latest record and batches at the earliest; a batch can't begin at the latest."""
     if not stream and starting == "latest":
         raise ValueError("a batch has an end; it can't start at the latest record")
+    if path is not None and segments:
+        return read_segments(spark, path, starting, stream)
     if path is not None:
         lines = (spark.readStream if stream else spark.read).text(path)
         return lines.select("value")
