@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import logs, reports, stats, visits, wide
+from ..functions.text import tokenize
+from ..operators import changes, logs, reports, stats, visits, wide
 from ..session import scratch
 from ..sources.versions import DimStore, Rollup
 from ..streaming import state, streams
@@ -201,6 +202,41 @@ def rpt7_visitors_of_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.visitors_by_new_flag(roll.read(), EVENT_DAY)
 
 
+# Typed changes, lexicon
+
+_TYPED = "id int, k int, amount double, name string"
+
+
+@query("WITH " + CHANGES + """, t AS (SELECT seq, type, CAST(id AS INTEGER) AS id, CAST(substr(tm_name, 2) AS INTEGER) AS k FROM ch WHERE "tableName" = 'base_trademark')
+SELECT id, k, k / 4.0::DOUBLE AS amount, CASE WHEN k % 3 <> 0 THEN 'n' || k END AS name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM t WHERE type = 'delete' OR k % 10 <> 7) WHERE r = 1 AND type <> 'delete'""")
+def src4_typed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change log as JSON text with numbers in it: images are typed, rows with an amount that is no number go aside, and the
+    current table has numbers."""
+    e = i.events(spark, sf_dir).where(F.col("user_id") % 2 == 0)
+    kind, k = F.col("event_type"), F.col("k")
+    type_ = F.when(kind == "click", "insert").when(kind == "signup", "read").when(kind == "error", "delete").otherwise("update")
+    image = F.to_json(F.struct((F.col("user_id") % 50).alias("id"), k.alias("k"), F.when(k % 3 != 0, i.text("n", k)).alias("name")))
+    amount = F.when((k % 10 == 7) & (kind != "error"), F.lit('"n/a"')).otherwise((k / 4).cast("string"))
+    image = F.concat(F.lit('{"amount":'), amount, F.lit(","), F.substr(image, F.lit(2)))
+    both = lambda before, after: F.concat(F.lit('{"database":"shop","tableName":"base_trademark","type":"'), type_, F.lit('","before":'), before, F.lit(',"after":'), after, F.lit("}"))
+    none = F.lit("null")
+    value = F.when(kind == "error", both(image, none)).otherwise(both(none, image))
+    good, _ = changes.typed_changes(e.select("seq", value.alias("value")), _TYPED)
+    return changes.replay(good).select("row.*")
+
+
+#: Parts of words; none overlaps itself, so that SQL can count them.
+PARTS = ("the", "ing", "ering", "er", "in", "tion", "ou", "ed", "and", "eau", "ment", "que", "ung", "sch")
+
+
+@query("WITH p AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in PARTS) + """]) AS keyword), d AS (SELECT lower(text) AS t FROM documents)
+SELECT keyword, CAST(sum((length(t) - length(replace(t, keyword, ''))) / length(keyword)) AS BIGINT) AS n FROM p, d GROUP BY keyword HAVING sum(length(t) - length(replace(t, keyword, ''))) > 0""")
+def udt1_lexicon_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part at every place of every word of all documents, overlaps included, counted by part."""
+    found = tokenize(i.table(spark, sf_dir, "documents").select("text"), "text", PARTS, compounds=True, rest=False)
+    return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Changes as streams
 
 _OF_TRADEMARK = """, k AS (SELECT *, CASE WHEN type <> 'delete' THEN tm_name END AS now, lag(CASE WHEN type <> 'delete' THEN tm_name END) OVER (PARTITION BY id ORDER BY seq) AS sent FROM ch WHERE "tableName" = 'base_trademark')"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def drop_deletes(df: DataFrame) -> DataFrame:
@@ -46,8 +47,34 @@ def route_changes(df: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame
     return facts, dims, rows.where("route = 'unmatched'").select(df.columns)
 
 
+def typed_changes(lines: DataFrame, columns: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(changes, rejects) of change envelopes as JSON text, with row images typed by `columns` (DDL). A row whose text isn't JSON
+    or one of whose values doesn't fit its type goes aside whole, with the names of what didn't fit (`errors`). Columns that
+    an image lacks are null, an absent image is null. All other columns of `lines` stay."""
+    fields = T.StructType.fromDDL(columns).fields
+    v = F.col("_v")
+    parsed = lines.withColumn("_v", F.try_parse_json(F.col(value)))
+    at = lambda image, f: f"$.{image}['{f.name}']"
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    whole = lambda image: F.try_variant_get(v, f"$.{image}", "variant")
+    there = lambda image: whole(image).isNotNull() & ~F.is_variant_null(whole(image))
+    row = lambda image: F.when(there(image), F.struct(*(get(at(image, f), f.dataType.simpleString()).alias(f.name) for f in fields)))
+    misfit = lambda image, f: F.when(get(at(image, f), "string").isNotNull() & get(at(image, f), f.dataType.simpleString()).isNull(), F.lit(f"{image}.{f.name}"))
+    errors = F.when(v.isNull(), F.array(F.lit("json"))).otherwise(F.array_compact(F.array(*(misfit(image, f) for image in ("before", "after") for f in fields))))
+    rest = [c for c in lines.columns if c != value]
+    head = [get(f"$.{n}", "string").alias(n) for n in ("database", "tableName", "type")]
+    marked = parsed.withColumn("errors", errors)
+    good = marked.where(F.size("errors") == 0).select(*rest, *head, row("before").alias("before"), row("after").alias("after"))
+    return good, marked.where(F.size("errors") > 0).select(*lines.columns, "errors")
+
+
 def filter_columns(df: DataFrame) -> DataFrame:
-    """Keeps those entries of `after` that the rule lists; names are neither trimmed nor folded."""
+    """Keeps those entries of `after` that the rule lists; names are neither trimmed nor folded. A typed image keeps its columns
+    and loses the values of those that aren't listed."""
+    image = df.schema["after"].dataType
+    if isinstance(image, T.StructType):
+        listed = lambda n: F.array_contains(F.split("sinkColumns", ","), n)
+        return df.withColumn("after", F.when(F.col("after").isNotNull(), F.struct(*(F.when(listed(n), F.col("after")[n]).alias(n) for n in image.names))))
     return df.withColumn("after", F.map_filter("after", lambda k, _: F.array_contains(F.split("sinkColumns", ","), k)))
 
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.changes import typed_changes
 from .segments import read_segments
 
 
@@ -50,6 +51,11 @@ def camel_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*map(lower_camel, df.columns))
 
 
+def read_typed_changelog(spark: SparkSession, path: str, columns: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(changes, rejects) of a change log whose row images have typed columns (DDL); see changes.typed_changes()."""
+    return typed_changes(read_topic(spark, "", stream=stream, path=path), columns)
+
+
 def read_changelog(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Change envelopes as JSON lines: a snapshot (type read) and then changes."""
     from ..schemas import CHANGE

@@ -31,7 +31,8 @@ def write_kafka(rows: DataFrame, servers: str, topic: str | None = None, checkpo
 
 
 def write_stats_jdbc(df: DataFrame, url: str, table: str, batch_id: int = 0, columns: list[str] | None = None, **options: str) -> None:
-    """Appends aggregates and their batch's number to a table over JDBC, one connection per partition."""
+    """Appends aggregates and their batch's number to a table over JDBC, one connection per partition. A batch that is done
+    again is there twice; ledger.write_once() has each batch once."""
     rows = df.select(*(columns or df.columns)).withColumn("batch_id", F.lit(batch_id).cast("long"))
     rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import tokenize
 from ..operators import changes, logs, stats, wide
-from ..sources import sinks
+from ..sources import ledger, sinks
 from ..sources.versions import DimStore
 from . import state
 
@@ -132,6 +132,11 @@ def dim_stream(rows: DataFrame, path: str, checkpoint: str, pk: str = "id", seq:
     return each_batch(rows, checkpoint, write, available)
 
 
+def stats_table_stream(df: DataFrame, dims: Callable[[DataFrame], DataFrame], url: str, table: str, query: str, checkpoint: str, available: bool = False, **options: str) -> StreamingQuery:
+    """As stats_stream, to a database table, each batch exactly once (see ledger.py)."""
+    return each_batch(df, checkpoint, ledger.writer(url, table, query, dims, **options), available)
+
+
 def stats_stream(df: DataFrame, dims: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, available: bool = False) -> StreamingQuery:
     """Writes aggregates with dimension columns. `dims` is called for each batch: with DimStore.dim() in it, a batch sees the
     newest version that was published when it began, whole, and never one that is being written."""
