@@ -20,4 +20,4 @@ QUERIES = {
     "op13_byte_bpe": bytepairs.op13_byte_bpe,
 }
 
-SQL = {**warc.SQL}
+SQL = {**warc.SQL, **licenses.SQL}
