@@ -272,6 +272,13 @@ def joi3_payment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payment_id", "detail_id", "order_id", "user_id", "total_amount", "payment_type", "sku_id", "split_total_amount", F.unix_millis("payment_create_time").alias("paid_ms")))
 
 
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS create_date, strftime(o_orderdate, '%H') AS create_hour, epoch_ms(o_orderdate) AS ms FROM orders")
+def prj6_order_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event time, day and hour of orders from the text of their time."""
+    rows = i.order_info(spark, sf_dir).select("id", F.date_format("create_ts", "yyyy-MM-dd HH:mm:ss").alias("create_time"))
+    return wide.derive_order_times(rows).select("id", "create_date", "create_hour", F.unix_millis("create_ts").alias("ms"))
+
+
 @query("WITH " + WIDE + """ SELECT detail_id, order_id, user_id, c_mktsegment AS user_gender, CAST(floor(date_diff('day', DATE '1970-01-01' + CAST(c_custkey % 12000 AS INTEGER), DATE '2020-01-01') / 365.0) AS INTEGER) AS user_age
   FROM wide JOIN customer ON user_id = c_custkey""")
 def joi4_user_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,9 +345,8 @@ def agg1_visitor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _product_parts(spark: SparkSession, sf_dir: str, days: i.Days = None) -> list[DataFrame]:
-    pages, acts = i.plain_pages(spark, sf_dir, days), lambda kind: i.actions(spark, sf_dir, kind, days=days)
     return [
-        stats.product_rows_click(pages), stats.product_rows_display(pages), stats.product_rows_favor(acts("purchase")), stats.product_rows_cart(acts("click")), stats.product_rows_comment(acts("view")),
+        stats.product_rows_pages(i.plain_pages(spark, sf_dir, days)), stats.product_rows_actions(i.every_action(spark, sf_dir, days)),
         stats.product_rows_order(i.order_wide(spark, sf_dir, days)), stats.product_rows_pay(i.payment_wide(spark, sf_dir, days)), stats.product_rows_refund(i.refunds(spark, sf_dir, days))]
 
 

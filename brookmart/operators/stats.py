@@ -87,10 +87,10 @@ PRODUCT_SUMS = {
 PRODUCT_ORDERS = {"order_ct": "order", "paid_order_ct": "pay", "refund_order_ct": "refund"}
 
 
-def _product_rows(df: DataFrame, sku: Column, time: str, kind: str, order_id: str | None = None, **measures: Column) -> DataFrame:
+def _product_rows(df: DataFrame, sku: Column, time: str, kind: str | Column, order_id: str | None = None, **measures: Column) -> DataFrame:
     m = [F.coalesce(measures.get(c, F.lit(0)).cast(t), F.lit(0).cast(t)).alias(c) for c, t in PRODUCT_SUMS.items()]
     order = F.col(order_id) if order_id else F.lit(None)
-    return df.select(sku.cast("long").alias("sku_id"), F.col(time).alias("event_time"), F.lit(kind).alias("kind"), order.cast("long").alias("order_id"), *m)
+    return df.select(sku.cast("long").alias("sku_id"), F.col(time).alias("event_time"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), order.cast("long").alias("order_id"), *m)
 
 
 def product_rows_click(pages: DataFrame) -> DataFrame:
@@ -103,6 +103,26 @@ def product_rows_display(pages: DataFrame) -> DataFrame:
     return _product_rows(rows.select("event_time", "d.item"), F.expr("try_cast(item as bigint)"), "event_time", "display", display_ct=F.lit(1))
 
 
+def product_rows_pages(pages: DataFrame) -> DataFrame:
+    """Clicks and displays in one pass over the pages: the rows of product_rows_click() and product_rows_display()."""
+    row = lambda item, kind: F.struct(item.alias("item"), F.lit(kind).alias("kind"))
+    click = F.when((F.col("page_id") == "good_detail") & (F.col("item_type") == "sku_id"), F.array(row(F.col("item"), "click")))
+    shown = F.transform(F.filter("displays", lambda d: d["item_type"] == "sku_id"), lambda d: row(d["item"], "display"))
+    none = F.array().cast("array<struct<item:string,kind:string>>")
+    rows = pages.select("event_time", F.explode(F.concat(F.coalesce(click, none), F.coalesce(shown, none))).alias("r")).select("event_time", "r.item", "r.kind")
+    is_ = lambda kind: (F.col("kind") == kind).cast("int")
+    return _product_rows(rows, F.expr("try_cast(item as bigint)"), "event_time", F.col("kind"), click_ct=is_("click"), display_ct=is_("display"))
+
+
+def product_rows_actions(actions: DataFrame) -> DataFrame:
+    """Favours, cart entries and comments in one pass over rows whose `action` tells them apart."""
+    is_ = lambda kind: F.col("action") == kind
+    rows = actions.where(F.col("action").isin("favor", "cart", "comment"))
+    return _product_rows(
+        rows, F.col("sku_id"), "create_ts", F.col("action"), favor_ct=is_("favor").cast("int"), cart_ct=is_("cart").cast("int"), comment_ct=is_("comment").cast("int"),
+        good_comment_ct=(is_("comment") & (F.col("appraise") == GOOD)).cast("int"))
+
+
 def product_rows_favor(favors: DataFrame) -> DataFrame:
     return _product_rows(favors, F.col("sku_id"), "create_ts", "favor", favor_ct=F.lit(1))
 

@@ -201,3 +201,16 @@ def test_coalesce_fills_only_what_it_may(spark):
     a = spark.createDataFrame([(1, None, None, "a", None), (2, 5, 6, None, 1.0)], names)
     b = spark.createDataFrame([(1, 9, 8, "b", 7.0), (3, 9, 8, "c", 7.0)], names)
     assert sorted(map(tuple, wide.coalesce_wide(a, b).collect())) == [(1, None, 8, "a", None), (2, 5, 6, None, 1.0), (3, None, 8, "c", None)]
+
+
+def test_products_in_one_pass(spark):
+    """One pass over pages, and one over actions, give the rows of the single functions."""
+    pages = spark.createDataFrame(
+        [("good_detail", "sku_id", "5", [("6", "sku_id"), ("7", "activity_id"), (None, "sku_id"), ("x", "sku_id")]), ("home", "sku_id", "5", None), ("good_detail", "keyword", "w", []), (None, None, None, [("8", None)])],
+        "page_id string, item_type string, item string, displays array<struct<item:string,item_type:string>>").withColumn("event_time", F.lit("2024-01-01").cast("timestamp"))
+    apart = stats.product_rows_click(pages).unionByName(stats.product_rows_display(pages))
+    assert sorted(map(str, stats.product_rows_pages(pages).collect())) == sorted(map(str, apart.collect()))
+    acts = spark.createDataFrame([(1, "1201", "favor"), (2, "1201", "cart"), (3, "1201", "comment"), (4, None, "comment"), (5, "1202", "other")], "sku_id long, appraise string, action string").withColumn("create_ts", F.lit("2024-01-01").cast("timestamp"))
+    of = lambda k: acts.where(F.col("action") == k)
+    apart = stats.union_products([stats.product_rows_favor(of("favor")), stats.product_rows_cart(of("cart")), stats.product_rows_comment(of("comment"))])
+    assert sorted(map(str, stats.product_rows_actions(acts).collect())) == sorted(map(str, apart.collect()))
