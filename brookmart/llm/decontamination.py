@@ -12,7 +12,8 @@ Windows with fewer than LEAST_WORDS plain words say nothing and are left out on
 are one window of their own length, for which SHORT_WORDS plain words of SHORT tokens at least are enough. Beside the
 templates stand literal windows, of lower-cased tokens as they are (numbers, names and units too), under the same rule:
 so an item is found word for word, in any case, whatever its template says. An item of one to three tokens counts only
-as a literal copy and if it has LEAST_LETTERS characters. Defined results: null text is
+as a literal copy and if it has LEAST_LETTERS characters; too_short() lists the others. Items that differ in nothing but
+slot values are searched for as one class. Defined results: null text is
 empty text without windows; null ids take part like other ids; equal items each give their row; repeated documents are
 judged alike; empty tables give no rows.
 """
@@ -27,7 +28,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -201,13 +202,33 @@ COLUMNS = "start int, length int, hash long, template string, slots array<string
 
 
 def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """Windows of the items. `pattern` tells which slots of an item hold the same value, by the number of the value in the item."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         canon = Canon()
         for b in batches:
-            rows = [(k, *w) for k, d in zip(b[key], b["payload"], strict=True) for _, *w in _windows(canon, [bytes(d).decode(errors="replace")], None, None)]
-            yield pd.DataFrame(rows, columns=[key, "start", "length", "hash", "template", "slots"])
+            rows = []
+            for k, d in zip(b[key], b["payload"], strict=True):
+                number: dict[str, str] = {}
+                for _, *w in _windows(canon, [bytes(d).decode(errors="replace")], None, None):
+                    rows.append((k, *w, [number.setdefault(v, str(len(number))) for v in w[-1]]))
+            yield pd.DataFrame(rows, columns=[key, "start", "length", "hash", "template", "slots", "pattern"])
+
+    rows = common.map_rows(benchmark, key, {"payload": common.utf8(text)}, run, COLUMNS + ", pattern array<string>")
+    twice = benchmark.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("_k"))
+    # numbers are of one text; where several texts share an id, the values speak for themselves
+    rows = rows.join(twice.withColumn("_t", F.lit(True)), F.col(key).eqNullSafe(F.col("_k")), "left")
+    return rows.withColumn("pattern", F.when(F.col("_t"), F.col("slots")).otherwise(F.col("pattern"))).drop("_k", "_t")
+
 
-    return common.map_rows(benchmark, key, {"payload": common.utf8(text)}, run, COLUMNS)
+def classes(items: DataFrame, item: str) -> DataFrame:
+    """(item, form, wording) of item_windows(): items of one form have the same template windows and the same pattern of equal
+    slots, so that a document meets all of them or none by template; items of one wording have the same literal windows too."""
+    shape = lambda kind, *columns: F.sort_array(F.collect_list(F.when(kind, F.struct(*columns))))
+    literal = F.col("length") < 0
+    by = items.groupBy(item).agg(shape(~literal, "start", "length", "template", "pattern").alias("t"), shape(literal, "start", "length", "template").alias("l"))
+    name = lambda *parts: F.sha2(F.to_json(F.struct(*parts)).cast("binary"), 256)
+    return by.select(item, F.when(F.size("t") > 0, name("t")).otherwise(name("t", "l")).alias("form"), name("t", "l").alias("wording"))
 
 
 def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,39 +247,109 @@ def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray, ke
     return common.map_rows(docs, key, {"payload": common.utf8(text)}, run, COLUMNS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """(key, item, matched, windows, share, changed): one row per contaminated document and item, with the counts of
-    literal windows if only these find it; changed tells whether slot values differ from the item's."""
+@dataclass
+class Found:
+    """What met: hits of classes, and what their members are told from."""
+
+    forms: DataFrame  # (key, form, matched, windows)
+    wordings: DataFrame  # (key, wording, matched, windows)
+    members: DataFrame  # (item, form, wording)
+    items: DataFrame  # windows of the items
+    sound: DataFrame  # (key, form, item_start, slots): template windows that count
+
+
+def enough(matched: str, windows: str) -> Column:
+    return (F.col(matched) * 2 >= F.col(windows)) | (F.col(matched) >= RUN)
+
+
+def same(*columns: str) -> Column:
+    """Equality of columns with those of the other side, which have a mark before their names; nulls are equal."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return out
+
+
+def marked(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"_{c}") for c in columns), *(c for c in df.columns if c not in columns))
+
+
+def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> Found:
+    """Documents against classes of items. Windows meet forms first; by their literal windows only those documents and forms
+    are looked at that didn't meet and have enough windows in common to make a wording of the form."""
     items = common.written(item_windows(benchmark, item), "benchmark-windows")
+    members = common.written(classes(items, item), "benchmark-classes")
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most twice WINDOW values
-    literal = (F.col("length") < 0).alias("literal")
-    total = items.groupBy(item, literal).agg(F.countDistinct("start").alias("windows"))
-    of_items = items.select(item, F.col("start").alias("item_start"), "length", "hash", "template", F.col("slots").alias("item_slots"))
-    found = document_windows(docs, lengths, window_filter(items), key, text)
-    met = found.join(of_items, ["hash", "length", "template"])
-    met = met.select(key, item, literal, (F.col("start") - F.col("item_start")).alias("offset"), "item_start", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("pairs"))
+    found = common.written(document_windows(docs, lengths, window_filter(items), key, text), "windows-found")
+    on = ["hash", "length", "template"]
+    classed = items.join(marked(members, item), same(item))
+    of_forms = classed.where("length > 0").select("form", F.col("start").alias("item_start"), *on, "pattern").dropDuplicates(["form", "item_start", *on])
+    met = found.where("length > 0").join(of_forms, on)
+    met = met.select(key, "form", (F.col("start") - F.col("item_start")).alias("offset"), "item_start", "slots", F.arrays_zip(F.col("pattern").alias("a"), F.col("slots").alias("b")).alias("pairs"))
     met = common.written(met, "windows-met")
     # slots of an alignment: at most the item's length
-    pairs = met.select(key, item, "offset", F.explode("pairs").alias("p")).groupBy(key, item, "offset", "p.a").agg(F.countDistinct("p.b").alias("values"))
-    broken = pairs.where("values > 1").groupBy(key, item, "offset").agg(F.collect_set("a").alias("broken"))
-    broken = broken.select(F.col(key).alias("k"), F.col(item).alias("i"), F.col("offset").alias("o"), "broken")
-    same = F.col(key).eqNullSafe(F.col("k")) & F.col(item).eqNullSafe(F.col("i")) & (F.col("offset") == F.col("o"))
-    sound = met.join(broken, same, "left").where(
-        F.col("broken").isNull() | ~F.arrays_overlap(F.transform("pairs", lambda p: p["a"]), F.coalesce("broken", F.array().cast("array<string>"))))
-    sound = sound.select(key, item, "literal", "item_start", F.exists("pairs", lambda p: p["a"] != p["b"]).alias("differs"))
-    hits = sound.groupBy(key, item, "literal").agg(F.countDistinct("item_start").alias("matched"), F.max("differs").alias("changed"))
-    hits = hits.join(total, [item, "literal"])
-    hits = hits.where((F.col("matched") * 2 >= F.col("windows")) | (F.col("matched") >= RUN))
-    row = F.struct("matched", "windows", (F.col("matched") / F.col("windows")).alias("share"), "changed")
-    return hits.groupBy(key, item).agg(F.min_by(row, "literal").alias("hit")).select(key, item, "hit.*")  # by template, if it is found so
+    pairs = met.select(key, "form", "offset", F.explode("pairs").alias("p")).groupBy(key, "form", "offset", "p.a").agg(F.countDistinct("p.b").alias("values"))
+    broken = pairs.where("values > 1").groupBy(key, "form", "offset").agg(F.collect_set("a").alias("broken"))
+    joined = met.join(marked(broken, key, "form", "offset"), same(key, "form", "offset"), "left")
+    sound = joined.where(F.col("broken").isNull() | ~F.arrays_overlap(F.transform("pairs", lambda p: p["a"]), F.coalesce("broken", F.array().cast("array<string>"))))
+    sound = sound.select(key, "form", "item_start", "slots")
+    sizes = of_forms.groupBy("form").agg(F.countDistinct("item_start").alias("windows"))
+    forms = sound.groupBy(key, "form").agg(F.countDistinct("item_start").alias("matched")).join(sizes, "form").where(enough("matched", "windows"))
+    forms = common.written(forms.select(key, "form", "matched", "windows"), "forms-met")
+
+    of_wordings = classed.where("length < 0").select("form", "wording", F.col("start").alias("item_start"), *on).dropDuplicates(["wording", "item_start", *on])
+    sizes = of_wordings.groupBy("form", "wording").agg(F.countDistinct("item_start").alias("windows"))
+    least = sizes.groupBy("form").agg(F.min("windows").alias("least"))
+    times = of_wordings.groupBy("form", "wording", *on).agg(F.count(F.lit(1)).alias("n")).groupBy("form", *on).agg(F.max("n").alias("n"))
+    near = found.where("length < 0").select(key, *on).distinct().join(times, on)
+    most = near.groupBy(key, "form").agg(F.sum("n").alias("most")).join(least, "form").where(enough("most", "least")).select(key, "form")
+    left = most.join(marked(forms.select(key, "form"), key, "form"), same(key, "form"), "left_anti")
+    rest = near.join(marked(left, key, "form"), same(key, "form"), "left_semi").drop("n")
+    hits = rest.join(of_wordings, ["form", *on]).groupBy(key, "wording").agg(F.countDistinct("item_start").alias("matched"))
+    wordings = hits.join(sizes.drop("form"), "wording").where(enough("matched", "windows")).select(key, "wording", "matched", "windows")
+    return Found(forms, common.written(wordings, "wordings-met"), members, items, sound)
+
+
+def condemned(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """(key, item, items, literal, matched, windows, share): one row per contaminated document and class of items, with the
+    smallest item of the class and their number; `literal` if only its literal windows find it. Rows grow with documents
+    and classes, not with the items of one template."""
+    f = search(docs, benchmark, key, item, text)
+    of = lambda kind: f.members.groupBy(kind).agg(F.min(item).alias(item), F.count(F.lit(1)).alias("items"))
+    rows = [hits.join(of(kind), kind).select(key, item, "items", F.lit(literal).alias("literal"), "matched", "windows", (F.col("matched") / F.col("windows")).alias("share"))
+            for hits, kind, literal in ((f.forms, "form", False), (f.wordings, "wording", True))]
+    return rows[0].unionByName(rows[1])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """(key, item, matched, windows, share, changed): condemned() with a row for each item of a class, for those who need the
+    pairs; changed tells whether slot values differ from the item's."""
+    f = search(docs, benchmark, key, item, text)
+    hits = f.forms.join(f.members.select(item, "form"), "form")
+    slots = f.items.where("length > 0").select(F.col(item).alias(f"_{item}"), F.col("start").alias("_item_start"), F.col("slots").alias("own"))
+    windows = f.sound.join(f.members.select(item, "form"), "form").join(slots, same(item, "item_start"))
+    differs = F.exists(F.arrays_zip(F.col("own").alias("a"), F.col("slots").alias("b")), lambda p: p["a"] != p["b"])
+    changed = windows.groupBy(key, item).agg(F.max(differs).alias("changed"))
+    share = (F.col("matched") / F.col("windows")).alias("share")
+    by_form = hits.join(marked(changed, key, item), same(key, item)).select(key, item, "matched", "windows", share, "changed")
+    by_wording = f.wordings.join(f.members.select(item, "wording"), "wording").select(key, item, "matched", "windows", share, F.lit(False).alias("changed"))
+    return by_form.unionByName(by_wording)
+
+
+def too_short(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """Items that no document is searched for, and why: those with a text but no window (see LEAST_TOKENS, LEAST_LETTERS). As
+    single words of the language they would condemn most documents; whoever needs them can ask for them by equality."""
+    windows = item_windows(benchmark, item, text).select(F.col(item).alias(f"_{item}")).distinct()
+    return benchmark.join(windows, same(item), "left_anti").where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0).select(item, text)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    return condemned(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold no benchmark item stay."""
-    gone = contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    f = search(docs, common.table(spark, sf_dir, "benchmark"))
+    gone = f.forms.select("doc_id").union(f.wordings.select("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -99,3 +99,34 @@ def test_a_full_filter_loses_nothing(spark):
     x = decontamination.np.array([0, -1, 5, 2**62 + 77, -(2**63), 6], decontamination.np.int64)
     first, second = (decontamination._set(bits, v & decontamination._MASK) for v in (x, x >> decontamination.FILTER))
     assert (first & second).tolist() == [True] * 5 + [False]
+
+
+def test_items_of_one_template_are_one_class(spark):
+    """300 items that differ in a number and a name against 300 documents: a row for a document, not for a pair."""
+    line = "a train leaves {a} station at noon and needs {n} minutes for the way to the harbour of the old town"
+    items = [(k, line.format(a="Anna", n=k)) for k in range(300)] + [(1000, "one quite different question about the colour of the sky in spring")]
+    docs = [(k, f"so: {line.format(a='Bob', n=7000 + k)} right") for k in range(300)]
+    docs += [(900, "no question at all"), (901, items[-1][1].upper()), (902, "at noon and needs")]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontamination.condemned(df, bench).collect()
+    assert len(got) == 301
+    assert {(r.doc_id, r.item_id, r.items, r.literal) for r in got} == {(k, 0, 300, False) for k in range(300)} | {(901, 1000, 1, False)}
+    found = decontamination.search(df, bench)
+    assert found.forms.count() == 301 and found.wordings.count() == 0
+    pairs = decontamination.contaminated(df.where("doc_id < 3 or doc_id > 800"), bench).collect()
+    assert len(pairs) == 901 and all(r.changed for r in pairs if r.doc_id < 3)
+
+
+def test_slots_that_are_equal_make_another_class(spark):
+    """Same template, but one item repeats its number: a document with two numbers holds the other item only."""
+    line = "first you add {a} apples to the big basket and then you take {b} apples out of the small basket again"
+    bench = spark.createDataFrame([(1, line.format(a=5, b=5)), (2, line.format(a=5, b=6)), (3, line.format(a=8, b=9))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, line.format(a=70, b=80)), (2, line.format(a=70, b=70))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.items) for r in decontamination.condemned(docs, bench).collect()}
+    assert (1, 2, 2) in got and not any(g[:2] == (1, 1) and g[2] > 1 for g in got)
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} >= {(1, 2), (1, 3), (2, 1), (2, 2), (2, 3)}
+
+
+def test_items_that_are_too_short_are_listed(spark):
+    bench = spark.createDataFrame([(1, "cats"), (2, "of the"), (3, "photosynthesis membrane"), (4, None), (5, " "), (6, "What is 12 times 30?")], "item_id long, text string")
+    assert [r.item_id for r in decontamination.too_short(bench).orderBy("item_id").collect()] == [1, 2]
