@@ -369,18 +369,18 @@ def _province_stats(spark: SparkSession, sf_dir: str, days: i.Days = None) -> Da
     return stats.province_stats(wide.join_province(i.order_wide(spark, sf_dir, days), i.dim_province(spark, sf_dir)), "30 days", None)
 
 
-@query(PROVINCES + "SELECT stt, edt, province_id, province_name, province_area_code, province_iso_code, province_3166_2_code, CAST(order_amount AS DOUBLE) AS order_amount, order_count FROM pv")
+@query(PROVINCES + "SELECT stt, edt, province_id, province_name, province_area_code, province_iso_code, province_3166_2_code, CAST(order_amount AS DOUBLE) AS order_amount, order_count, 1577836800000 AS ts FROM pv")
 def agg3_province_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(_province_stats(spark, sf_dir))
+    return doubles(stats.stamped(_province_stats(spark, sf_dir), F.timestamp_millis(F.lit(1577836800000))))
 
 
 def _keyword_stats(spark: SparkSession, sf_dir: str, days: i.Days = None) -> DataFrame:
     return stats.keyword_stats(tokenize(stats.keyword_pages(i.plain_pages(spark, sf_dir, days)), "full_word"), "1 day", None)
 
 
-@query(KEYWORDS + "SELECT * FROM ks")
+@query(KEYWORDS + "SELECT *, 1577836800000 AS ts FROM ks")
 def agg4_keyword_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyword_stats(spark, sf_dir)
+    return stats.stamped(_keyword_stats(spark, sf_dir), F.timestamp_millis(F.lit(1577836800000)))
 
 
 @query(PROVINCES + "SELECT stt, province_id, CAST(order_amount AS DOUBLE) AS order_amount, order_lines AS order_count FROM pv")
