@@ -12,14 +12,17 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
 from ..operators import changes, logs, reports, stats, visits, wide
 from ..session import scratch
+from ..sources import sinks
+from ..sources.segments import read_segments, write_segments
 from ..sources.versions import DimStore, Rollup
 from ..streaming import state, streams
 from . import inputs as i
-from .queries import _LATEST, CHANGES, EVENT_DAY, ORDER_DAY, PRODUCTS, SQL, _product_parts, _trademarks, _visitors, doubles, query
+from .queries import _LATEST, CHANGES, EVENT_DAY, KEYWORDS, LOG, ORDER_DAY, PRODUCTS, PROVINCES, SQL, VISITS, _product_parts, _trademarks, _visitors, doubles, query
 
 
 @contextmanager
@@ -265,3 +268,82 @@ def cdc7_table_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         finished(streams.table_stream(log, f"{at}/table", f"{at}/checkpoint", buckets=16, available=True))
     row = F.from_json("row", "map<string,string>")
     return DimStore(spark, f"{at}/table", buckets=16).dim().where("row is not null").select("id", row["tm_name"].alias("tm_name"), row["logo_url"].alias("logo_url"))
+
+
+# Single operators as streams, topics and sinks
+
+
+@query("WITH " + VISITS + f" SELECT seq, mid, ts FROM uv WHERE t < '{CLOSED}'")
+def win2_visits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with stateful(spark):
+        out = topic(streams.first_visits(i.plain_pages(spark, i.Streamed(sf_dir)), "1 hour"), scratch(spark, "visits"), "visits")
+    return spark.read.parquet(out).where(F.col("event_time") < CLOSED).select("seq", "mid", "ts")
+
+
+@query("WITH " + VISITS + f" SELECT seq, mid, ts FROM uj WHERE t < '{CLOSED}'")
+def win3_jumps_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with stateful(spark):
+        out = topic(streams.user_jumps(i.plain_pages(spark, i.Streamed(sf_dir)), 6 * 3_600_000, "1 hour"), scratch(spark, "jumps"), "jumps")
+    return spark.read.parquet(out).where(F.col("event_time") < CLOSED).select("seq", "mid", "ts")
+
+
+@query("WITH " + LOG + " SELECT mid, is_new, ts FROM lg")
+def win1_flags_of_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw log written to a topic of segments, a device to a partition; a stream reads it and takes the order of rows from
+    the offsets."""
+    at = scratch(spark, "topic")
+    raw = i.raw_log(spark, sf_dir).select("value", F.get_json_object("value", "$.common.mid").alias("mid"), F.timestamp_millis(F.get_json_object("value", "$.ts").cast("long")).alias("timestamp"))
+    write_segments(raw, f"{at}/log", 0, "mid")
+    with stateful(spark):
+        good, _ = streams.log_stream(read_segments(spark, f"{at}/log", "earliest", True).select(F.col("offset").alias("seq"), "value"))
+        out = topic(good.select("mid", "is_new", "ts"), at, "flags")
+    return spark.read.parquet(out)
+
+
+@query("WITH " + LOG + " SELECT mid, count(*) AS n, TRUE AS ordered FROM raw GROUP BY mid")
+def src1_topic_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a topic that was written in two batches, by device: how many there are, and whether offsets follow time."""
+    at = scratch(spark, "topic")
+    raw = i.raw_log(spark, sf_dir).select("seq", "value", F.get_json_object("value", "$.common.mid").alias("mid"), F.get_json_object("value", "$.ts").cast("long").alias("ms")).where("mid is not null")
+    rows = raw.withColumn("timestamp", F.timestamp_millis("ms"))
+    half = rows.agg((F.max("ms") / 2 + F.min("ms") / 2).cast("long")).first()[0] or 0
+    write_segments(rows.where(F.col("ms") <= half), at, 0, "mid")
+    write_segments(rows.where(F.col("ms") > half), at, 1, "mid")
+    back = read_segments(spark, at).select("offset", F.get_json_object("value", "$.common.mid").alias("mid"), F.get_json_object("value", "$.ts").cast("long").alias("ms"))
+    follows = F.coalesce(F.lag("ms").over(Window.partitionBy("mid").orderBy("offset")) <= F.col("ms"), F.lit(True))
+    return back.withColumn("follows", follows).groupBy("mid").agg(F.count(F.lit(1)).alias("n"), F.min("follows").alias("ordered"))
+
+
+@query(KEYWORDS + f"SELECT * FROM ks WHERE edt <= '{CLOSED}'")
+def agg4_keyword_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with stateful(spark):
+        out = topic(streams.keyword_stats(i.plain_pages(spark, i.Streamed(sf_dir)), "1 day", "1 hour"), scratch(spark, "words"), "stats")
+    return spark.read.parquet(out).where(F.col("edt") <= CLOSED)
+
+
+@query(PROVINCES + f"SELECT stt, edt, province_id, province_name, province_area_code, province_iso_code, province_3166_2_code, CAST(order_amount AS DOUBLE) AS order_amount, order_count FROM pv WHERE edt <= '{ORDERS_CLOSED}'")
+def agg3_province_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders joined to their lines as streams, to provinces as a table, and summed under the watermark that the join hands on."""
+    folder = i.Streamed(sf_dir)
+    with stateful(spark):
+        orders = streams.order_wide(i.order_info(spark, folder), i.order_detail(spark, folder), "30 days", lower="-30 days", upper="30 days")
+        out = topic(stats.province_stats(wide.join_province(orders, i.dim_province(spark, sf_dir)), "30 days", None), scratch(spark, "provinces"), "stats")
+    return doubles(spark.read.parquet(out).where(F.col("edt") <= ORDERS_CLOSED))
+
+
+@query(SQL["snk2_routed"])
+def str7_route_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes routed as a stream, by the rules as they are when a batch starts; rows of each topic's folder."""
+    at = scratch(spark, "routed")
+    finished(streams.route_stream(i.change_log(spark, i.Streamed(sf_dir)), lambda: i.rules(spark), f"{at}/out", f"{at}/checkpoint", True))
+    return spark.read.format("text").load(f"{at}/out").groupBy("topic").agg(F.count("value").alias("n"))
+
+
+@query(KEYWORDS + "SELECT * FROM ks")
+def snk3_stats_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics written in two batches, the second of them twice."""
+    at = scratch(spark, "stats")
+    words = stats.keyword_stats(tokenize(stats.keyword_pages(i.plain_pages(spark, sf_dir)), "full_word"), "1 day", None)
+    for batch, rows in ((0, words.where("keyword < 's'")), (1, words.where("keyword >= 's'")), (1, words.where("keyword >= 's'"))):
+        sinks.write_stats(rows, at, batch)
+    return spark.read.parquet(at).drop("dt", "batch_id")
