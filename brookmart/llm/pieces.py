@@ -10,6 +10,9 @@ if merging their joined text gives them back. A state of the composition is then
 and paths of such pairs are merge results, so the shortest path equals what merging by rank gives, not just what the
 weights favour. Unigram models go without that machine.
 
+A model with a character map of its own (or that drops extra spaces) has its normaliser compiled from it; as its rules look
+ahead, it runs over the input before the composed machines.
+
 A text falls apart where no piece can lie: before each run of marks, at line ends, and, if the model has no piece with
 both, between Latin letters and other characters. Equal segments are encoded once per task.
 
@@ -33,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .normaliser import Normaliser
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -110,7 +114,7 @@ def linked(arcs: list[dict[str, int]], final: list[int]) -> dict[str, tuple]:
 class Transducer:
     def __init__(self, model: bytes):
         self.pieces: list[tuple[str, float, int]] = []
-        self.bpe, self.prefix, extra, charsmap = False, True, True, b""
+        self.bpe, spec = False, {}
         for n, v in fields(model):
             if n == 1:
                 p = dict(fields(v))
@@ -118,10 +122,11 @@ class Transducer:
             elif n == 2:
                 self.bpe = dict(fields(v)).get(3, 1) == 2
             elif n == 3:
-                spec = dict(fields(v))
-                charsmap, self.prefix, extra = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
-        if charsmap or extra or any(t == USER for *_, t in self.pieces):
-            raise ValueError("only models with an identity normaliser and no user-defined pieces are read")
+                spec |= dict(fields(v))
+        charsmap, self.prefix, tidy = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
+        if any(t == USER for *_, t in self.pieces):
+            raise ValueError("models with user-defined pieces aren't read")
+        self.normalise = Normaliser(charsmap, tidy) if charsmap or tidy else None
         self.byte = [0] * 256
         self.weight = [-s for _, s, _ in self.pieces]
         self.raw: list[bytes] = []
@@ -218,6 +223,8 @@ class Transducer:
         return struct.pack(f"<{len(out)}i", *reversed(out))
 
     def encode(self, text: str) -> bytes:
+        if self.normalise:
+            text = self.normalise(text)
         if not text:
             return b""
         segments = self.cut.findall(" " + text if self.prefix else text)
