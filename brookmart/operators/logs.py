@@ -10,8 +10,10 @@ from ..schemas import LOG
 
 
 def parse_log(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(good, dirty). Dirty rows, which are malformed or have no device id, keep their raw text."""
-    parsed = df.withColumn("_r", F.from_json(value, LOG + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    """(good, dirty). Dirty rows, which are malformed or have no device id, keep their raw text. The record is exploded from an
+    array of one, since Spark would move filters on a plain column below it and parse (and make) the text again for each."""
+    record = F.from_json(value, LOG + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = df.select("*", F.explode(F.array(record)).alias("_r"))
     bad = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull() | F.col("_r.common.mid").isNull()
     rest = [c for c in df.columns if c != value]
     fields = [F.col(f"_r.{f}") for f in ("common", "start", "page", "displays", "ts")]
