@@ -44,6 +44,13 @@ def finished(q: StreamingQuery) -> None:
         raise q.exception()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Rows that several batches read, worked out once and kept as Parquet in the shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def topic(df: DataFrame, at: str, name: str) -> str:
     """Runs a stream to its end into a topic of the folder `at`."""
     finished(streams.to_topic(df, f"{at}/{name}", f"{at}/checkpoint-{name}", True))
@@ -188,8 +195,9 @@ def rpt2_gmv_of_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = stats.product_states(stats.union_products([p.where(F.col("order_id").isNotNull()) for p in _product_parts(spark, sf_dir)[2:]]), "30 days")
     line = F.pmod(F.xxhash64("order_id", "order_amount"), F.lit(2))
     roll = Rollup(spark, scratch(spark, "rollup"), list(stats.STATE_KEYS), dict.fromkeys(stats.PRODUCT_SUMS, "sum"))
+    found = written(states.withColumn("line", line), "states")  # worked out once for both batches
     for n in (0, 1):
-        roll.add(states.where(line == n), n)
+        roll.add(found.where(F.col("line") == n), n)
     day = stats.products_of_states(reports.of_day(roll.read(), ORDER_DAY))
     sku = wide.join_sku(day, i.dim_sku(spark, sf_dir))
     return doubles(reports.gmv_by_trademark(wide.join_trademark(sku, i.dim_trademark(spark, sf_dir)), ORDER_DAY))
@@ -200,8 +208,9 @@ def rpt7_visitors_of_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visitor windows of an hour that came in two batches, merged by day; the report reads its day alone."""
     rows = stats.visitor_rows(i.page_log(spark, sf_dir), "6 hours")
     roll = Rollup(spark, scratch(spark, "rollup"), ["stt", "edt", *stats.VISITOR_KEYS], dict.fromkeys(stats.VISITOR_SUMS, "sum") | {"ts": "min"})
+    parts = written(stats.sum_visitors(rows.withColumn("half", F.col("ts") % 2), "1 day", None, "half"), "halves")  # worked out once for both batches
     for n in (0, 1):
-        roll.add(stats.sum_visitors(rows.where(F.col("ts") % 2 == n), "1 day", None), n)
+        roll.add(parts.where(F.col("half") == n), n)
     return reports.visitors_by_new_flag(roll.read(), EVENT_DAY)
 
 

@@ -72,11 +72,12 @@ def visitor_stats(pages: DataFrame, visits: DataFrame, jumps: DataFrame, window:
     return sum_visitors(reduce(DataFrame.unionByName, [p.withWatermark("event_time", delay) for p in parts] if delay else parts), window, None)
 
 
-def sum_visitors(rows: DataFrame, window: str, delay: str | None) -> DataFrame:
+def sum_visitors(rows: DataFrame, window: str, delay: str | None, *more: str) -> DataFrame:
+    """Sums by window and visitor keys, and by the columns `more` if any are named."""
     if delay:
         rows = rows.withWatermark("event_time", delay)
-    sums = rows.groupBy(F.window("event_time", window), *VISITOR_KEYS).agg(*(F.sum(c).alias(c) for c in VISITOR_SUMS), F.min("ts").alias("ts"))
-    return sums.select(*bounds(), *VISITOR_KEYS, *VISITOR_SUMS, "ts")
+    sums = rows.groupBy(F.window("event_time", window), *VISITOR_KEYS, *more).agg(*(F.sum(c).alias(c) for c in VISITOR_SUMS), F.min("ts").alias("ts"))
+    return sums.select(*bounds(), *VISITOR_KEYS, *VISITOR_SUMS, "ts", *more)
 
 
 #: Additive measures of product statistics, and the kinds whose orders are counted.

@@ -85,15 +85,20 @@ class Versions:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.path_}/data").parquet(*folders).select(schema.names)
 
-    def publish(self, version: int, rows: DataFrame, touched: Iterable, files_per_part: int = 1) -> None:
+    def publish(self, version: int, rows: DataFrame, touched: Iterable, files_per_part: int = 1, merge: Callable[[DataFrame], DataFrame] | None = None, keys: list[str] | None = None) -> None:
         """Makes a version from the one before: `rows` are all rows of the `touched` parts, other parts stay as they are. A touched
-        part without rows is gone. Files of an attempt that failed are overwritten."""
+        part without rows is gone. Files of an attempt that failed are overwritten. `merge` groups the rows by the part, what
+        deals it out and `keys`, after they have been dealt out, so that one exchange serves both."""
         base = self.newest(version)
         old = self.manifest(base)["parts"] if base is not None else {}
         touched = {str(p) for p in touched}
         data = f"{self.path_}/data/v={version}"
-        deal = [F.col(self.part)] + ([F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_part))] if files_per_part > 1 else [])
-        rows.repartition(max(1, min(len(touched) * files_per_part, 1000)), *deal).write.mode("overwrite").partitionBy(self.part).parquet(data)
+        deal = [self.part]
+        if files_per_part > 1:
+            rows, deal = rows.withColumn("_file", F.pmod(F.xxhash64(*(keys or rows.columns)), F.lit(files_per_part))), [self.part, "_file"]
+        dealt = rows.repartition(max(1, min(len(touched) * files_per_part, 1000)), *deal)
+        rows = (merge(dealt) if merge else dealt).drop("_file")
+        rows.write.mode("overwrite").partitionBy(self.part).parquet(data)
         there = {n.split("=", 1)[1] for n in self.files.names(data) if n.startswith(f"{self.part}=")}
         parts = {p: v for p, v in old.items() if p not in touched} | {p: version for p in there}
         self.files.put(f"{self.path_}/manifest/{version}.json", json.dumps({"parts": parts, "schema": rows.schema.jsonValue()}))
@@ -164,26 +169,23 @@ class Rollup(Versions):
         super().__init__(spark, path, "dt")
         self.keys, self.merge = keys, merge
 
-    def merged(self, rows: DataFrame) -> DataFrame:
+    def merged(self, rows: DataFrame, *more: str) -> DataFrame:
         types = dict(rows.dtypes)
         how: dict[str, Callable] = {"sum": F.sum, "min": F.min, "max": F.max}
-        return rows.groupBy(*self.keys).agg(*(how[h](c).cast(types[c]).alias(c) for c, h in self.merge.items()))
+        return rows.groupBy(*more, *self.keys).agg(*(how[h](c).cast(types[c]).alias(c) for c, h in self.merge.items()))
 
     def add(self, rows: DataFrame, version: int, keep: int | None = 3, files_per_day: int = 1) -> bool:
         """Merges rows (keys, among them stt, and measures) into the days they belong to; once for each version."""
         if version in self.published():
             return False
-        rows = self.merged(rows.select(*self.keys, *self.merge)).persist()
+        rows = rows.select(*self.keys, *self.merge).persist()
         try:
             day = F.to_date("stt")
             days = [r[0] for r in rows.select(day.alias("dt")).distinct().collect()]
             base = self.newest(version)
-            if base is not None:
-                old = self.read(base, days).select(*self.keys, *self.merge)
-                full = self.merged(rows.unionByName(old))
-            else:
-                full = rows
-            self.publish(version, full.withColumn("dt", day), days, files_per_day)
+            full = rows if base is None else rows.unionByName(self.read(base, days).select(*rows.columns))
+            merge = lambda dealt: self.merged(dealt, *(c for c in ("_file", "dt") if c in dealt.columns)).select(*rows.columns, "dt")
+            self.publish(version, full.withColumn("dt", day), days, files_per_day, merge, self.keys)
         finally:
             rows.unpersist()
         if keep:
