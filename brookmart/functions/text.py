@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 _WORD = r"(?:[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]+)|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"
 
 
+#: Words of a text that go to Python at once.
+SLICE = 32
+
+
 class Automaton:
     """All entries of a word list in one pass over a text: a trie whose nodes know where to go on when a character doesn't fit
     (the longest proper suffix that is in the trie) and the lengths of all entries that end there."""
@@ -68,7 +72,10 @@ def tokenize(df: DataFrame, text: str, lexicon: Iterable[str] | None = None, out
         automaton = sent.value
         return pd.Series([[w for run in r for w in _split(run, automaton, compounds, rest)] for r in runs], dtype=object)
 
-    return df.withColumn(out, F.explode(fine(words)))
+    # a batch of whole texts would be as large as they are; in slices it holds a bounded number of words
+    pieces = F.expr(f"transform(sequence(0, greatest(size(_words) - 1, 0), {SLICE}), k -> slice(_words, k + 1, {SLICE}))")
+    rows = df.withColumn("_words", F.explode(F.array(words))).withColumn("_words", F.explode(pieces))  # exploded, so that the words are found once
+    return rows.withColumn(out, F.explode(fine("_words"))).drop("_words")
 
 
 def _split(run: str, automaton: Automaton, compounds: bool = False, rest: bool = True) -> list[str]:
