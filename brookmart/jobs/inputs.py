@@ -157,11 +157,11 @@ def actions(spark: SparkSession, sf_dir: str, kind: str, *more: str, days: Days
     return e.select(F.col("k").cast("bigint").alias("sku_id"), F.col("time").alias("create_ts"), F.when(F.col("k") % 4 == 0, "1201").otherwise("1202").alias("appraise"), *more)
 
 
-def every_action(spark: SparkSession, sf_dir: str, days: Days = None) -> DataFrame:
+def every_action(spark: SparkSession, sf_dir: str, days: Days = None, more: tuple[str, ...] = ()) -> DataFrame:
     """actions() of all three kinds with their `action`, from one scan."""
     kind = F.col("event_type")
     e = events(spark, sf_dir, days).withColumn("action", F.when(kind == "purchase", "favor").when(kind == "click", "cart").when(kind == "view", "comment")).where("action is not null")
-    return e.select(F.col("k").cast("bigint").alias("sku_id"), F.col("time").alias("create_ts"), F.when(F.col("k") % 4 == 0, "1201").otherwise("1202").alias("appraise"), "action")
+    return e.select(F.col("k").cast("bigint").alias("sku_id"), F.col("time").alias("create_ts"), F.when(F.col("k") % 4 == 0, "1201").otherwise("1202").alias("appraise"), "action", *more)
 
 
 def dim_user(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,10 +26,12 @@ from .queries import _LATEST, CHANGES, EVENT_DAY, KEYWORDS, LOG, ORDER_DAY, PROD
 
 
 @contextmanager
-def stateful(spark: SparkSession) -> Iterator[None]:
-    """State in RocksDB while the streams run; the session's own setting afterwards."""
-    before = {k: spark.conf.get(k, None) for k in state.PROVIDER}
-    for k, v in state.PROVIDER.items():
+def stateful(spark: SparkSession, windows: bool = True) -> Iterator[None]:
+    """State in RocksDB while the streams run; the session's own settings afterwards. Streams without windows (inner joins)
+    need no batch behind their last rows: it emits nothing and would only take every row out of the state one by one."""
+    held = state.WHOLE | {"spark.sql.streaming.noDataMicroBatches.enabled": str(windows).lower()}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -120,18 +122,32 @@ def agg1_visitor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).where(F.col("edt") <= CLOSED)
 
 
-def _streamed_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _streamed_payment_info(spark: SparkSession, folder: i.Streamed) -> DataFrame:
+    return i.payment_info(spark, folder).withColumn("create_time", F.date_format("create_ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _streamed_orders(spark: SparkSession, sf_dir: str, at: str) -> str:
+    """Topic of wide orders: the join runs once, whoever reads it."""
     folder = i.Streamed(sf_dir)
-    return streams.payment_wide(
-        i.order_info(spark, folder), i.order_detail(spark, folder), i.payment_info(spark, folder).withColumn("create_time", F.date_format("create_ts", "yyyy-MM-dd HH:mm:ss")), "30 days", "30 days",
-        order_interval=("-30 days", "30 days"), payment_interval=("-5 days", "15 days"))
+    with stateful(spark, windows=False):
+        return topic(streams.order_wide(i.order_info(spark, folder), i.order_detail(spark, folder), "30 days", lower="-30 days", upper="30 days"), at, "orders")
+
+
+#: How far a wide order may lie behind the newest one in its topic. The join's watermark W is 30 days behind the newest order
+#: or line, whichever is earlier. An order that it emits is at most 30 days older than W, and no wide order is newer than that
+#: order or line by more than 30 days: three times 30 days in all.
+WIDE_DELAY = "90 days"
 
 
 @query(SQL["joi3_payment_wide"])
 def joi3_payment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments joined to orders that are joined to their lines, as one streaming query."""
+    folder = i.Streamed(sf_dir)
+    wide_payments = streams.payment_wide(
+        i.order_info(spark, folder), i.order_detail(spark, folder), _streamed_payment_info(spark, folder), "30 days", "30 days",
+        order_interval=("-30 days", "30 days"), payment_interval=("-5 days", "15 days"))
     with stateful(spark):
-        out = topic(_streamed_payments(spark, sf_dir), scratch(spark, "payments"), "wide")
+        out = topic(wide_payments, scratch(spark, "payments"), "wide")
     return doubles(spark.read.parquet(out).select(
         "payment_id", "detail_id", "order_id", "user_id", "total_amount", "payment_type", "sku_id", "split_total_amount", F.unix_millis("payment_create_time").alias("paid_ms")))
 
@@ -146,19 +162,21 @@ ORDERS_CLOSED = "2001-04-01 00:00:00"
   CAST(payment_amount AS DOUBLE) AS payment_amount, CAST(refund_amount AS DOUBLE) AS refund_amount, CAST(comment_ct AS BIGINT) AS comment_ct, CAST(good_comment_ct AS BIGINT) AS good_comment_ct, order_ct, paid_order_ct, refund_order_ct
 FROM (SELECT *, strftime(b, '%Y-%m-%d %H:%M:%S') AS stt, strftime(b + INTERVAL '30 days', '%Y-%m-%d %H:%M:%S') AS edt FROM pq) WHERE edt <= '{ORDERS_CLOSED}'""")
 def agg2_product_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product windows over eight streaming inputs, two of which are joins: two joins and two aggregations in one query."""
+    """Product windows over streaming inputs, one of which is a topic of wide orders and one its join with payments: a join and
+    two aggregations in one query. Clicks and displays come from one pass over the log, actions from one over theirs."""
     folder, at = i.Streamed(sf_dir), scratch(spark, "products")
     spread = F.expr("make_interval(0, 0, 0, cast(8250 + 30 * (seq % 90) as int))")
     moved = lambda df, time: df.withColumn(time, F.col(time) - spread)
     good, _ = logs.parse_log(i.raw_log(spark, folder))
     pages = moved(good.where("start is null").select("seq", "page.*", "displays", "event_time"), "event_time")
-    acts = lambda kind: moved(i.actions(spark, folder, kind, "seq"), "create_ts")
+    acts = moved(i.every_action(spark, folder, more=("seq",)), "create_ts")
+    order_topic = _streamed_orders(spark, sf_dir, at)
     with stateful(spark):
-        orders = streams.order_wide(i.order_info(spark, folder), i.order_detail(spark, folder), "30 days", lower="-30 days", upper="30 days")
+        orders = lambda: stream_of(spark, order_topic).withWatermark("create_ts", WIDE_DELAY)
+        paid = wide.payment_wide(orders(), streams.payment_times(_streamed_payment_info(spark, folder), delay="30 days"), "-5 days", "15 days")
         parts = {
-            "click": (stats.product_rows_click(pages), "1 day"), "display": (stats.product_rows_display(pages), "1 day"), "favor": (stats.product_rows_favor(acts("purchase")), "1 day"),
-            "cart": (stats.product_rows_cart(acts("click")), "1 day"), "comment": (stats.product_rows_comment(acts("view")), "1 day"), "order": (stats.product_rows_order(orders), None),
-            "pay": (stats.product_rows_pay(_streamed_payments(spark, sf_dir)), None), "refund": (stats.product_rows_refund(i.refunds(spark, folder)), "30 days")}
+            "pages": (stats.product_rows_pages(pages), "1 day"), "actions": (stats.product_rows_actions(acts), "1 day"), "order": (stats.product_rows_order(orders()), None),
+            "pay": (stats.product_rows_pay(paid), None), "refund": (stats.product_rows_refund(i.refunds(spark, folder)), "30 days")}
         out = topic(streams.product_stats(parts, "30 days"), at, "stats")
     return doubles(spark.read.parquet(out).where(F.col("edt") <= ORDERS_CLOSED))
 
