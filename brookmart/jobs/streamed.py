@@ -350,11 +350,11 @@ def agg4_keyword_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PROVINCES + f"SELECT stt, edt, province_id, province_name, province_area_code, province_iso_code, province_3166_2_code, CAST(order_amount AS DOUBLE) AS order_amount, order_count FROM pv WHERE edt <= '{ORDERS_CLOSED}'")
 def agg3_province_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders joined to their lines as streams, to provinces as a table, and summed under the watermark that the join hands on."""
-    folder = i.Streamed(sf_dir)
+    """Orders joined to their lines as streams into a topic; the topic joined to provinces as a table, and summed."""
+    at = scratch(spark, "provinces")
+    order_topic = _streamed_orders(spark, sf_dir, at)
     with stateful(spark):
-        orders = streams.order_wide(i.order_info(spark, folder), i.order_detail(spark, folder), "30 days", lower="-30 days", upper="30 days")
-        out = topic(stats.province_stats(wide.join_province(orders, i.dim_province(spark, sf_dir)), "30 days", None), scratch(spark, "provinces"), "stats")
+        out = topic(stats.province_stats(wide.join_province(stream_of(spark, order_topic), i.dim_province(spark, sf_dir)), "30 days", WIDE_DELAY), at, "stats")
     return doubles(spark.read.parquet(out).where(F.col("edt") <= ORDERS_CLOSED))
 
 
