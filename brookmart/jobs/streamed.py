@@ -6,7 +6,7 @@ late; windows are compared where every input's watermark has closed them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +59,12 @@ def topic(df: DataFrame, at: str, name: str) -> str:
     return f"{at}/{name}"
 
 
+def flagged(records: DataFrame, at: str, name: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Runs a stream of log records to its end; its rows with the repaired flag, in the folder `at`."""
+    finished(streams.flag_stream(records, f"{at}/{name}", f"{at}/checkpoint-{name}", keep, available=True))
+    return records.sparkSession.read.parquet(f"{at}/{name}/rows")
+
+
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
@@ -321,10 +327,8 @@ def win1_flags_of_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark, "topic")
     raw = i.raw_log(spark, sf_dir).select("value", F.get_json_object("value", "$.common.mid").alias("mid"), F.timestamp_millis(F.get_json_object("value", "$.ts").cast("long")).alias("timestamp"))
     write_segments(raw, f"{at}/log", 0, "mid")
-    with stateful(spark):
-        good, _ = streams.log_stream(read_segments(spark, f"{at}/log", "earliest", True).select(F.col("offset").alias("seq"), "value"))
-        out = topic(good.select("mid", "is_new", "ts"), at, "flags")
-    return spark.read.parquet(out)
+    records, _ = logs.parse_log(read_segments(spark, f"{at}/log", "earliest", True).select(F.col("offset").alias("seq"), "value"))
+    return flagged(records.select("seq", "common.mid", "common.is_new", "ts"), at, "flags").select("mid", "is_new", "ts")
 
 
 @query("WITH " + LOG + " SELECT mid, count(*) AS n, TRUE AS ordered FROM raw GROUP BY mid")

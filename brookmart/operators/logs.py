@@ -39,10 +39,18 @@ def split_displays(pages: DataFrame) -> DataFrame:
 def repair_is_new_by_first(df: DataFrame, mid: str = "mid", is_new: str = "is_new", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """repair_is_new() for logs in which one device may hold most rows: the least place that says new comes from an aggregation
     with partial sums, and goes back by a join, whose hot keys Spark splits (or broadcasts away). The order must be unique."""
-    new = F.col(is_new) == "1"
-    first = df.where(new).groupBy(F.col(mid).alias("_mid")).agg(F.min(F.struct(*order)).alias("_first"))
-    rows = df.join(first, F.col(mid) == F.col("_mid"), "left")
-    return rows.withColumn(is_new, F.when(new & (F.struct(*order) != F.col("_first")), "0").otherwise(F.col(is_new))).drop("_mid", "_first")
+    return keep_first(df, first_new(df, mid, is_new, order), mid, is_new, order)
+
+
+def first_new(df: DataFrame, mid: str = "mid", is_new: str = "is_new", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """(mid, first): the least place at which each device says new."""
+    return df.where(F.col(is_new) == "1").groupBy(mid).agg(F.min(F.struct(*order)).alias("first"))
+
+
+def keep_first(df: DataFrame, first: DataFrame, mid: str = "mid", is_new: str = "is_new", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """Rows that say new elsewhere than at their device's place in `first` say so no more."""
+    rows = df.join(first.select(F.col(mid).alias("_mid"), F.col("first").alias("_first")), F.col(mid) == F.col("_mid"), "left")
+    return rows.withColumn(is_new, F.when((F.col(is_new) == "1") & (F.struct(*order) != F.col("_first")), "0").otherwise(F.col(is_new))).drop("_mid", "_first")
 
 
 def repair_is_new(df: DataFrame, mid: str = "mid", is_new: str = "is_new", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:

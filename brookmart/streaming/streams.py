@@ -26,6 +26,29 @@ def log_stream(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return state.repair_is_new(flat), dirty
 
 
+def flag_stream(records: DataFrame, path: str, checkpoint: str, keep: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64, available: bool = False) -> StreamingQuery:
+    """Records of a stream (mid, is_new, seq and others) with the repaired flag, as log_stream() has it, to path/rows/batch=N:
+    `keep` picks what is written. A device's first place that says new is a row of the store path/first, so a batch is an
+    aggregation and a join over all its devices, where log_stream() calls Python for each. A batch that is done again finds
+    its places stored and writes the same rows. `seq` must be unique within a device."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        store = DimStore(batch.sparkSession, f"{path}/first", "mid", buckets)
+        rows = batch.persist()
+        try:
+            if n not in store.published():
+                first, base = logs.first_new(rows, order=("seq",)), store.newest(n)
+                if base is not None:
+                    first = first.join(store.dim(base), "mid", "left_anti")
+                store.upsert(first, n, "first.seq", ["first"])
+            flagged = logs.keep_first(rows, store.dim(n), order=("seq",))
+            (keep(flagged) if keep else flagged).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+        finally:
+            rows.unpersist()
+
+    return each_batch(records, checkpoint, write, available)
+
+
 def unique_visits(pages: DataFrame, delay: str = "1 day") -> DataFrame:
     """First entry to arrive of each device and day. A key lives a day of event time, so it can't come twice on its day."""
     rows = pages.where(F.col("last_page_id").isNull()).withColumn("visit_date", F.to_date("event_time"))
