@@ -116,11 +116,11 @@ def agg1_visitor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain as streams: raw log to pages with the repaired flag, to visits and bounces, and from these three topics
     to windows."""
     at = scratch(spark, "visitors")
+    records, _ = logs.parse_log(i.raw_log(spark, i.Streamed(sf_dir)))
+    pages = lambda rows: logs.split_page(rows).select("seq", "mid", "is_new", "vc", "ch", "ar", "page.*", "ts", "event_time")
+    flagged(records.select("seq", "common.*", "start", "page", "ts", "event_time"), at, "pages", pages)
+    page_topic = f"{at}/pages/rows"
     with stateful(spark):
-        flat, _ = streams.log_stream(i.raw_log(spark, i.Streamed(sf_dir)))
-        page = F.from_json("page", "page_id string, last_page_id string, item string, item_type string, during_time bigint")
-        pages = flat.where("start is null").select("seq", "mid", "is_new", "vc", "ch", "ar", page.alias("p"), "ts").select("seq", "mid", "is_new", "vc", "ch", "ar", "p.*", "ts", F.timestamp_millis("ts").alias("event_time"))
-        page_topic = topic(pages, at, "pages")
         visit_topic = topic(streams.first_visits(stream_of(spark, page_topic), "1 hour"), at, "visits")
         jump_topic = topic(streams.user_jumps(stream_of(spark, page_topic), 6 * 3_600_000, "1 hour"), at, "jumps")
         sums = streams.visitor_stats(*(stream_of(spark, t) for t in (page_topic, visit_topic, jump_topic)), "1 hour", "1 hour")

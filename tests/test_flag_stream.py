@@ -56,7 +56,7 @@ def test_flags_equal_the_batch_form(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["win1_flags_of_topic"])
+@pytest.mark.parametrize("name", ["win1_flags_of_topic", "agg1_visitor_stream"])
 def test_queries_call_no_python_for_a_device(spark, monkeypatch, name):
     def called(*_):
         raise AssertionError("the flag goes device by device through Python")
