@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..session import scratch
 from ..sources import sinks
 from ..sources.segments import read_segments, write_segments
 from ..sources.versions import DimStore, Rollup
-from ..streaming import state, streams
+from ..streaming import kept, state, streams
 from . import inputs as i
 from .queries import _LATEST, CHANGES, EVENT_DAY, KEYWORDS, LOG, ORDER_DAY, PRODUCTS, PROVINCES, SQL, VISITS, _product_parts, _trademarks, _visitors, doubles, query
 
@@ -132,32 +133,76 @@ def _streamed_payment_info(spark: SparkSession, folder: i.Streamed) -> DataFrame
     return i.payment_info(spark, folder).withColumn("create_time", F.date_format("create_ts", "yyyy-MM-dd HH:mm:ss"))
 
 
-def _streamed_orders(spark: SparkSession, sf_dir: str, at: str) -> str:
-    """Topic of wide orders: the join runs once, whoever reads it."""
+#: Order lines of a table from which on joins and windows keep their state as Parquet: a state store takes in every row of a
+#: table that comes in one go, and several times its bytes on disk.
+MANY_LINES = 1_000_000
+
+
+def many(spark: SparkSession, sf_dir: str) -> bool:
+    return i.table(spark, sf_dir, "lineitem").count() > MANY_LINES
+
+
+def days(*n: int) -> tuple[timedelta, ...]:
+    return tuple(timedelta(days=d) for d in n)
+
+
+def _streamed_orders(spark: SparkSession, sf_dir: str, at: str, info: tuple[str, ...] = (), detail: tuple[str, ...] = ()) -> str:
+    """Topic of wide orders: the join runs once, whoever reads it. `info` and `detail` are the columns that a reader needs of
+    orders and lines, besides the order's id and the times."""
     folder = i.Streamed(sf_dir)
+    orders = i.order_info(spark, folder).select("id", "create_ts", *info)
+    lines = i.order_detail(spark, folder).select("order_id", "create_ts", *detail)
+    if many(spark, sf_dir):
+        finished(kept.order_wide(orders, lines, *days(-30, 30), days(30, 30), f"{at}/orders", f"{at}/checkpoint-orders", True))
+        return f"{at}/orders/rows/batch=*"
     with stateful(spark, windows=False):
-        return topic(streams.order_wide(i.order_info(spark, folder), i.order_detail(spark, folder), "30 days", lower="-30 days", upper="30 days"), at, "orders")
+        return topic(streams.order_wide(orders, lines, "30 days", lower="-30 days", upper="30 days"), at, "orders")
 
 
 #: How far a wide order may lie behind the newest one in its topic. The join's watermark W is 30 days behind the newest order
 #: or line, whichever is earlier. An order that it emits is at most 30 days older than W, and no wide order is newer than that
 #: order or line by more than 30 days: three times 30 days in all.
 WIDE_DELAY = "90 days"
+#: The same of a wide payment in its topic. That join's watermark W is 90 days behind the newest wide order or 30 behind the
+#: newest payment, whichever is earlier. It emits payments of up to 5 days before W, and none is newer than W + 90 + 15 days.
+PAID_DELAY = timedelta(days=110)
 
 
 @query(SQL["joi3_payment_wide"])
 def joi3_payment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payments joined to orders that are joined to their lines, as one streaming query."""
-    folder = i.Streamed(sf_dir)
-    wide_payments = streams.payment_wide(
-        i.order_info(spark, folder), i.order_detail(spark, folder), _streamed_payment_info(spark, folder), "30 days", "30 days",
-        order_interval=("-30 days", "30 days"), payment_interval=("-5 days", "15 days"))
-    with stateful(spark, windows=False):
-        out = topic(wide_payments, scratch(spark, "payments"), "wide")
+    """Payments joined to orders that are joined to their lines, as one streaming query, or by a topic of wide orders where the
+    lines are many."""
+    folder, at = i.Streamed(sf_dir), scratch(spark, "payments")
+    if many(spark, sf_dir):
+        orders = stream_of(spark, _streamed_orders(spark, sf_dir, at, (), ("id", "sku_id", "split_total_amount")))
+        out = _kept_payments(i.payment_info(spark, folder), orders, at)
+    else:
+        wide_payments = streams.payment_wide(
+            i.order_info(spark, folder), i.order_detail(spark, folder), _streamed_payment_info(spark, folder), "30 days", "30 days",
+            order_interval=("-30 days", "30 days"), payment_interval=("-5 days", "15 days"))
+        with stateful(spark, windows=False):
+            out = topic(wide_payments, at, "wide")
     return doubles(spark.read.parquet(out).select(
         "payment_id", "detail_id", "order_id", "user_id", "total_amount", "payment_type", "sku_id", "split_total_amount", F.unix_millis("payment_create_time").alias("paid_ms")))
 
 
+def _kept_payments(payments: DataFrame, orders: DataFrame, at: str) -> str:
+    """Topic of payments joined to a topic of wide orders."""
+    finished(kept.payment_wide(orders, payments, *days(-5, 15), days(90, 30), f"{at}/paid", f"{at}/checkpoint-paid", True))
+    return f"{at}/paid/rows/batch=*"
+
+
+def _kept_products(spark: SparkSession, folder: i.Streamed, at: str, order_topic: str, rows: dict[str, DataFrame]) -> str:
+    """Product windows with wide orders and wide payments from topics, state kept as Parquet."""
+    payments = i.payment_info(spark, folder).select("id", "order_id", "create_ts")
+    orders = stream_of(spark, order_topic).select("order_id", "sku_id", "sku_num", "split_total_amount", "create_ts")
+    paid = stream_of(spark, _kept_payments(payments, orders, at))
+    late = dict(zip(("pages", "actions", "refund", "order"), days(1, 1, 30, 90), strict=True)) | {"pay": PAID_DELAY}
+    every = rows | {"order": stats.product_rows_order(orders), "pay": stats.product_rows_pay(paid)}
+    finished(kept.product_stats({k: (every[k], late[k]) for k in late}, f"{at}/stats", f"{at}/checkpoint-stats", "30 days", True))
+    return f"{at}/stats/rows/batch=*"
+
+
 #: The events of a month spread over the years of the orders, so that all inputs have windows in common.
 _SPREAD = "INTERVAL (8250 + 30 * (seq % 90)) DAY"
 ORDERS_CLOSED = "2001-04-01 00:00:00"
@@ -169,21 +214,26 @@ ORDERS_CLOSED = "2001-04-01 00:00:00"
 FROM (SELECT *, strftime(b, '%Y-%m-%d %H:%M:%S') AS stt, strftime(b + INTERVAL '30 days', '%Y-%m-%d %H:%M:%S') AS edt FROM pq) WHERE edt <= '{ORDERS_CLOSED}'""")
 def agg2_product_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product windows over streaming inputs, one of which is a topic of wide orders and one its join with payments: a join and
-    two aggregations in one query. Clicks and displays come from one pass over the log, actions from one over theirs."""
+    two aggregations in one query, or with many lines a topic and windows that keep their state as Parquet. Clicks and displays
+    come from one pass over the log, actions from one over theirs."""
     folder, at = i.Streamed(sf_dir), scratch(spark, "products")
     spread = F.expr("make_interval(0, 0, 0, cast(8250 + 30 * (seq % 90) as int))")
     moved = lambda df, time: df.withColumn(time, F.col(time) - spread)
     good, _ = logs.parse_log(i.raw_log(spark, folder))
     pages = moved(good.where("start is null").select("seq", "page.*", "displays", "event_time"), "event_time")
     acts = moved(i.every_action(spark, folder, more=("seq",)), "create_ts")
-    order_topic = _streamed_orders(spark, sf_dir, at)
-    with stateful(spark):
-        orders = lambda: stream_of(spark, order_topic).withWatermark("create_ts", WIDE_DELAY)
-        paid = wide.payment_wide(orders(), streams.payment_times(_streamed_payment_info(spark, folder), delay="30 days"), "-5 days", "15 days")
-        parts = {
-            "pages": (stats.product_rows_pages(pages), "1 day"), "actions": (stats.product_rows_actions(acts), "1 day"), "order": (stats.product_rows_order(orders()), None),
-            "pay": (stats.product_rows_pay(paid), None), "refund": (stats.product_rows_refund(i.refunds(spark, folder)), "30 days")}
-        out = topic(streams.product_stats(parts, "30 days"), at, "stats")
+    order_topic = _streamed_orders(spark, sf_dir, at, detail=("sku_id", "sku_num", "split_total_amount"))
+    rows = {"pages": stats.product_rows_pages(pages), "actions": stats.product_rows_actions(acts), "refund": stats.product_rows_refund(i.refunds(spark, folder))}
+    if many(spark, sf_dir):
+        out = _kept_products(spark, folder, at, order_topic, rows)
+    else:
+        with stateful(spark):
+            orders = lambda: stream_of(spark, order_topic).withWatermark("create_ts", WIDE_DELAY)
+            paid = wide.payment_wide(orders(), streams.payment_times(_streamed_payment_info(spark, folder), delay="30 days"), "-5 days", "15 days")
+            parts = {
+                "pages": (rows["pages"], "1 day"), "actions": (rows["actions"], "1 day"), "order": (stats.product_rows_order(orders()), None), "pay": (stats.product_rows_pay(paid), None),
+                "refund": (rows["refund"], "30 days")}
+            out = topic(streams.product_stats(parts, "30 days"), at, "stats")
     return doubles(spark.read.parquet(out).where(F.col("edt") <= ORDERS_CLOSED))
 
 
@@ -356,7 +406,7 @@ def agg4_keyword_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg3_province_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders joined to their lines as streams into a topic; the topic joined to provinces as a table, and summed."""
     at = scratch(spark, "provinces")
-    order_topic = _streamed_orders(spark, sf_dir, at)
+    order_topic = _streamed_orders(spark, sf_dir, at, ("province_id",), ("split_total_amount",))
     with stateful(spark):
         out = topic(stats.province_stats(wide.join_province(stream_of(spark, order_topic), i.dim_province(spark, sf_dir)), "30 days", WIDE_DELAY), at, "stats")
     return doubles(spark.read.parquet(out).where(F.col("edt") <= ORDERS_CLOSED))

@@ -86,6 +86,11 @@ PRODUCT_SUMS = {
     "payment_amount": MONEY, "refund_amount": MONEY, "comment_ct": "long", "good_comment_ct": "long",
 }
 PRODUCT_ORDERS = {"order_ct": "order", "paid_order_ct": "pay", "refund_order_ct": "refund"}
+#: The kind of rows that have the measure; others have 0.
+PRODUCT_KINDS = {
+    "click_ct": "click", "display_ct": "display", "favor_ct": "favor", "cart_ct": "cart", "order_sku_num": "order", "order_amount": "order",
+    "payment_amount": "pay", "refund_amount": "refund", "comment_ct": "comment", "good_comment_ct": "comment",
+}
 
 
 def _product_rows(df: DataFrame, sku: Column, time: str, kind: str | Column, order_id: str | None = None, **measures: Column) -> DataFrame:
@@ -152,16 +157,39 @@ def union_products(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: What a row of one order holds: its counts, good comments and money. Which measures these are is told by its kind.
+ORDER_KEYS = ("window", "sku_id", "kind", "order_id")
+ORDER_SUMS = {"n": "long", "good": "long", "amount": MONEY}
+
+
+def _held(measure: str) -> str:
+    return "amount" if PRODUCT_SUMS[measure] == MONEY else "good" if measure == "good_comment_ct" else "n"
+
+
+def order_rows(rows: DataFrame, window: str) -> DataFrame:
+    """Product rows with their window. A row is of one kind, so three columns are enough for its measures."""
+    total = lambda name: reduce(Column.__add__, (F.col(c) for c in PRODUCT_SUMS if _held(c) == name))
+    return rows.select(F.window("event_time", window).alias("window"), *ORDER_KEYS[1:], *(total(c).cast(t).alias(c) for c, t in ORDER_SUMS.items()))
+
+
+def sum_orders(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*ORDER_KEYS).agg(*(F.sum(c).cast(t).alias(c) for c, t in ORDER_SUMS.items()))
+
+
+def products_of_orders(orders: DataFrame) -> DataFrame:
+    measure = lambda c, t: F.sum(F.when(F.col("kind") == PRODUCT_KINDS[c], F.col(_held(c))).otherwise(F.lit(0).cast(t))).cast(t)
+    counted = lambda kind: F.sum(((F.col("kind") == kind) & F.col("order_id").isNotNull()).cast("long"))
+    return orders.groupBy("window", "sku_id").agg(
+        *(measure(c, t).alias(c) for c, t in PRODUCT_SUMS.items()), *(counted(k).alias(c) for c, k in PRODUCT_ORDERS.items())
+    ).select(*bounds(), "sku_id", *PRODUCT_SUMS, *PRODUCT_ORDERS)
+
+
 def sum_products(rows: DataFrame, window: str = "10 seconds", delay: str | None = "2 seconds") -> DataFrame:
     """Two levels: by order and kind first, so that orders are counted exactly without sets, a hot product is spread over
     its orders, and streams can do it too (they have no distinct counts)."""
     if delay:
         rows = rows.withWatermark("event_time", delay)
-    orders = rows.groupBy(F.window("event_time", window), "sku_id", "kind", "order_id").agg(*(F.sum(c).cast(t).alias(c) for c, t in PRODUCT_SUMS.items()))
-    counted = lambda kind: F.sum(((F.col("kind") == kind) & F.col("order_id").isNotNull()).cast("long"))
-    return orders.groupBy("window", "sku_id").agg(
-        *(F.sum(c).cast(t).alias(c) for c, t in PRODUCT_SUMS.items()), *(counted(k).alias(c) for c, k in PRODUCT_ORDERS.items())
-    ).select(*bounds(), "sku_id", *PRODUCT_SUMS, *PRODUCT_ORDERS)
+    return products_of_orders(sum_orders(order_rows(rows, window)))
 
 
 def product_states(rows: DataFrame, window: str = "10 seconds") -> DataFrame:

@@ -39,20 +39,28 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 def order_wide(info: DataFrame, detail: DataFrame, lower: str = "-2 seconds", upper: str = "2 seconds", delay: str | None = None) -> DataFrame:
     """One row per order detail whose order was made within the interval. Needs create_ts on both sides."""
-    joined = interval_join(prefixed(info, "i_"), prefixed(detail, "d_"), [("i_id", "d_order_id")], "i_create_ts", "d_create_ts", lower, upper, delay, delay)
+    return order_columns(interval_join(prefixed(info, "i_"), prefixed(detail, "d_"), [("i_id", "d_order_id")], "i_create_ts", "d_create_ts", lower, upper, delay, delay))
+
+
+def order_columns(joined: DataFrame) -> DataFrame:
+    """The wide order of an order (i_) and its line (d_)."""
     has = set(joined.columns)
     pick = lambda p, names: [F.col(p + c).alias(c) for c in names if p + c in has]
     return joined.select(
-        F.col("d_id").alias("detail_id"), F.col("i_id").alias("order_id"), *pick("i_", ORDER_INFO), *pick("d_", ORDER_DETAIL),
+        *(F.col(c).alias("detail_id") for c in ("d_id",) if c in has), F.col("i_id").alias("order_id"), *pick("i_", ORDER_INFO), *pick("d_", ORDER_DETAIL),
         *(F.lit(None).cast("string").alias(c) for c in UNSET), F.date_format("i_create_ts", "yyyy-MM-dd").alias("create_date"),
         F.date_format("i_create_ts", "HH").alias("create_hour"), F.col("i_create_ts").alias("create_ts"))
 
 
 def payment_wide(wide: DataFrame, payment: DataFrame, lower: str = "-5 seconds", upper: str = "15 minutes", wide_delay: str | None = None, payment_delay: str | None = None) -> DataFrame:
     """One row per detail and payment. The payment's amount and user win over the order's, on every line of the order."""
-    joined = interval_join(wide, prefixed(payment, "p_"), [("order_id", "p_order_id")], "create_ts", "p_create_ts", lower, upper, wide_delay, payment_delay)
+    return payment_columns(interval_join(wide, prefixed(payment, "p_"), [("order_id", "p_order_id")], "create_ts", "p_create_ts", lower, upper, wide_delay, payment_delay))
+
+
+def payment_columns(joined: DataFrame) -> DataFrame:
+    """The wide payment of a wide order and its payment (p_)."""
     wins = [c for c in ("user_id", "total_amount", "subject", "payment_type", "callback_time") if f"p_{c}" in joined.columns]
-    kept = [c for c in wide.columns if c not in (*wins, "create_ts")]
+    kept = [c for c in joined.columns if not c.startswith("p_") and c not in (*wins, "create_ts")]
     return joined.select(
         F.col("p_id").alias("payment_id"), *kept, *(F.col(f"p_{c}").alias(c) for c in wins),
         F.col("create_ts").alias("order_create_time"), F.col("p_create_ts").alias("payment_create_time"))
