@@ -22,7 +22,7 @@ from ..operators import stats, wide
 from ..sources.versions import Files
 from .streams import each_batch
 
-#: Newest time of each input, in microseconds.
+#: Newest time of each input and the watermark, in microseconds.
 Marks = dict[str, int]
 
 
@@ -50,14 +50,15 @@ class Kept:
             self.files.delete(f"{self.path}/kept/{old}")
 
 
-def newer(marks: Marks, seen: dict[str, int | None]) -> Marks:
-    return marks | {k: max(v, marks.get(k, v)) for k, v in seen.items() if v is not None}
+def newer(marks: Marks, seen: dict[str, int | None], delays: dict[str, timedelta]) -> Marks:
+    """Marks after a batch, with the watermark: the least of the inputs' newest times, each less its delay. It never falls."""
+    found = marks | {k: max(v, marks.get(k, v)) for k, v in seen.items() if v is not None}
+    least = min((found[k] - delay // timedelta(microseconds=1) for k, delay in delays.items() if k in found), default=None)
+    return found if least is None else found | {"watermark": max(least, marks.get("watermark", least))}
 
 
-def watermark(marks: Marks, delays: dict[str, timedelta]) -> Column | None:
-    """The least of the inputs' newest times, each less its delay; None before any row."""
-    least = min((v - delays[k] // timedelta(microseconds=1) for k, v in marks.items()), default=None)
-    return None if least is None else F.timestamp_micros(F.lit(least))
+def watermark(marks: Marks) -> Column | None:
+    return F.timestamp_micros(F.lit(marks["watermark"])) if "watermark" in marks else None
 
 
 def _newest(time: str, k: str) -> Column:
@@ -77,16 +78,16 @@ def interval_join(left: DataFrame, right: DataFrame, on: tuple[str, str], times:
         if n in state.batches():
             return
         before, marks = state.newest()
-        passed = watermark(marks, late)
+        passed = watermark(marks)
         fresh = batch if passed is None else batch.where(F.col("_time") > passed)
         part = lambda df, k: df.where(F.col("_in") == k).select(*sides[k].columns)
         near = F.col(times[1]).between(F.col(times[0]) + F.lit(lower), F.col(times[0]) + F.lit(upper))
         meet = lambda a, b: part(a, "left").join(part(b, "right"), (F.col(on[0]) == F.col(on[1])) & near)
         joined = [meet(fresh, fresh)] if before is None else [meet(fresh, fresh), meet(fresh, before), meet(before, fresh)]
         pick(reduce(DataFrame.unionByName, joined)).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
-        marks = newer(marks, batch.agg(*(_newest("_time", k) for k in sides)).first().asDict())
+        marks = newer(marks, batch.agg(*(_newest("_time", k) for k in sides)).first().asDict(), late)
         every = fresh if before is None else fresh.unionByName(before)
-        if (passed := watermark(marks, late)) is not None:
+        if (passed := watermark(marks)) is not None:
             reach = F.when(F.col("_in") == "left", F.col("_time") + F.lit(upper)).otherwise(F.col("_time") - F.lit(lower))
             every = every.where(reach >= passed)
         state.put(n, every, marks)
@@ -118,13 +119,14 @@ def product_stats(parts: dict[str, tuple[DataFrame, timedelta]], path: str, chec
         before, marks = state.newest()
         seen = Observation()
         fresh = stats.order_rows(batch.observe(seen, *(_newest("event_time", k) for k in parts)), window)
-        if (passed := watermark(marks, late)) is not None:
+        if (passed := watermark(marks)) is not None:
             fresh = fresh.where(F.col("window.end") > passed)
         orders = stats.sum_orders(fresh if before is None else fresh.unionByName(before))
         orders.write.mode("overwrite").parquet(f"{path}/orders")
         orders = batch.sparkSession.read.schema(orders.schema).parquet(f"{path}/orders")
-        marks = newer(marks, seen.get)
-        passed = watermark(marks, late)
+        if not orders.isEmpty():  # an empty exchange may take the observation with it
+            marks = newer(marks, seen.get, late)
+        passed = watermark(marks)
         closed = F.lit(False) if passed is None else F.col("window.end") <= passed
         stats.products_of_orders(orders.where(closed)).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
         state.put(n, orders.where(~closed), marks)

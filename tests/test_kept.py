@@ -126,3 +126,14 @@ def test_many_lines_stay_out_of_state_stores(spark, monkeypatch, tmp_path, name)
     assert not (tmp_path / "checkpoint-orders/state").exists()
     size = lambda at: sum(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(at) for f in fs)
     assert size(tmp_path) < 1.5 * size(DATA)
+
+
+def test_batch_without_rows(spark, tmp_path):
+    """Files whose rows are all filtered out: the batch ends, and marks stay."""
+    path = str(tmp_path / "stats")
+    line = {"id": 1, "order_id": 1, "sku_id": 1, "sku_num": 1, "split_total_amount": "1.00", "s": seconds(1)}
+    for n, kind in enumerate(["other", "order", "other"]):
+        put(tmp_path / "in", n, [line | {"kind": kind}])
+        parts = product_rows(spark, tmp_path / "in", True)
+        streamed.finished(kept.product_stats({k: (df, timedelta(days=1)) for k, df in parts.items()}, path, str(tmp_path / "c"), "7 days", True))
+        assert kept.Kept(spark, path).newest()[1] == ({} if n == 0 else {"order": seconds(1) * 1_000_000, "watermark": seconds(0) * 1_000_000})
